@@ -25,20 +25,17 @@ def source_time(text: Column, offset_hours: int = SOURCE_OFFSET_HOURS) -> Column
     return bare.try_cast("timestamp_ntz") - F.make_dt_interval(hours=F.lit(offset_hours))
 
 
-def hour_index(ts: Column) -> Column:
+def hour_index(ts: str) -> Column:
     """Whole hours since 1970, rounded down.  Needs no time zone for a naive instant."""
-    return F.datediff(ts.cast("date"), F.lit("1970-01-01").cast("date")).cast("long") * 24 + F.hour(ts)
+    return F.expr(f"CAST(datediff(CAST({ts} AS DATE), DATE'1970-01-01') AS BIGINT) * 24 + hour({ts})")
 
 
-def index_hour(index: Column) -> Column:
+def index_hour(index: str = "h") -> Column:
     """Naive instant at which an hour index starts."""
-    return F.date_add(F.lit("1970-01-01").cast("date"), F.floor(index / 24).cast("int")).cast(
-        "timestamp_ntz"
-    ) + F.make_dt_interval(hours=F.pmod(index, F.lit(24)).cast("int"))
-
-
-def floor_hour(ts: Column) -> Column:
-    return index_hour(hour_index(ts))
+    return F.expr(
+        f"CAST(date_add(DATE'1970-01-01', CAST(floor(({index}) / 24D) AS INT)) AS TIMESTAMP_NTZ)"
+        f" + make_dt_interval(0, CAST(pmod({index}, 24) AS INT))"
+    )
 
 
 def plus_hours(ts: Column, hours) -> Column:
@@ -53,15 +50,11 @@ def local_time(ts: Column, zone: str = LOCAL_ZONE) -> Column:
 
 def cyclic_time(df, ts: str = "hour", zone: str = LOCAL_ZONE):
     """Add month and day of year as sine and cosine of the local calendar."""
-    local = local_time(F.col(ts), zone)
-    turn = F.lit(2 * math.pi)
-    month = turn * F.month(local) / 12
-    days = F.dayofyear(F.make_date(F.year(local), F.lit(12), F.lit(31)))
-    day = turn * F.dayofyear(local) / days
-    return df.withColumns({
-        "month_sin": F.sin(month), "month_cos": F.cos(month),
-        "day_sin": F.sin(day), "day_cos": F.cos(day),
-    })
+    local = f"convert_timezone('UTC', '{zone}', {ts})"
+    month = f"{2 * math.pi!r}D * month({local}) / 12"
+    day = f"{2 * math.pi!r}D * dayofyear({local}) / dayofyear(make_date(year({local}), 12, 31))"
+    return df.selectExpr("*", f"sin({month}) AS month_sin", f"cos({month}) AS month_cos",
+                         f"sin({day}) AS day_sin", f"cos({day}) AS day_cos")
 
 
 def horizon_times(df, ts: str = "hour", zone: str = LOCAL_ZONE, hours=HORIZONS):

@@ -8,47 +8,46 @@ from pyspark.sql import functions as F
 EARTH_RADIUS_KM = 6371.0
 
 
-def haversine(lat1, lon1, lat2, lon2) -> Column:
-    """Great-circle distance in km between two points in degrees."""
-    half_lat = F.sin(F.radians(lat2 - lat1) / 2)
-    half_lon = F.sin(F.radians(lon2 - lon1) / 2)
-    a = half_lat * half_lat + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * half_lon * half_lon
+def haversine(lat1: str, lon1: str, lat2: str, lon2: str) -> Column:
+    """Great-circle distance in km between two points in degrees (column names or SQL)."""
+    half_lat, half_lon = f"sin(radians({lat2} - {lat1}) / 2)", f"sin(radians({lon2} - {lon1}) / 2)"
+    a = f"({half_lat} * {half_lat} + cos(radians({lat1})) * cos(radians({lat2})) * {half_lon} * {half_lon})"
     # a may pass 1 by one rounding step for antipodes
-    return F.lit(EARTH_RADIUS_KM) * 2 * F.atan2(F.sqrt(a), F.sqrt(F.greatest(1 - a, F.lit(0.0))))
+    return F.expr(f"{EARTH_RADIUS_KM}D * 2 * atan2(sqrt({a}), sqrt(greatest(1 - {a}, 0D)))")
 
 
-def bearing(lat1, lon1, lat2, lon2) -> Column:
+def bearing(lat1: str, lon1: str, lat2: str, lon2: str) -> Column:
     """Initial bearing in degrees [0, 360) from point 1 to point 2."""
-    dlon = F.radians(lon2 - lon1)
-    east = F.sin(dlon) * F.cos(F.radians(lat2))
-    north = F.cos(F.radians(lat1)) * F.sin(F.radians(lat2)) - F.sin(F.radians(lat1)) * F.cos(
-        F.radians(lat2)
-    ) * F.cos(dlon)
-    turn = F.degrees(F.atan2(east, north))
-    return F.when(turn < 0, turn + 360).otherwise(turn)
-
-
-def _side(plat, plon, alat, alon, blat, blon) -> Column:
-    return (plat - blat) * (alon - blon) - (alat - blat) * (plon - blon)
-
-
-def point_in_triangle(plat, plon, alat, alon, blat, blon, clat, clon) -> Column:
-    """True if P is in the triangle ABC or on its edge (planar, in degrees)."""
-    sides = [
-        _side(plat, plon, alat, alon, blat, blon),
-        _side(plat, plon, blat, blon, clat, clon),
-        _side(plat, plon, clat, clon, alat, alon),
-    ]
-    return ~((F.least(*sides) < 0) & (F.greatest(*sides) > 0))
-
-
-def unit_vector(lat, lon) -> tuple[Column, Column, Column]:
-    """Point on the unit sphere; straight-line distance there has no pole or date line."""
-    return (
-        F.cos(F.radians(lat)) * F.cos(F.radians(lon)),
-        F.cos(F.radians(lat)) * F.sin(F.radians(lon)),
-        F.sin(F.radians(lat)),
-    )
+    dlon = f"radians({lon2} - {lon1})"
+    east = f"sin({dlon}) * cos(radians({lat2}))"
+    north = (f"cos(radians({lat1})) * sin(radians({lat2})) "
+             f"- sin(radians({lat1})) * cos(radians({lat2})) * cos({dlon})")
+    turn = f"degrees(atan2({east}, {north}))"
+    return F.expr(f"CASE WHEN {turn} < 0 THEN {turn} + 360 ELSE {turn} END")
+
+
+def in_triangle_sql(plat: str, plon: str, a: str, b: str, c: str) -> str:
+    """SQL: P lies in the triangle of the structs a, b, c (latitude, longitude) or on its edge.
+
+    Planar, in degrees.  Outside exactly if P is left of one side and right of
+    another; a degenerate triangle holds the points of its whole line.
+    """
+    def side(p, q):
+        return (f"({plat} - {q}.latitude) * ({p}.longitude - {q}.longitude)"
+                f" - ({p}.latitude - {q}.latitude) * ({plon} - {q}.longitude)")
+
+    sides = f"{side(a, b)}, {side(b, c)}, {side(c, a)}"
+    return f"NOT (least({sides}) < 0 AND greatest({sides}) > 0)"
+
+
+def point_in_triangle(plat: str, plon: str, a: str, b: str, c: str) -> Column:
+    return F.expr(in_triangle_sql(plat, plon, a, b, c))
+
+
+def unit_vector(lat: str, lon: str) -> list[str]:
+    """SQL of the point on the unit sphere; straight-line distance there has no pole or date line."""
+    return [f"cos(radians({lat})) * cos(radians({lon}))", f"cos(radians({lat})) * sin(radians({lon}))",
+            f"sin(radians({lat}))"]
 
 
 def lattice_shape(lat_min, lat_max, lon_min, lon_max, step) -> tuple[int, int]:

@@ -14,71 +14,65 @@ def to_number(col) -> Column:
     return F.when(~F.isnan(number), number)
 
 
-def in_range(col: Column, low: float | None, high: float | None) -> Column:
-    """The value, or null where it breaks a physical limit."""
-    keep = F.lit(True)
-    if low is not None:
-        keep = keep & (col >= low)
-    if high is not None:
-        keep = keep & (col <= high)
-    return F.when(keep & ~F.isnan(col), col)
-
-
 def apply_ranges(df, rules=RANGE_RULES):
-    """Null every reading outside its physical range."""
-    return df.withColumns({c: in_range(F.col(c), *rules[c]) for c in rules if c in df.columns})
+    """Null every reading outside its physical range (limits inclusive, NaN is outside)."""
+    def rule(c, low, high):
+        tests = [f"NOT isnan({c})"]
+        if low is not None:
+            tests.append(f"{c} >= {low}D")
+        if high is not None:
+            tests.append(f"{c} <= {high}D")
+        return F.expr(f"CASE WHEN {' AND '.join(tests)} THEN {c} END")
 
+    return df.withColumns({c: rule(c, *rules[c]) for c in rules if c in df.columns})
 
-def wind_u(ws, wd) -> Column:
+
+def wind_u(ws: str, wd: str) -> Column:
     """Eastward component of a wind given by speed and the direction it comes from."""
-    return -ws * F.sin(F.radians(wd))
+    return F.expr(f"-{ws} * sin(radians({wd}))")
 
 
-def wind_v(ws, wd) -> Column:
+def wind_v(ws: str, wd: str) -> Column:
     """Northward component."""
-    return -ws * F.cos(F.radians(wd))
+    return F.expr(f"-{ws} * cos(radians({wd}))")
 
 
-def clamp(col: Column, low: float | None, high: float | None) -> Column:
-    """Pull a value into limits; null stays null (greatest/least would fill it)."""
-    out = col
-    if low is not None:
-        out = F.when(col < low, F.lit(low)).otherwise(out)
+def clamp_sql(value: str, low: float | None, high: float | None) -> str:
+    """SQL: pull a value into limits; null stays null (greatest/least would fill it)."""
+    cases = ""
     if high is not None:
-        out = F.when(col > high, F.lit(high)).otherwise(out)
-    return out
+        cases += f" WHEN {value} > {high}D THEN {high}D"
+    if low is not None:
+        cases += f" WHEN {value} < {low}D THEN {low}D"
+    return f"CASE{cases} ELSE {value} END" if cases else value
 
 
-def clamp_estimate(measure: str, col: Column, cutoff: float | None = DRIZZLE_CUTOFF) -> Column:
+def clamp_estimate(measure: str, value: str, cutoff: float | None = DRIZZLE_CUTOFF) -> Column:
     """Limits for an estimated measure; rain below ``cutoff`` is no rain."""
-    out = clamp(col, *ESTIMATE_LIMITS[measure]) if measure in ESTIMATE_LIMITS else col
+    out = clamp_sql(value, *ESTIMATE_LIMITS[measure]) if measure in ESTIMATE_LIMITS else value
     if measure == "rain" and cutoff is not None:
-        out = F.when(col < cutoff, F.lit(0.0)).otherwise(out)
-    return out
+        out = f"CASE WHEN {value} < {cutoff}D THEN 0D ELSE {out} END"
+    return F.expr(out)
 
 
 def repair_extremes(df):
     """Widen tdmax/tdmin to hold td; a null on either side changes nothing."""
     return df.withColumns({
-        "tdmax": F.when(F.col("td") > F.col("tdmax"), F.col("td")).otherwise(F.col("tdmax")),
-        "tdmin": F.when(F.col("td") < F.col("tdmin"), F.col("td")).otherwise(F.col("tdmin")),
+        "tdmax": F.expr("CASE WHEN td > tdmax THEN td ELSE tdmax END"),
+        "tdmin": F.expr("CASE WHEN td < tdmin THEN td ELSE tdmin END"),
     })
 
 
-def rain_band(mm: Column, levels=RAIN_LEVELS) -> Column:
+def rain_band(mm: str, levels=RAIN_LEVELS) -> Column:
     """Index of the highest level reached, -1 below the first, null for null."""
-    band = F.when(mm < levels[0], F.lit(-1))
-    for i, upper in enumerate(levels[1:]):
-        band = band.when(mm < upper, F.lit(i))
-    return band.when(mm >= levels[-1], F.lit(len(levels) - 1)).cast("int")
+    cases = " ".join(f"WHEN {mm} < {upper}D THEN {i}" for i, upper in enumerate(levels, -1))
+    return F.expr(f"CASE {cases} WHEN {mm} >= {levels[-1]}D THEN {len(levels) - 1} END")
 
 
-def rain_class(mm: Column, classes=RAIN_CLASSES) -> Column:
+def rain_class(mm: str, classes=RAIN_CLASSES) -> Column:
     """Name of the rain class; dry below the first wet bound."""
-    name = F.when(mm < classes[1][1], F.lit(classes[0][0]))
-    for (label, _), (_, upper) in zip(classes[1:-1], classes[2:]):
-        name = name.when(mm < upper, F.lit(label))
-    return name.when(mm.isNotNull(), F.lit(classes[-1][0]))
+    cases = " ".join(f"WHEN {mm} < {upper}D THEN '{name}'" for (name, _), (_, upper) in zip(classes, classes[1:]))
+    return F.expr(f"CASE {cases} WHEN {mm} IS NOT NULL THEN '{classes[-1][0]}' END")
 
 
 def missing_names(cols: dict[str, Column]) -> Column:

@@ -52,10 +52,10 @@ def newer_than_clean(readings: DataFrame, clean: DataFrame, scope: str = "statio
     if scope == "global":
         mark = clean.agg(F.max("hour").alias("m"))
         return readings.filter(F.col("ts") > F.coalesce(mark.scalar(), ntz("0001-01-01")))
-    marks = clean.groupBy("station_id").agg(F.max(hour_index(F.col("hour"))).alias("_mark"))
+    marks = clean.groupBy("station_id").agg(F.max(hour_index("hour")).alias("_mark"))
     return (
         readings.join(marks, "station_id", "left")
-        .filter(F.col("_mark").isNull() | (hour_index(F.col("ts")) > F.col("_mark")))
+        .filter(F.col("_mark").isNull() | (hour_index("ts") > F.col("_mark")))
         .drop("_mark")
     )
 
@@ -68,18 +68,12 @@ def hourly_rollup(readings: DataFrame, bin_hours: int = 1, empty_rain: str = "ze
     with a third of all readings is spread over its bins.
     """
     df = apply_ranges(readings, RANGE_RULES).withColumns({
-        "u_vec": wind_u(F.col("ws"), F.col("wd")),
-        "v_vec": wind_v(F.col("ws"), F.col("wd")),
-        "h": F.floor(hour_index(F.col("ts")) / bin_hours),
+        "u_vec": wind_u("ws", "wd"), "v_vec": wind_v("ws", "wd"), "h": F.floor(hour_index("ts") / bin_hours),
     })
-    rain = F.sum("rain")
-    return df.filter(F.col("h").isNotNull()).groupBy("station_id", "h").agg(
-        (F.coalesce(rain, F.lit(0.0)) if empty_rain == "zero" else rain).alias("rain"),
-        *[F.avg(c).alias(c) for c in ("ws", "td", "rh")],
-        F.max("tdmax").alias("tdmax"),
-        F.min("tdmin").alias("tdmin"),
-        F.avg("u_vec").alias("u_vec"),
-        F.avg("v_vec").alias("v_vec"),
+    rain = "coalesce(sum(rain), 0D)" if empty_rain == "zero" else "sum(rain)"
+    totals = {"rain": rain, "tdmax": "max(tdmax)", "tdmin": "min(tdmin)"}
+    return df.filter("h IS NOT NULL").groupBy("station_id", "h").agg(
+        *[F.expr(f"{totals.get(c, f'avg({c})')} AS {c}") for c in MEASURES]
     )
 
 
@@ -96,37 +90,25 @@ def fill_gaps(hourly: DataFrame, limit: int = FILL_LIMIT, key: str = "station_id
     sorted.  A partition of the window is one station's bins, which the length
     of the archive bounds (8,766 a year), however many readings they came from.
     """
-    w = Window.partitionBy(key).orderBy("h")
-    seen = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    spread = [c for c in hourly.columns if c not in (key, "h") and c not in summed]
-    known = {c: F.when(F.col(c).isNotNull(), F.struct(F.col("h").alias("h"), F.col(c).alias("v"))) for c in spread}
-    df = hourly.withColumns({f"_k_{c}": known[c] for c in spread})
-    df = df.select(
-        "*",
-        F.lead("h").over(w).alias("_next_h"),
-        *[F.last(f"_k_{c}", ignorenulls=True).over(seen).alias(f"_p_{c}") for c in spread],
-        # amortised one pass; a frame that starts at the next row would be quadratic
-        *[F.expr(f"lead(_k_{c}) IGNORE NULLS OVER (PARTITION BY {key} ORDER BY h)").alias(f"_n_{c}") for c in spread],
+    measures = [c for c in hourly.columns if c not in (key, "h")]
+    spread = [c for c in measures if c not in summed]
+    w = f"PARTITION BY {key} ORDER BY h"
+    known = {c: f"CASE WHEN {c} IS NOT NULL THEN struct(h, {c} AS v) END" for c in spread}
+    df = hourly.selectExpr(
+        "*", f"lead(h) OVER ({w}) AS _next_h",
+        *[f"last({known[c]}, true) OVER ({w} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS _p_{c}" for c in spread],
+        # one pass over the partition; a frame that starts at the next row would be quadratic
+        *[f"lead({known[c]}) IGNORE NULLS OVER ({w}) AS _n_{c}" for c in spread],
     )
-    last_bin = F.coalesce(F.col("_next_h") - 1, F.col("h"))
-    df = df.withColumn("g", F.explode(F.sequence("h", last_bin)))
+    df = df.selectExpr("*", "explode(sequence(h, coalesce(_next_h - 1, h))) AS g")
 
     def value(c):
-        before, after = F.col(f"_p_{c}"), F.col(f"_n_{c}")
-        steps = (F.col("g") - before["h"]).cast("double")
-        span = (after["h"] - before["h"]).cast("double")
-        line = before["v"] + (after["v"] - before["v"]) * steps / span
-        return F.when(steps <= limit, F.when(after.isNull(), before["v"]).otherwise(line))
-
-    own = F.col("g") == F.col("h")
-    bare = F.lit(0.0) if empty_rain == "zero" else F.lit(None).cast("double")
-    return df.select(
-        key, F.col("g").alias("h"),
-        *[
-            (F.when(own, F.col(c)).otherwise(bare) if c in summed else value(c)).alias(c)
-            for c in hourly.columns if c not in (key, "h")
-        ],
-    )
+        line = f"_p_{c}.v + (_n_{c}.v - _p_{c}.v) * CAST(g - _p_{c}.h AS DOUBLE) / CAST(_n_{c}.h - _p_{c}.h AS DOUBLE)"
+        return f"CASE WHEN g - _p_{c}.h <= {limit} THEN CASE WHEN _n_{c} IS NULL THEN _p_{c}.v ELSE {line} END END AS {c}"
+
+    bare = "0D" if empty_rain == "zero" else "NULL"
+    total = {c: f"CASE WHEN g = h THEN {c} ELSE {bare} END AS {c}" for c in summed}
+    return df.selectExpr(key, "g AS h", *[total.get(c) or value(c) for c in measures])
 
 
 def hourly_clean(readings: DataFrame, dedupe_order: str | None = None, fill_limit: int = FILL_LIMIT,
@@ -141,7 +123,7 @@ def hourly_clean(readings: DataFrame, dedupe_order: str | None = None, fill_limi
     if dedupe_order:
         df = first_per_key(df, ["station_id", "ts"], dedupe_order)
     df = fill_gaps(hourly_rollup(df, bin_hours, empty_rain), fill_limit, empty_rain=empty_rain)
-    return repair_extremes(df).select("station_id", index_hour(F.col("h") * bin_hours).alias("hour"), "h", *MEASURES)
+    return repair_extremes(df).select("station_id", index_hour(f"h * {bin_hours}").alias("hour"), "h", *MEASURES)
 
 
 def closed_hours(hourly: DataFrame, now: datetime | str, ts: str = "hour") -> DataFrame:

@@ -22,13 +22,11 @@ def trio_series(trios: DataFrame, hourly: DataFrame, measures: list[str] = MEASU
     Equals the full outer join of the three series on the hour, as one join in
     long form and one aggregation.  Columns: the trio, h, then measure_n1.._n3.
     """
-    member = F.explode(F.array(*[
-        F.struct(F.lit(i).alias("rank"), F.col(c).alias("station_id")) for i, c in enumerate(TRIO, 1)
-    ]))
-    members = trios.select(*TRIO, member.alias("m")).select(*TRIO, "m.rank", "m.station_id")
+    each = ", ".join(f"{i}, {c}" for i, c in enumerate(TRIO, 1))
+    members = trios.selectExpr(*TRIO, f"stack(3, {each}) AS (rank, station_id)")
     rows = members.join(hourly.select("station_id", "h", *measures), "station_id")
     return rows.groupBy(*TRIO, "h").agg(*[
-        F.max(F.when(F.col("rank") == i, F.col(c))).alias(f"{c}_n{i}") for i in (1, 2, 3) for c in measures
+        F.expr(f"max(CASE WHEN rank = {i} THEN {c} END) AS {c}_n{i}") for i in (1, 2, 3) for c in measures
     ])
 
 
@@ -52,25 +50,24 @@ def cell_series(cells: DataFrame, hourly: DataFrame, measures: list[str] = MEASU
     return salted.join(wide, [*TRIO, "_salt"]).drop("_salt")
 
 
-def idw_value(values: list, distances: list):
-    """Σ(v/d) / Σ(1/d) over the values present; a station at distance 0 decides alone."""
-    total, weight, exact = F.lit(0.0), F.lit(0.0), []
-    for v, d in zip(values, distances):
-        near = F.when(d != 0, d)
-        total = total + F.coalesce(v / near, F.lit(0.0))
-        weight = weight + F.when(v.isNotNull(), F.coalesce(1 / near, F.lit(0.0))).otherwise(0.0)
-        exact.append(F.when(d == 0, v))
-    return F.coalesce(*exact, total / F.when(weight != 0, weight))
+def idw_sql(values: list[str], distances: list[str]) -> str:
+    """SQL of Σ(v/d) / Σ(1/d) over the values present; a station at distance 0 decides alone."""
+    pairs = list(zip(values, distances))
+    total = " + ".join(f"coalesce({v} / nullif({d}, 0D), 0D)" for v, d in pairs)
+    weight = " + ".join(f"CASE WHEN {v} IS NOT NULL THEN coalesce(1 / nullif({d}, 0D), 0D) ELSE 0D END" for v, d in pairs)
+    exact = ", ".join(f"CASE WHEN {d} = 0 THEN {v} END" for v, d in pairs)
+    return f"coalesce({exact}, ({total}) / nullif({weight}, 0D))"
 
 
 def idw(series: DataFrame, measures: list[str] = MEASURES, cutoff: float | None = DRIZZLE_CUTOFF,
         clamped: bool = True, keep: tuple[str, ...] = ("cell_id",)) -> DataFrame:
     """Distance-weighted estimates from ``cell_series`` rows."""
-    def estimate(c):
-        value = idw_value([F.col(f"{c}_n{i}") for i in (1, 2, 3)], [F.col(d) for d in DISTANCES])
-        return clamp_estimate(c, value, cutoff) if clamped else value
-
-    return series.select(*keep, "h", *[estimate(c).alias(c) for c in measures])
+    raw = series.selectExpr(*keep, "h", *[
+        f"{idw_sql([f'{c}_n{i}' for i in (1, 2, 3)], DISTANCES)} AS {c}" for c in measures
+    ])
+    if not clamped:
+        return raw
+    return raw.select(*keep, "h", *[clamp_estimate(c, c, cutoff).alias(c) for c in measures])
 
 
 def idw_grid(cells: DataFrame, hourly: DataFrame, measures: list[str] = MEASURES,
@@ -78,7 +75,7 @@ def idw_grid(cells: DataFrame, hourly: DataFrame, measures: list[str] = MEASURES
     """Interpolated series of every cell whose three neighbours have data: cell_id, h, hour, measures."""
     usable = available_cells(cells, hourly).select("cell_id", *TRIO, *DISTANCES)
     out = idw(cell_series(usable, hourly, measures), measures, cutoff)
-    return out.withColumn("hour", index_hour(F.col("h")))
+    return out.withColumn("hour", index_hour("h"))
 
 
 def static_features(cells: DataFrame, stations: DataFrame, terrain: bool = True, relative: bool = False) -> DataFrame:
@@ -89,18 +86,18 @@ def static_features(cells: DataFrame, stations: DataFrame, terrain: bool = True,
     the elevation difference and bearing from neighbour to target.
     """
     names = [*STATIC, *(TERRAIN if terrain else [])]
-    out = cells.withColumnsRenamed({c: f"{c}_target" for c in names if c in cells.columns})
-    out = out.withColumns({f"dist_n{i}": F.col(f"neighbor_{i}_distance") for i in (1, 2, 3)})
+    out = cells.selectExpr(
+        *[f"{c} AS {c}_target" if c in names else c for c in cells.columns if c in names or c not in TERRAIN],
+        *[f"neighbor_{i}_distance AS dist_n{i}" for i in (1, 2, 3)],
+    )
     place = ["latitude", "longitude"] if relative else []
     for i in (1, 2, 3):
-        side = stations.select(
-            F.col("station_id").alias(f"neighbor_{i}_id"), *[F.col(c).alias(f"{c}_n{i}") for c in [*names, *place]]
-        )
+        side = stations.selectExpr(f"station_id AS neighbor_{i}_id", *[f"{c} AS {c}_n{i}" for c in [*names, *place]])
         out = out.join(side, f"neighbor_{i}_id")
         if relative:
             out = out.withColumns({
-                f"elevation_diff_n{i}": F.col(f"elevation_n{i}") - F.col("elevation_target"),
-                f"bearing_n{i}": bearing(F.col(f"latitude_n{i}"), F.col(f"longitude_n{i}"), F.col("lat"), F.col("lon")),
+                f"elevation_diff_n{i}": F.expr(f"elevation_n{i} - elevation_target"),
+                f"bearing_n{i}": bearing(f"latitude_n{i}", f"longitude_n{i}", "lat", "lon"),
             }).drop(f"latitude_n{i}", f"longitude_n{i}")
     return out
 
@@ -113,7 +110,7 @@ def interpolation_features(cells: DataFrame, hourly: DataFrame, stations: DataFr
     ``cells`` may also be stations as targets (then with cell_id = station_id).
     """
     wide = static_features(available_cells(cells, hourly), stations, terrain)
-    series = cell_series(wide, hourly).withColumn("hour", index_hour(F.col("h")))
+    series = cell_series(wide, hourly).withColumn("hour", index_hour("h"))
     return cyclic_time(series, "hour").drop("is_boundary", *DISTANCES)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from isohyet.functions.calendar import cyclic_time, index_hour
@@ -11,10 +11,10 @@ from isohyet.schemas import (
 )
 
 
-def _at(column: str, offset: int, key: str):
-    """Value exactly ``offset`` hours away; null where that hour has no row."""
-    w = Window.partitionBy(key).orderBy("h").rangeBetween(offset, offset)
-    return F.first(column).over(w)
+def _at(column: str, offset: int, key: str) -> str:
+    """SQL of the value exactly ``offset`` hours away; null where that hour has no row."""
+    place = f"{abs(offset)} {'FOLLOWING' if offset > 0 else 'PRECEDING'}"
+    return f"first({column}) OVER (PARTITION BY {key} ORDER BY h RANGE BETWEEN {place} AND {place})"
 
 
 def local_lags(df: DataFrame, key: str = "cell_id", measures=LAG_MEASURES, hours=LAG_HOURS) -> DataFrame:
@@ -24,7 +24,7 @@ def local_lags(df: DataFrame, key: str = "cell_id", measures=LAG_MEASURES, hours
     Frames are ranges of the hour index, so a lag is a time and not a row
     count, and needs no gap-free series.
     """
-    return df.select("*", *[_at(c, -n, key).alias(f"{c}_t-{n}h") for c in measures for n in hours])
+    return df.selectExpr("*", *[f"{_at(c, -n, key)} AS `{c}_t-{n}h`" for c in measures for n in hours])
 
 
 def upstream_series(hourly: DataFrame, station_id: int, name: str, hours=UPSTREAM_LAG_HOURS) -> DataFrame:
@@ -32,18 +32,22 @@ def upstream_series(hourly: DataFrame, station_id: int, name: str, hours=UPSTREA
 
     At most one row per hour of the archive, however many cells use it.
     """
-    one = hourly.filter(F.col("station_id") == station_id).select(
-        "station_id", "h", *[F.col(c).alias(f"{c}_{name}") for c in UPSTREAM_MEASURES]
-    ).withColumn(f"moisture_flux_{name}", F.col(f"u_vec_{name}") * F.col(f"rh_{name}"))
-    columns = [f"{c}_{name}" for c in [*UPSTREAM_MEASURES, "moisture_flux"]]
+    one = hourly.filter(F.col("station_id") == station_id).selectExpr(
+        "h", *[f"{c} AS {c}_{name}" for c in UPSTREAM_MEASURES], f"u_vec * rh AS moisture_flux_{name}"
+    )
+    columns = one.columns[1:]
     # a lag exists also at hours where the station itself is silent
-    shifted = one.select("h", *columns, F.explode(F.array(*[F.lit(n) for n in [0, *hours]])).alias("n"))
-    return shifted.groupBy((F.col("h") + F.col("n")).alias("h")).agg(*[
-        F.max(F.when(F.col("n") == n, F.col(c))).alias(c if n == 0 else f"{c}_t-{n}h")
-        for c in columns for n in [0, *hours]
+    steps = [0, *hours]
+    shifted = one.selectExpr("h", *columns, f"explode(array({', '.join(map(str, steps))})) AS n")
+    return shifted.groupBy(F.expr("h + n AS h")).agg(*[
+        F.expr(f"max(CASE WHEN n = {n} THEN {c} END) AS `{c}{_lag(n)}`") for c in columns for n in steps
     ])
 
 
+def _lag(n: int) -> str:
+    return f"_t-{n}h" if n else ""
+
+
 def upstream_features(cells: DataFrame, hourly: DataFrame, upstream: dict[str, int],
                       hours=UPSTREAM_LAG_HOURS, key: str = "cell_id") -> DataFrame:
     """Left-join the upstream series to every cell hour and add the convergence columns.
@@ -57,14 +61,10 @@ def upstream_features(cells: DataFrame, hourly: DataFrame, upstream: dict[str, i
     if missing:
         out = local_lags(out, key, ["u_vec", "v_vec"], sorted(set(missing)))
     for name, station_id in upstream.items():
-        out = out.join(upstream_series(hourly, station_id, name, hours), "h", "left")
-        for axis in ("u", "v"):
-            for n in [0, *hours]:
-                lag = "" if n == 0 else f"_t-{n}h"
-                out = out.withColumn(
-                    f"{axis}_convergence_{name}{lag}",
-                    F.col(f"{axis}_vec_{name}{lag}") - F.col(f"{axis}_vec{lag}"),
-                )
+        out = out.join(upstream_series(hourly, station_id, name, hours), "h", "left").selectExpr("*", *[
+            f"`{axis}_vec_{name}{_lag(n)}` - `{axis}_vec{_lag(n)}` AS `{axis}_convergence_{name}{_lag(n)}`"
+            for axis in ("u", "v") for n in [0, *hours]
+        ])
     return out if not missing else out.drop(*[f"{c}_t-{n}h" for c in ("u_vec", "v_vec") for n in set(missing)])
 
 
@@ -74,11 +74,10 @@ def forecast_features(cells: DataFrame, hourly: DataFrame, upstream: dict[str, i
 
     The first ``warm_up`` rows of every cell are left out.
     """
-    w = Window.partitionBy(key).orderBy("h")
-    base = cells if "hour" in cells.columns else cells.withColumn("hour", index_hour(F.col("h")))
-    lagged = local_lags(base.withColumn("_row", F.row_number().over(w)), key)
-    lagged = cyclic_time(lagged.filter(F.col("_row") > warm_up).drop("_row"), "hour")
-    return upstream_features(lagged, hourly, upstream, key=key)
+    base = cells if "hour" in cells.columns else cells.withColumn("hour", index_hour("h"))
+    numbered = base.selectExpr("*", f"row_number() OVER (PARTITION BY {key} ORDER BY h) AS _row")
+    lagged = local_lags(numbered, key).filter(f"_row > {warm_up}").drop("_row")
+    return upstream_features(cyclic_time(lagged, "hour"), hourly, upstream, key=key)
 
 
 def neighbor_lags(hourly: DataFrame, measures, hours=(1, 2, 3)) -> DataFrame:
@@ -88,17 +87,14 @@ def neighbor_lags(hourly: DataFrame, measures, hours=(1, 2, 3)) -> DataFrame:
 
 def horizon_targets(df: DataFrame, measure: str = "rain", hours=HORIZONS, key: str = "cell_id") -> DataFrame:
     """Add the value found ``n`` hours later as target_tN."""
-    return df.select("*", *[_at(measure, n, key).alias(f"target_t{n}") for n in hours])
+    return df.selectExpr("*", *[f"{_at(measure, n, key)} AS target_t{n}" for n in hours])
 
 
 def persistence(df: DataFrame, measure: str = "rain", hours=HORIZONS, key: str = "cell_id") -> DataFrame:
     """Long rows (key, h, horizon, forecast, observed): the value ``horizon`` hours before h."""
-    wide = df.select(key, "h", F.col(measure).alias("observed"),
-                     *[_at(measure, -n, key).alias(f"_p{n}") for n in hours])
-    each = F.explode(F.array(*[
-        F.struct(F.lit(n).alias("horizon"), F.col(f"_p{n}").alias("forecast")) for n in hours
-    ]))
-    return wide.select(key, "h", "observed", each.alias("e")).select(key, "h", "e.horizon", "e.forecast", "observed")
+    wide = df.selectExpr(key, "h", f"{measure} AS observed", *[f"{_at(measure, -n, key)} AS p{n}" for n in hours])
+    each = ", ".join(f"{n}, p{n}" for n in hours)
+    return wide.selectExpr(key, "h", f"stack({len(hours)}, {each}) AS (horizon, forecast)", "observed")
 
 
 def latest_row(df: DataFrame, key: str = "cell_id", order: str = "h") -> DataFrame:

@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isohyet.functions.geo import haversine, lattice_shape, point_in_triangle, unit_vector
+from isohyet.functions.geo import haversine, in_triangle_sql, lattice_shape, unit_vector
 from isohyet.schemas import GRID_BOX, GRID_STEP, NEIGHBOR_CANDIDATES
 
 # Cubes around the unit sphere halve in side per level; the deepest is under a metre.
 DEEPEST = 24
 CUBE = ["cx", "cy", "cz"]
+POINT = ["px", "py", "pz"]
 
 
 def grid_cells(spark, lat_min=GRID_BOX["lat_min"], lat_max=GRID_BOX["lat_max"], lon_min=GRID_BOX["lon_min"],
@@ -34,27 +35,25 @@ def active_stations(stations: DataFrame, hourly: DataFrame, left_out=()) -> Data
 
 
 def _cubes(df: DataFrame, lat: str, lon: str) -> DataFrame:
-    """Add the point on the unit sphere (_x _y _z) and its deepest cube."""
-    side = F.lit(float(2 ** (DEEPEST - 1)))
-    points = dict(zip(("_x", "_y", "_z"), unit_vector(F.col(lat), F.col(lon))))
-    df = df.withColumns(points)
-    return df.withColumns({
-        c: F.least(F.floor((F.col(p) + 1) * side), F.lit(2**DEEPEST - 1)) for c, p in zip(CUBE, points)
-    })
+    """Add the point on the unit sphere (px py pz) and its deepest cube (cx cy cz)."""
+    df = df.selectExpr("*", *[f"{v} AS {p}" for v, p in zip(unit_vector(lat, lon), POINT)])
+    edge = 2**DEEPEST - 1
+    return df.selectExpr("*", *[f"least(floor(({p} + 1) * {2.0 ** (DEEPEST - 1)}D), {edge}L) AS {c}" for c, p in zip(CUBE, POINT)])
 
 
-def _at_level(level) -> list:
-    """Cube columns of a row at a coarser level."""
-    return [F.expr(f"shiftright({c}, {DEEPEST} - {level})").alias(c) for c in CUBE]
+def _at_level(level: str) -> list[str]:
+    """SQL of the cube columns at a coarser level."""
+    return [f"shiftright({c}, {DEEPEST} - {level}) AS {c}" for c in CUBE]
 
 
 def nearest_stations(targets: DataFrame, stations: DataFrame, k: int = NEIGHBOR_CANDIDATES,
                      target_id: str = "cell_id", exclude_self: bool = False) -> DataFrame:
     """The k nearest stations of each target, exactly, without pairing all with all.
 
-    Rows: target_id, rank (from 1), station_id, distance_km, latitude, longitude.
-    Order is by distance, then station_id.  ``targets`` has target_id, lat, lon;
-    with ``exclude_self`` target_id is a station_id that never picks itself.
+    Rows: target_id, lat, lon, rank (from 1), neighbor_id, distance_km and the
+    neighbour's latitude and longitude, ordered by distance, then neighbor_id.
+    ``targets`` has target_id, lat, lon; with ``exclude_self`` target_id is a
+    station_id that never picks itself.
 
     Space is cut into nested cubes.  A target's home is the smallest cube
     around it that holds k stations.  The farthest corner of that cube is then
@@ -65,84 +64,59 @@ def nearest_stations(targets: DataFrame, stations: DataFrame, k: int = NEIGHBOR_
     """
     want = k + 1 if exclude_self else k
     # of a pile of stations on one spot only the lowest ids can be chosen
-    spot = Window.partitionBy("latitude", "longitude").orderBy("station_id")
     spots = (
-        stations.filter(F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
-        .select("station_id", "latitude", "longitude")
-        .withColumn("_n", F.row_number().over(spot))
-        .filter(F.col("_n") <= want).drop("_n")
-    )
-    placed = _cubes(spots, "latitude", "longitude")
-    pyramid = placed.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(DEEPEST)))).select(
-        "station_id", "latitude", "longitude", "_x", "_y", "_z", "level", *_at_level("level")
+        stations.filter("latitude IS NOT NULL AND longitude IS NOT NULL")
+        .selectExpr("station_id AS neighbor_id", "latitude", "longitude",
+                    "row_number() OVER (PARTITION BY latitude, longitude ORDER BY station_id) AS _n")
+        .filter(f"_n <= {want}").drop("_n")
     )
+    pyramid = _cubes(spots, "latitude", "longitude").selectExpr(
+        "*", f"explode(sequence(0, {DEEPEST})) AS level"
+    ).selectExpr("neighbor_id", "latitude", "longitude", "px AS sx", "py AS sy", "pz AS sz", "level", *_at_level("level"))
     # cubes with k stations or more; the root counts whatever it holds
-    crowded = (
-        pyramid.groupBy("level", *CUBE).agg(F.count(F.lit(1)).alias("_n"))
-        .filter((F.col("_n") >= want) | (F.col("level") == 0)).drop("_n")
-    )
-    deepest = F.coalesce(crowded.agg(F.max("level").alias("level")).scalar(), F.lit(0))
+    crowded = pyramid.groupBy("level", *CUBE).agg(F.expr("count(1) AS _n")).filter(f"_n >= {want} OR level = 0").drop("_n")
+    deepest = F.coalesce(crowded.agg(F.max("level")).scalar(), F.lit(0))
 
-    points = _cubes(targets.select(target_id, "lat", "lon").filter("lat IS NOT NULL AND lon IS NOT NULL"), "lat", "lon")
+    points = targets.selectExpr(f"{target_id} AS _t", "lat", "lon").filter("lat IS NOT NULL AND lon IS NOT NULL")
     home = (
-        points.withColumn("level", F.explode(F.sequence(F.lit(0), deepest)))
-        .select(target_id, "lat", "lon", "level", *_at_level("level"))
+        _cubes(points, "lat", "lon").withColumn("level", F.explode(F.sequence(F.lit(0), deepest)))
+        .selectExpr("_t", "lat", "lon", "level", *_at_level("level"))
         .join(crowded, ["level", *CUBE], "left_semi")
-        .groupBy(target_id, "lat", "lon").agg(F.max("level").alias("_home"))
+        .groupBy("_t", "lat", "lon").agg(F.expr("max(level) AS home"))
     )
-    points = _cubes(home, "lat", "lon")
     # squared straight-line distance to the farthest corner of the home cube
-    side = F.pow(F.lit(2.0), 1 - F.col("_home"))
-    reach2 = F.lit(0.0)
-    for c, p in zip(CUBE, ("_x", "_y", "_z")):
-        low = F.expr(f"shiftright({c}, {DEEPEST} - _home)") * side - 1
-        far = F.greatest(F.col(p) - low, low + side - F.col(p))
-        reach2 = reach2 + far * far
-    points = points.withColumn("_reach2", reach2 * (1 + 1e-9) + 1e-15)
-    step = F.explode(F.array(*[
-        F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(m).alias("m"))
-        for i in (-1, 0, 1) for j in (-1, 0, 1) for m in (-1, 0, 1)
-    ]))
+    side = "pow(2D, 1 - home)"
+    far = [f"greatest({p} - ({low}), ({low}) + {side} - {p})" for p, low in (
+        (p, f"shiftright({c}, {DEEPEST} - home) * {side} - 1") for p, c in zip(POINT, CUBE))]
+    reach2 = " + ".join(f"pow({x}, 2)" for x in far)
+    steps = "explode(sequence(-1L, 1L))"
     around = (
-        points.withColumn("level", F.greatest(F.col("_home") - 1, F.lit(0)))
-        .select(
-            target_id, "lat", "lon", F.col("_x").alias("_tx"), F.col("_y").alias("_ty"), F.col("_z").alias("_tz"),
-            "_reach2", "level", *_at_level("level"), step.alias("_s"),
-        )
-        .withColumns({c: F.col(c) + F.col(f"_s.{s}") for c, s in zip(CUBE, ("i", "j", "m"))})
-        .filter(F.least(*CUBE) >= 0)
+        _cubes(home, "lat", "lon").selectExpr("*", f"({reach2}) * (1 + 1e-9D) + 1e-15D AS reach2")
+        .selectExpr("_t", "lat", "lon", *POINT, "reach2", "greatest(home - 1, 0) AS level", *_at_level("greatest(home - 1, 0)"))
+        .selectExpr("*", f"{steps} AS dx").selectExpr("*", f"{steps} AS dy").selectExpr("*", f"{steps} AS dz")
+        .selectExpr("_t", "lat", "lon", *POINT, "reach2", "level", "cx + dx AS cx", "cy + dy AS cy", "cz + dz AS cz")
     )
-    gap2 = F.lit(0.0)
-    for c, p in zip(CUBE, ("_tx", "_ty", "_tz")):
-        width = F.pow(F.lit(2.0), 1 - F.col("level"))
-        low = F.col(c) * width - 1
-        gap = F.greatest(low - F.col(p), F.col(p) - low - width, F.lit(0.0))
-        gap2 = gap2 + gap * gap
-    around = around.filter(gap2 <= F.col("_reach2"))  # skip cubes that the ball does not touch
-
-    chord2 = F.lit(0.0)
-    for t, s in (("_tx", "_x"), ("_ty", "_y"), ("_tz", "_z")):
-        chord2 = chord2 + (F.col(t) - F.col(s)) * (F.col(t) - F.col(s))
-    pairs = around.join(pyramid, ["level", *CUBE]).filter(chord2 <= F.col("_reach2"))
-    if exclude_self:
-        pairs = pairs.filter(F.col(target_id) != F.col("station_id"))
-    order = Window.partitionBy(target_id).orderBy("distance_km", "station_id")
+    width = "pow(2D, 1 - level)"
+    gap = [f"greatest(({low}) - {p}, {p} - ({low}) - {width}, 0D)" for p, low in (
+        (p, f"{c} * {width} - 1") for p, c in zip(POINT, CUBE))]
+    around = around.filter(" + ".join(f"pow({x}, 2)" for x in gap) + " <= reach2")  # only cubes that the ball touches
+
+    chord2 = " + ".join(f"({p} - {s}) * ({p} - {s})" for p, s in zip(POINT, ("sx", "sy", "sz")))
+    near = f"{chord2} <= reach2" + (" AND _t <> neighbor_id" if exclude_self else "")
     return (
-        pairs.select(
-            target_id, "lat", "lon", "station_id",
-            haversine(F.col("lat"), F.col("lon"), F.col("latitude"), F.col("longitude")).alias("distance_km"),
-            "latitude", "longitude",
-        )
-        .withColumn("rank", F.row_number().over(order))
-        .filter(F.col("rank") <= k)
-        .select(target_id, "lat", "lon", "rank", "station_id", "distance_km", "latitude", "longitude")
+        around.join(pyramid, ["level", *CUBE]).filter(near)
+        .select(F.col("_t").alias(target_id), "lat", "lon", "neighbor_id",
+                haversine("lat", "lon", "latitude", "longitude").alias("distance_km"), "latitude", "longitude")
+        .withColumn("rank", F.expr(f"row_number() OVER (PARTITION BY {target_id} ORDER BY distance_km, neighbor_id)"))
+        .filter(f"rank <= {k}")
+        .select(target_id, "lat", "lon", "rank", "neighbor_id", "distance_km", "latitude", "longitude")
     )
 
 
 def candidate_lists(nearest: DataFrame, target_id: str = "cell_id") -> DataFrame:
     """One row per target with its (at most k) candidates as an array in rank order."""
-    one = F.struct("rank", "station_id", "distance_km", "latitude", "longitude")
-    return nearest.groupBy(target_id, "lat", "lon").agg(F.sort_array(F.collect_list(one)).alias("candidates"))
+    one = "struct(rank, neighbor_id, distance_km, latitude, longitude)"
+    return nearest.groupBy(target_id, "lat", "lon").agg(F.expr(f"sort_array(collect_list({one})) AS candidates"))
 
 
 def choose_triangle(lists: DataFrame, k: int = NEIGHBOR_CANDIDATES) -> DataFrame:
@@ -153,30 +127,21 @@ def choose_triangle(lists: DataFrame, k: int = NEIGHBOR_CANDIDATES) -> DataFrame
     nearest are taken and is_boundary is true.  Targets with fewer than three
     candidates are dropped.
     """
-    trios = F.array(*[
-        F.struct(*[F.lit(x).alias(n) for n, x in zip("ijk", trio)]) for trio in combinations(range(1, k + 1), 3)
+    trios = ", ".join(f"struct({i} AS i, {j} AS j, {m} AS m)" for i, j, m in combinations(range(k), 3))
+    a, b, c = (f"candidates[t.{x}]" for x in "ijm")
+    holds = in_triangle_sql("lat", "lon", a, b, c)
+    total = f"{a}.distance_km + {b}.distance_km + {c}.distance_km"
+    best = (f"array_min(transform(filter(array({trios}), t -> t.m < size(candidates) AND {holds}), "
+            f"t -> struct({total} AS total, t.i AS i, t.j AS j, t.m AS m)))")
+    rest = [x for x in lists.columns if x != "candidates"]
+    picks = lists.filter("size(candidates) >= 3").selectExpr("*", f"{best} AS best").selectExpr(
+        *rest, "best IS NULL AS is_boundary",
+        *[f"candidates[coalesce(best.{x}, {n})] AS n{n + 1}" for n, x in enumerate("ijm")],
+    )
+    return picks.selectExpr(*rest, "is_boundary", *[
+        x for n in (1, 2, 3)
+        for x in (f"n{n}.neighbor_id AS neighbor_{n}_id", f"n{n}.distance_km AS neighbor_{n}_distance")
     ])
-    c = F.col("candidates")
-
-    def holds(t):
-        corners = [F.element_at(c, t[n]) for n in "ijk"]
-        flat = [x for p in corners for x in (p["latitude"], p["longitude"])]
-        return point_in_triangle(F.col("lat"), F.col("lon"), *flat)
-
-    def scored(t):
-        d = [F.element_at(c, t[n])["distance_km"] for n in "ijk"]
-        return F.struct((d[0] + d[1] + d[2]).alias("total"), *[t[n].alias(n) for n in "ijk"])
-
-    usable = F.when(F.size(c) >= k, trios).otherwise(F.filter(trios, lambda t: t["k"] <= F.size(c)))
-    best = F.array_min(F.transform(F.filter(usable, holds), scored))
-    df = lists.filter(F.size(c) >= 3).withColumn("_best", best)
-    df = df.withColumn("is_boundary", F.col("_best").isNull())
-    picks = [F.element_at(c, F.coalesce(F.col(f"_best.{n}"), F.lit(i))) for i, n in enumerate("ijk", 1)]
-    named = [
-        col for i, p in enumerate(picks, 1)
-        for col in (p["station_id"].alias(f"neighbor_{i}_id"), p["distance_km"].alias(f"neighbor_{i}_distance"))
-    ]
-    return df.select(*[x for x in lists.columns if x != "candidates"], "is_boundary", *named)
 
 
 def triangle_neighbors(targets: DataFrame, stations: DataFrame, k: int = NEIGHBOR_CANDIDATES,
@@ -203,24 +168,20 @@ def leave_location_out(stations: DataFrame, k: int = NEIGHBOR_CANDIDATES) -> Dat
     """
     targets = stations.select("station_id", F.col("latitude").alias("lat"), F.col("longitude").alias("lon"))
     lists = candidate_lists(nearest_stations(targets, stations, k + 1, "station_id", True), "station_id")
-    folds = lists.withColumn("fold", F.explode(F.slice(F.col("candidates")["station_id"], 1, k)))
-    rest = F.filter("candidates", lambda s: s["station_id"] != F.col("fold"))
+    folds = lists.withColumn("fold", F.explode(F.slice(F.col("candidates")["neighbor_id"], 1, k)))
+    rest = F.filter("candidates", lambda s: s["neighbor_id"] != F.col("fold"))
     return choose_triangle(folds.withColumn("candidates", F.slice(rest, 1, k)), k)
 
 
 def long_neighbors(wide: DataFrame, target_id: str = "cell_id") -> DataFrame:
     """(target, rank, station_id, distance_km) from the wide form."""
-    each = F.explode(F.array(*[
-        F.struct(F.lit(i).alias("rank"), F.col(f"neighbor_{i}_id").alias("station_id"),
-                 F.col(f"neighbor_{i}_distance").alias("distance_km"))
-        for i in (1, 2, 3)
-    ]))
-    return wide.select(target_id, each.alias("n")).select(target_id, "n.*")
+    each = ", ".join(f"{i}, neighbor_{i}_id, neighbor_{i}_distance" for i in (1, 2, 3))
+    return wide.selectExpr(target_id, f"stack(3, {each}) AS (rank, station_id, distance_km)")
 
 
 def required_stations(neighbors: DataFrame, upstream) -> DataFrame:
     """Every station that the grid needs: neighbours of any rank and the upstream ones."""
-    ids = neighbors.select(F.explode(F.array(*[f"neighbor_{i}_id" for i in (1, 2, 3)])).alias("station_id"))
+    ids = neighbors.selectExpr("explode(array(neighbor_1_id, neighbor_2_id, neighbor_3_id)) AS station_id")
     more = neighbors.sparkSession.createDataFrame([(int(s),) for s in upstream], "station_id long")
     return ids.union(more).distinct()
 
@@ -241,4 +202,4 @@ def nearest_target(targets: DataFrame, stations: DataFrame, target_id: str = "ce
     as_points = stations.select(F.col("station_id").alias("_station"), F.col("latitude").alias("lat"),
                                 F.col("longitude").alias("lon"))
     near = nearest_stations(as_points, as_sites, 1, "_station")
-    return near.select(F.col("_station").alias("station_id"), F.col("station_id").alias(target_id), "distance_km")
+    return near.select(F.col("_station").alias("station_id"), F.col("neighbor_id").alias(target_id), "distance_km")

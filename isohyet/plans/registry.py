@@ -24,12 +24,11 @@ from isohyet.sources import tables as tt
 
 def shown(df: DataFrame, drop=("h",)) -> DataFrame:
     """Six decimals and no negative zero, for comparison between engines."""
-    df = df.drop(*drop)
-    rounded = {
-        f.name: F.when(F.round(f.name, 6) == 0, F.lit(0.0)).otherwise(F.round(f.name, 6))
-        for f in df.schema.fields if isinstance(f.dataType, T.DoubleType)
-    }
-    return df.withColumns(rounded) if rounded else df
+    return df.selectExpr(*[
+        f"CASE WHEN round(`{f.name}`, 6) = 0 THEN 0D ELSE round(`{f.name}`, 6) END AS `{f.name}`"
+        if isinstance(f.dataType, T.DoubleType) else f"`{f.name}`"
+        for f in df.schema.fields if f.name not in drop
+    ])
 
 
 def flatten_observations(spark, sf):
@@ -62,23 +61,23 @@ def range_rules(spark, sf):
 
 def wind_components(spark, sf):
     df = weather.apply_ranges(tb.readings(spark, sf))
-    return shown(df.select("event_id", weather.wind_u(F.col("ws"), F.col("wd")).alias("u_vec"),
-                           weather.wind_v(F.col("ws"), F.col("wd")).alias("v_vec")))
+    return shown(df.select("event_id", weather.wind_u("ws", "wd").alias("u_vec"),
+                           weather.wind_v("ws", "wd").alias("v_vec")))
 
 
 def hourly_rollup(spark, sf):
     df = cl.hourly_rollup(tb.readings(spark, sf))
-    return shown(df.withColumn("hour", index_hour(F.col("h"))))
+    return shown(df.withColumn("hour", index_hour("h")))
 
 
 def hourly_spine(spark, sf):
     df = cl.fill_gaps(cl.hourly_rollup(tb.readings(spark, sf)), limit=0)
-    return shown(df.select("station_id", index_hour(F.col("h")).alias("hour"), "rain", "td"))
+    return shown(df.select("station_id", index_hour("h").alias("hour"), "rain", "td"))
 
 
 def gap_fill(spark, sf):
     df = cl.fill_gaps(cl.hourly_rollup(tb.readings(spark, sf)))
-    return shown(df.withColumn("hour", index_hour(F.col("h"))))
+    return shown(df.withColumn("hour", index_hour("h")))
 
 
 def hourly_clean(spark, sf):
@@ -140,18 +139,18 @@ def incremental_filter(spark, sf):
     """Readings newer than the clean table of the station; that table stops at a different day each."""
     r = tb.readings(spark, sf)
     stop = F.make_timestamp_ntz(F.lit(2024), F.lit(1), (F.col("station_id") % 20 + 5).cast("int"), F.lit(0), F.lit(0), F.lit(0))
-    have = cl.hourly_rollup(r.filter(F.col("ts") < stop)).withColumn("hour", index_hour(F.col("h")))
+    have = cl.hourly_rollup(r.filter(F.col("ts") < stop)).withColumn("hour", index_hour("h"))
     return shown(cl.newer_than_clean(r, have))
 
 
 def incremental_filter_global(spark, sf):
     r = tb.readings(spark, sf)
-    have = cl.hourly_rollup(r.filter(F.col("ts") < "2024-01-20")).withColumn("hour", index_hour(F.col("h")))
+    have = cl.hourly_rollup(r.filter(F.col("ts") < "2024-01-20")).withColumn("hour", index_hour("h"))
     return shown(cl.newer_than_clean(r, have, scope="global"))
 
 
 def closed_hours(spark, sf):
-    df = cl.hourly_rollup(tb.readings(spark, sf)).withColumn("hour", index_hour(F.col("h")))
+    df = cl.hourly_rollup(tb.readings(spark, sf)).withColumn("hour", index_hour("h"))
     return shown(cl.closed_hours(df, "2024-01-30 22:40:00"))
 
 
@@ -182,29 +181,29 @@ def haversine_pairs(spark, sf):
     c = tb.cells(spark, sf).select(F.col("cell_id").alias("_cell"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon"))
     df = l.join(o, l.l_orderkey == o.o_orderkey).join(p, "cell_id").join(c, "_cell")
     return shown(df.select("l_orderkey", "l_linenumber", F.col("_cell").alias("to_id"), geo.haversine(
-        F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon")).alias("distance_km")))
+        "lat", "lon", "_lat", "_lon").alias("distance_km")))
 
 
 def knn_join(spark, sf):
-    df = nb.nearest_stations(tb.points(spark, sf), tb.stations(spark, sf))
-    return shown(df.select("cell_id", "rank", "station_id", "distance_km"))
+    df = nb.nearest_stations(tb.points(spark, sf), tb.stored_stations(spark, sf))
+    return shown(df.select("cell_id", "rank", F.col("neighbor_id").alias("station_id"), "distance_km"))
 
 
 def triangle_neighbors(spark, sf):
-    return shown(nb.triangle_neighbors(tb.points(spark, sf), tb.stations(spark, sf)))
+    return shown(nb.triangle_neighbors(tb.points(spark, sf), tb.stored_stations(spark, sf)))
 
 
 def station_neighbors(spark, sf):
-    return shown(nb.station_neighbors(tb.stations(spark, sf), holdout=tb.HOLDOUT))
+    return shown(nb.station_neighbors(tb.stored_stations(spark, sf), holdout=tb.HOLDOUT))
 
 
 def leave_location_out(spark, sf):
-    return shown(nb.leave_location_out(tb.stations(spark, sf)))
+    return shown(nb.leave_location_out(tb.stored_stations(spark, sf)))
 
 
 def available_cells(spark, sf):
     """Cells whose three neighbours all had rain of 30 mm in some hour."""
-    wet = tb.clean(spark, sf).filter("rain > 30")
+    wet = tb.stored_clean(spark, sf).filter("rain > 30")
     df = nb.available_cells(tb.neighbors(spark, sf), wet)
     return df.select("cell_id", *ip.TRIO)
 
@@ -212,21 +211,21 @@ def available_cells(spark, sf):
 def neighbor_features(spark, sf):
     near = tb.neighbors(spark, sf).select("cell_id", *ip.TRIO)
     df = ip.cell_series(near, tb.clean(spark, sf))
-    return shown(df.withColumn("hour", index_hour(F.col("h"))))
+    return shown(df.withColumn("hour", index_hour("h")))
 
 
 def static_features(spark, sf):
-    df = ip.static_features(tb.neighbors(spark, sf), tb.stations(spark, sf))
+    df = ip.static_features(tb.neighbors(spark, sf), tb.stored_stations(spark, sf))
     return shown(df.drop(*ip.DISTANCES))
 
 
 def bearing_elevation(spark, sf):
-    df = ip.static_features(tb.neighbors(spark, sf), tb.stations(spark, sf), terrain=False, relative=True)
+    df = ip.static_features(tb.neighbors(spark, sf), tb.stored_stations(spark, sf), terrain=False, relative=True)
     return shown(df.select("cell_id", *[f"{c}_n{i}" for c in ("elevation_diff", "bearing") for i in (1, 2, 3)]))
 
 
 def interpolation_features(spark, sf):
-    df = ip.interpolation_features(tb.neighbors(spark, sf), tb.clean(spark, sf), tb.stations(spark, sf))
+    df = ip.interpolation_features(tb.neighbors(spark, sf), tb.stored_clean(spark, sf), tb.stored_stations(spark, sf))
     return shown(df.drop("lat", "lon"))
 
 
@@ -246,13 +245,15 @@ def local_lags(spark, sf):
 
 
 def upstream_features(spark, sf):
-    df = lg.upstream_features(tb.interpolated(spark, sf).select("cell_id", "h", "hour", "u_vec", "v_vec"),
-                              tb.clean(spark, sf), tb.UPSTREAM)
+    hourly = tb.stored_clean(spark, sf)
+    df = lg.upstream_features(tb.interpolated(spark, sf, hourly).select("cell_id", "h", "hour", "u_vec", "v_vec"),
+                              hourly, tb.UPSTREAM)
     return shown(df)
 
 
 def forecast_features(spark, sf):
-    return shown(lg.forecast_features(tb.interpolated(spark, sf), tb.clean(spark, sf), tb.UPSTREAM))
+    hourly = tb.stored_clean(spark, sf)
+    return shown(lg.forecast_features(tb.interpolated(spark, sf, hourly), hourly, tb.UPSTREAM))
 
 
 def neighbor_lags(spark, sf):
@@ -264,7 +265,7 @@ def latest_per_cell(spark, sf):
 
 
 def now_layer(spark, sf):
-    df = ly.now_layer(tb.interpolated(spark, sf), tb.cells(spark, sf))
+    df = ly.now_layer(tb.stored_grid(spark, sf), tb.cells(spark, sf))
     return shown(ly.cell_rectangles(df).drop("label"))
 
 
@@ -274,17 +275,17 @@ def forecast_layer(spark, sf):
 
 
 def time_index(spark, sf):
-    return ly.time_index(tb.interpolated(spark, sf))
+    return ly.time_index(tb.stored_grid(spark, sf))
 
 
 def demo_page(spark, sf):
-    grid = tb.interpolated(spark, sf).select("cell_id", "hour", "rain")
+    grid = tb.stored_grid(spark, sf).select("cell_id", "hour", "rain")
     return shown(ly.demo_page(grid, 100, "right"))
 
 
 def demo_page_end(spark, sf):
     """Stepping right from the last page stays there."""
-    grid = tb.interpolated(spark, sf).select("cell_id", "hour", "rain")
+    grid = tb.stored_grid(spark, sf).select("cell_id", "hour", "rain")
     return shown(ly.demo_page(grid, 100000, "right"))
 
 
@@ -302,8 +303,8 @@ def text_times(spark, sf):
 
 def rain_bands(spark, sf):
     df = tb.readings(spark, sf)
-    return df.select("event_id", weather.rain_band(F.col("rain")).alias("band"),
-                     weather.rain_class(F.col("rain")).alias("rain_class"))
+    return df.select("event_id", weather.rain_band("rain").alias("band"),
+                     weather.rain_class("rain").alias("rain_class"))
 
 
 def missingness_report(spark, sf):
@@ -316,46 +317,47 @@ def quality_report(spark, sf):
 
 
 def longest_segment(spark, sf):
-    df = cl.longest_segment(tb.clean(spark, sf), ["td", "ws"])
-    return df.select("station_id", "hours", index_hour(F.col("start_h")).alias("start_hour"),
-                     index_hour(F.col("end_h")).alias("end_hour"), "ends_at_end")
+    df = cl.longest_segment(tb.stored_clean(spark, sf), ["td", "ws"])
+    return df.select("station_id", "hours", index_hour("start_h").alias("start_hour"),
+                     index_hour("end_h").alias("end_hour"), "ends_at_end")
 
 
 def targets_by_horizon(spark, sf):
     return shown(lg.horizon_targets(tb.interpolated(spark, sf).select("cell_id", "h", "hour", "rain")))
 
 
-def _pairs(spark, sf):
+def _pairs(spark, sf, hourly):
     """Grid forecasts by persistence beside station rain at the closest cell's station."""
-    assigned = nb.nearest_target(tb.cells(spark, sf), tb.stations(spark, sf))
-    grid = tb.interpolated(spark, sf).select("cell_id", "h", F.col("rain").alias("forecast"))
+    assigned = nb.nearest_target(tb.cells(spark, sf), tb.stored_stations(spark, sf))
+    grid = tb.interpolated(spark, sf, hourly).select("cell_id", "h", F.col("rain").alias("forecast"))
     made = grid.withColumn("horizon", F.explode(F.array(*[F.lit(n) for n in HORIZONS])))
-    return vf.verification_pairs(made, tb.clean(spark, sf), assigned)
+    return vf.verification_pairs(made, hourly, assigned)
 
 
 def nearest_cell(spark, sf):
-    return shown(nb.nearest_target(tb.points(spark, sf), tb.stations(spark, sf)))
+    return shown(nb.nearest_target(tb.points(spark, sf), tb.stored_stations(spark, sf)))
 
 
 def verification_pairs(spark, sf):
-    df = _pairs(spark, sf).withColumn("hour", index_hour(F.col("h")))
+    df = _pairs(spark, sf, tb.stored_clean(spark, sf)).withColumn("hour", index_hour("h"))
     return shown(df.select("station_id", "cell_id", "hour", "horizon", "forecast", "observed"))
 
 
 def forecast_errors(spark, sf):
-    return shown(vf.error_metrics(_pairs(spark, sf), ["horizon"]))
+    return shown(vf.error_metrics(_pairs(spark, sf, tb.stored_clean(spark, sf)), ["horizon"]))
 
 
 def persistence_forecast(spark, sf):
     df = lg.persistence(tb.clean(spark, sf), key="station_id")
-    return shown(df.withColumn("hour", index_hour(F.col("h"))))
+    return shown(df.withColumn("hour", index_hour("h")))
 
 
 def persistence_skill(spark, sf):
     """Grid forecast against station persistence, per horizon."""
-    own = lg.persistence(tb.clean(spark, sf), key="station_id").select(
+    hourly = tb.stored_clean(spark, sf)
+    own = lg.persistence(hourly, key="station_id").select(
         "station_id", "h", "horizon", F.col("forecast").alias("persistence"))
-    return shown(vf.skill(_pairs(spark, sf).join(own, ["station_id", "h", "horizon"]), ["horizon"]))
+    return shown(vf.skill(_pairs(spark, sf, hourly).join(own, ["station_id", "h", "horizon"]), ["horizon"]))
 
 
 def event_scores(spark, sf):
@@ -374,7 +376,7 @@ def lag_correlation(spark, sf):
 
 
 def temporal_split(spark, sf):
-    train, test = vf.temporal_split(tb.clean(spark, sf))
+    train, test = vf.temporal_split(tb.stored_clean(spark, sf))
     parts = train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
     return shown(parts.select("part", "station_id", "hour", "rain"))
 
@@ -383,7 +385,7 @@ def bias_correction(spark, sf):
     """Persistence residuals by season on the other stations, subtracted at the held-out one."""
     pairs = lg.persistence(tb.clean(spark, sf), "td", key="station_id").filter(
         "forecast IS NOT NULL AND observed IS NOT NULL"
-    ).withColumn("hour", index_hour(F.col("h")))
+    ).withColumn("hour", index_hour("h"))
     pairs = pairs.withColumn("season", vf.season(F.col("hour"), LOCAL_ZONE))
     held = F.col("station_id") == tb.HOLDOUT
     bias = vf.bias_table(pairs.filter(~held), ["horizon", "season"])
@@ -392,8 +394,9 @@ def bias_correction(spark, sf):
 
 
 def sensor_flags(spark, sf):
-    up = tb.interpolated(spark, sf).select("cell_id", "h", "hour", "u_vec", "v_vec")
-    df = lg.upstream_features(up, tb.clean(spark, sf), tb.UPSTREAM, hours=[])
+    hourly = tb.stored_clean(spark, sf)
+    up = tb.interpolated(spark, sf, hourly).select("cell_id", "h", "hour", "u_vec", "v_vec")
+    df = lg.upstream_features(up, hourly, tb.UPSTREAM, hours=[])
     inputs = {"local_wind": "u_vec", **{name: f"u_vec_{name}" for name in tb.UPSTREAM}}
     return vf.sensor_flags(df, inputs).select("cell_id", "hour", "missing_sensors", "n_missing", "low_confidence")
 
@@ -430,8 +433,8 @@ def tile_names(spark, sf):
 
 def idw_leave_out_scores(spark, sf):
     """The distance-weighted baseline scored at every station from its neighbours alone."""
-    hourly = tb.clean(spark, sf)
-    near = nb.station_neighbors(tb.stations(spark, sf)).withColumnRenamed("station_id", "cell_id")
+    hourly = tb.stored_clean(spark, sf)
+    near = nb.station_neighbors(tb.stored_stations(spark, sf)).withColumnRenamed("station_id", "cell_id")
     est = ip.idw(ip.cell_series(near.select("cell_id", *ip.TRIO, *ip.DISTANCES), hourly))
     long = lambda df, key, name: df.select(
         F.col(key).alias("station_id"), "h",

@@ -16,6 +16,7 @@ from isohyet.operators.clean import hourly_clean
 from isohyet.operators.interpolate import idw_grid
 from isohyet.operators.neighbors import triangle_neighbors
 from isohyet.schemas import HORIZONS, PAYLOAD
+from isohyet.session import cut_lineage
 
 UPSTREAM = {"west": 1, "north": 3}
 HOLDOUT = 2
@@ -66,6 +67,11 @@ def stations(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def stored_stations(spark: SparkSession, sf: str) -> DataFrame:
+    """The station table; searches read it several times, the readings behind it are read once."""
+    return cut_lineage(stations(spark, sf))
+
+
 def cells(spark: SparkSession, sf: str) -> DataFrame:
     ids = table(spark, sf, "supplier").select((F.col("s_suppkey") + 1).alias("cell_id"))
     lat, lon = _place(F.col("cell_id"), 6101, 3571)
@@ -108,13 +114,23 @@ def clean(spark: SparkSession, sf: str) -> DataFrame:
     return hourly_clean(readings(spark, sf), dedupe_order="event_id")
 
 
+def stored_clean(spark: SparkSession, sf: str) -> DataFrame:
+    return cut_lineage(clean(spark, sf))
+
+
 def neighbors(spark: SparkSession, sf: str) -> DataFrame:
+    """The neighbour table, which is stored once and read by all that follows."""
     c = cells(spark, sf)
-    return c.join(triangle_neighbors(c, stations(spark, sf)).drop("lat", "lon"), "cell_id")
+    found = triangle_neighbors(c, stored_stations(spark, sf)).drop("lat", "lon")
+    return cut_lineage(c.join(found, "cell_id"))
+
+
+def interpolated(spark: SparkSession, sf: str, hourly: DataFrame | None = None) -> DataFrame:
+    return idw_grid(neighbors(spark, sf), hourly if hourly is not None else stored_clean(spark, sf))
 
 
-def interpolated(spark: SparkSession, sf: str) -> DataFrame:
-    return idw_grid(neighbors(spark, sf), clean(spark, sf))
+def stored_grid(spark: SparkSession, sf: str, hourly: DataFrame | None = None) -> DataFrame:
+    return cut_lineage(interpolated(spark, sf, hourly))
 
 
 def forecasts(spark: SparkSession, sf: str) -> DataFrame:

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,17 +46,13 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it back.
+    """Write ``df`` as a table to the shared folder and read it back.
 
-    Used between a costly stage and several consumers (twelve model fits, say),
-    so that a lost executor costs a re-read and not a recomputation.
+    For results with several consumers: they are computed once, later plans
+    stay short, pruning and size estimates work on the columnar files, and a
+    lost executor costs a re-read and not a recomputation.
     """
     spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(checkpoint_root(spark))
-    return df.checkpoint(eager=True)
-
-
-def is_local(path: str) -> bool:
-    """True for a plain path or a file: URI."""
-    return path.startswith("file:") or "://" not in path and os.path.isabs(path)
+    path = f"{checkpoint_root(spark).rstrip('/')}/isohyet-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
