@@ -26,22 +26,23 @@ def bearing(lat1: str, lon1: str, lat2: str, lon2: str) -> Column:
     return F.expr(f"CASE WHEN {turn} < 0 THEN {turn} + 360 ELSE {turn} END")
 
 
-def in_triangle_sql(plat: str, plon: str, a: str, b: str, c: str) -> str:
-    """SQL: P lies in the triangle of the structs a, b, c (latitude, longitude) or on its edge.
+Place = tuple[str, str]  # SQL of latitude and longitude
 
-    Planar, in degrees.  Outside exactly if P is left of one side and right of
-    another; a degenerate triangle holds the points of its whole line.
-    """
-    def side(p, q):
-        return (f"({plat} - {q}.latitude) * ({p}.longitude - {q}.longitude)"
-                f" - ({p}.latitude - {q}.latitude) * ({plon} - {q}.longitude)")
 
-    sides = f"{side(a, b)}, {side(b, c)}, {side(c, a)}"
-    return f"NOT (least({sides}) < 0 AND greatest({sides}) > 0)"
+def side_sql(p: Place, a: Place, b: Place) -> str:
+    """SQL whose sign tells the side of the line a-b that P is on."""
+    (plat, plon), (alat, alon), (blat, blon) = p, a, b
+    return f"({plat} - {blat}) * ({alon} - {blon}) - ({alat} - {blat}) * ({plon} - {blon})"
+
 
+def point_in_triangle(p: Place, a: Place, b: Place, c: Place) -> Column:
+    """True if P lies in the triangle or on its edge (planar, in degrees).
 
-def point_in_triangle(plat: str, plon: str, a: str, b: str, c: str) -> Column:
-    return F.expr(in_triangle_sql(plat, plon, a, b, c))
+    Outside exactly if P is left of one side and right of another; a
+    degenerate triangle holds the points of its whole line.
+    """
+    sides = ", ".join(side_sql(p, x, y) for x, y in ((a, b), (b, c), (c, a)))
+    return F.expr(f"NOT (least({sides}) < 0 AND greatest({sides}) > 0)")
 
 
 def unit_vector(lat: str, lon: str) -> list[str]:

@@ -7,7 +7,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isohyet.functions.geo import haversine, in_triangle_sql, lattice_shape, unit_vector
+from isohyet.functions.geo import haversine, lattice_shape, side_sql, unit_vector
 from isohyet.schemas import GRID_BOX, GRID_STEP, NEIGHBOR_CANDIDATES
 
 # Cubes around the unit sphere halve in side per level; the deepest is under a metre.
@@ -127,14 +127,26 @@ def choose_triangle(lists: DataFrame, k: int = NEIGHBOR_CANDIDATES) -> DataFrame
     nearest are taken and is_boundary is true.  Targets with fewer than three
     candidates are dropped.
     """
-    trios = ", ".join(f"struct({i} AS i, {j} AS j, {m} AS m)" for i, j, m in combinations(range(k), 3))
-    a, b, c = (f"candidates[t.{x}]" for x in "ijm")
-    holds = in_triangle_sql("lat", "lon", a, b, c)
-    total = f"{a}.distance_km + {b}.distance_km + {c}.distance_km"
-    best = (f"array_min(transform(filter(array({trios}), t -> t.m < size(candidates) AND {holds}), "
-            f"t -> struct({total} AS total, t.i AS i, t.j AS j, t.m AS m)))")
+    pairs = list(combinations(range(k), 2))
+    at = {p: n for n, p in enumerate(pairs)}
+    pair_list = ", ".join(f"struct({a} AS a, {b} AS b)" for a, b in pairs)
+    trio_list = ", ".join(
+        f"struct({i} AS i, {j} AS j, {m} AS m, {at[i, j]} AS ij, {at[j, m]} AS jm, {at[i, m]} AS im)"
+        for i, j, m in combinations(range(k), 3))
+    # which side of each line between two candidates the target is on: once per pair, not per trio
+    corner = {x: (f"get(lats, p.{x})", f"get(lons, p.{x})") for x in "ab"}
+    there, back = (side_sql(("lat", "lon"), corner[x], corner[y]) for x, y in ("ab", "ba"))
     rest = [x for x in lists.columns if x != "candidates"]
-    picks = lists.filter("size(candidates) >= 3").selectExpr("*", f"{best} AS best").selectExpr(
+    sides = lists.filter("size(candidates) >= 3").selectExpr(
+        *rest, "candidates", "candidates.latitude AS lats", "candidates.longitude AS lons", "candidates.distance_km AS d"
+    ).selectExpr(
+        *rest, "candidates", "d", f"transform(array({pair_list}), p -> {there}) AS there",
+        f"transform(array({pair_list}), p -> {back}) AS back",
+    )
+    around = "get(there, t.ij), get(there, t.jm), get(back, t.im)"
+    best = (f"array_min(transform(filter(array({trio_list}), t -> t.m < size(d) AND NOT (least({around}) < 0 AND "
+            f"greatest({around}) > 0)), t -> struct(get(d, t.i) + get(d, t.j) + get(d, t.m) AS total, t.i, t.j, t.m)))")
+    picks = sides.selectExpr(*rest, "candidates", f"{best} AS best").selectExpr(
         *rest, "best IS NULL AS is_boundary",
         *[f"candidates[coalesce(best.{x}, {n})] AS n{n + 1}" for n, x in enumerate("ijm")],
     )

@@ -535,4 +535,20 @@ FROM (SELECT c_custkey, CAST(floor(c_custkey % 170 - 85.25e0) AS INTEGER) AS la,
         for m in MEASURES)
     q["idw_leave_out_scores"] = query(_scores("long", "measure"), pc=pc, t=triangles("pc"), nn=nn, ss=ss, raw=raw,
                                       est=V["grid"].replace("FROM idw_raw", "FROM raw"), long=long)
+    # a stream over the whole table must end with the batch result
+    q["stream_hourly"] = q["hourly_rollup"]
+    q["stream_closed_bins"] = query(f"""
+SELECT station_id, hour, {nums(MEASURES)} FROM rollup
+WHERE hour + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""")
+    recent = cleaned("recent", 3600, "HOUR")
+    last = "(SELECT max(hour) FROM rollup)"
+    mine = f"SELECT * FROM rollup WHERE hour < {last} AND CAST(hour AS DATE) >= CAST({last} - INTERVAL 51 HOUR AS DATE)"
+    series = V["series"].replace("JOIN clean c", "JOIN win c")
+    have = " AND ".join(f"neighbor_{i}_id IN (SELECT station_id FROM win)" for i in (1, 2, 3))
+    q["stream_forecasts"] = query(f"""
+SELECT cell_id, hour, {', '.join(num('rain', f'precipitation_t{n}') for n in HORIZONS)}
+FROM (SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY hour DESC) AS rn FROM est
+      WHERE cell_id IN (SELECT cell_id FROM neighbors WHERE {have})) WHERE rn = 1""",
+        recent=mine, filled=recent, win=f"SELECT * FROM filled WHERE hour >= {last} - INTERVAL 27 HOUR", ss=series,
+        raw=V["idw_raw"].replace("FROM series", "FROM ss"), est=V["grid"].replace("FROM idw_raw", "FROM raw"))
     return q

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,11 +17,14 @@ from isohyet.operators import layers as ly
 from isohyet.operators import neighbors as nb
 from isohyet.operators import raster as rs
 from isohyet.operators import verify as vf
+from isohyet.plans import models as ml
 from isohyet.plans import testbed as tb
 from isohyet.schemas import HORIZONS, LOCAL_ZONE, MAX_MISSING_SHARE, MAX_TEMPERATURE, MEASURES, WINDOW_HOURS
+from isohyet.session import checkpoint_root, cut_lineage
 from isohyet.sources import observations as ob
 from isohyet.sources import rasters as ra
 from isohyet.sources import tables as tt
+from isohyet.streaming.hourly import current_bins, current_forecasts, hourly_bins, run_hourly
 
 
 def shown(df: DataFrame, drop=("h",)) -> DataFrame:
@@ -444,6 +449,76 @@ def idw_leave_out_scores(spark, sf):
     return shown(vf.error_metrics(pairs, ["measure"]))
 
 
+def rfsi_train_score(spark, sf):
+    """Train the learned interpolation on all stations and score every cell and hour."""
+    hourly, st = tb.stored_clean(spark, sf), tb.stored_stations(spark, sf)
+    train = ml.target_features(nb.station_neighbors(st, holdout=tb.HOLDOUT).filter(F.col("station_id") != tb.HOLDOUT), hourly, st)
+    models = ml.train_interpolation(train, hourly, numTrees=8, maxDepth=5)
+    return shown(ml.score_interpolation(ip.interpolation_features(tb.neighbors(spark, sf), hourly, st), models))
+
+
+def forecast_train_score(spark, sf):
+    """Train the four horizon models on the earlier hours and forecast from every cell's newest row."""
+    hourly = tb.stored_clean(spark, sf)
+    features = cut_lineage(lg.forecast_features(tb.interpolated(spark, sf, hourly), hourly, tb.UPSTREAM))
+    models = ml.train_forecast(features, tb.UPSTREAM, maxIter=5, maxDepth=4)
+    return shown(ml.latest_forecast(features, models))
+
+
+def importance_shift(spark, sf):
+    """Feature importance at the first and last horizon."""
+    hourly = tb.stored_clean(spark, sf)
+    features = cut_lineage(lg.forecast_features(tb.interpolated(spark, sf, hourly), hourly, tb.UPSTREAM))
+    models = ml.train_forecast(features, tb.UPSTREAM, horizons=[1, 12], kind="forest", numTrees=8, maxDepth=5)
+    return shown(vf.importance_shift(ml.importances(models, ml.forecast_columns(tb.UPSTREAM)), 1, 12))
+
+
+def tweedie_rain(spark, sf):
+    """Zero-inflated rain model scored at the station targets beside the distance-weighted value."""
+    hourly, st = tb.stored_clean(spark, sf), tb.stored_stations(spark, sf)
+    table = ml.target_features(nb.station_neighbors(st), hourly, st)
+    rows = cut_lineage(ip.training_rows(table, hourly, "rain"))
+    columns = [*[f"rain_n{i}" for i in (1, 2, 3)], *[f"dist_n{i}" for i in (1, 2, 3)], "elevation_target"]
+    model = ml.regression(columns, "tweedie", "estimate", maxIter=10).fit(rows)
+    return shown(model.transform(rows).select("cell_id", "hour", "label", "estimate"))
+
+
+def cross_validation(spark, sf):
+    """Leave-location-out scores of the learned wind speed at two stations."""
+    hourly, st = tb.stored_clean(spark, sf), tb.stored_stations(spark, sf)
+    return shown(ml.cross_validate(st, hourly, "ws", [tb.HOLDOUT, 1], numTrees=5, maxDepth=4))
+
+
+def _streamed(spark, sf):
+    events = spark.readStream.schema(tb.table(spark, sf, "events").schema).option(
+        "pathGlobFilter", "events.parquet").parquet(sf)
+    return tb.as_readings(events).withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def stream_hourly(spark, sf):
+    """The whole event table through the hourly stream; the newest version of every bin."""
+    root = f"{checkpoint_root(spark)}/stream-{uuid.uuid4().hex}"
+    run_hourly(_streamed(spark, sf), root, f"{root}/checkpoint").awaitTermination()
+    bins = current_bins(spark, root)
+    return shown(bins.select("station_id", index_hour("h").alias("hour"), *MEASURES))
+
+
+def stream_closed_bins(spark, sf):
+    """Bins that a one-hour watermark has closed, as the append stream emits them."""
+    root = f"{checkpoint_root(spark)}/stream-{uuid.uuid4().hex}"
+    hourly_bins(_streamed(spark, sf), "1 hour").writeStream.outputMode("append").option(
+        "checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).format("parquet").start(
+        f"{root}/bins").awaitTermination()
+    return shown(spark.read.parquet(f"{root}/bins").withColumn("hour", F.col("hour").cast("timestamp_ntz")))
+
+
+def stream_forecasts(spark, sf):
+    """Latest forecast of every cell after the stream has interpolated its last 27 hours."""
+    root = f"{checkpoint_root(spark)}/stream-{uuid.uuid4().hex}"
+    run_hourly(_streamed(spark, sf), root, f"{root}/checkpoint", tb.neighbors(spark, sf)).awaitTermination()
+    return shown(current_forecasts(spark, root).withColumn("hour", index_hour("h")))
+
+
 QUERIES = {
     f.__name__: f for f in (
         flatten_observations, normalize_time, station_catalog, range_rules, wind_components, hourly_rollup,
@@ -457,7 +532,8 @@ QUERIES = {
         targets_by_horizon, nearest_cell, verification_pairs, forecast_errors, persistence_forecast,
         persistence_skill, event_scores, rain_class_weights, lag_correlation, temporal_split, bias_correction,
         sensor_flags, nearest_lattice, lattice_index, terrain_stats, terrain_at_points, tile_names,
-        idw_leave_out_scores,
+        idw_leave_out_scores, rfsi_train_score, forecast_train_score, importance_shift, tweedie_rain,
+        cross_validation, stream_hourly, stream_closed_bins, stream_forecasts,
     )
 }
 

@@ -31,9 +31,13 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def readings(spark: SparkSession, sf: str) -> DataFrame:
+    return as_readings(table(spark, sf, "events"))
+
+
+def as_readings(events: DataFrame) -> DataFrame:
     """Raw readings with a rain sentinel, impossible winds and humidities, and broken extremes."""
     k, value, kind, event = F.col("k"), F.col("value"), F.col("event_type"), F.col("event_id")
-    df = table(spark, sf, "events").withColumn("k", F.regexp_extract("props", "[0-9]+", 0).cast("double"))
+    df = events.withColumn("k", F.regexp_extract("props", "[0-9]+", 0).cast("double"))
     base = k % 20 + 10
     return df.select(
         "event_id", (F.floor(F.col("user_id") / 5) + 1).alias("station_id"), F.col("ts").cast("timestamp_ntz").alias("ts"),
