@@ -56,3 +56,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = f"{checkpoint_root(spark).rstrip('/')}/isohyet-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder exists, on any file system that Spark can reach."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
+def read_or_empty(spark: SparkSession, path: str, schema) -> DataFrame:
+    """A Parquet table, or no rows where it has not been written yet."""
+    if path_exists(spark, path):
+        return spark.read.schema(schema).parquet(path)
+    return spark.createDataFrame([], schema)

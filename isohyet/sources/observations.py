@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from isohyet.schemas import ARCHIVE, CATALOG, CHANNELS, PAYLOAD
+from isohyet.session import read_or_empty
 
 
 def read_payloads(spark: SparkSession, path: str, start: str | None = None, end: str | None = None,
@@ -83,12 +84,8 @@ def write_archive(rows: DataFrame, path: str, mode: str = "append") -> None:
 
 def bootstrap(spark: SparkSession, json_path: str, table_path: str, schema) -> bool:
     """Fill a static table from its JSON document if it is empty or absent; True if it did."""
-    try:
-        if not spark.read.schema(schema).parquet(table_path).isEmpty():
-            return False
-    except Exception as error:  # the path does not exist yet
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
+    if not read_or_empty(spark, table_path, schema).isEmpty():
+        return False
     spark.read.schema(schema).option("multiLine", True).json(json_path).write.mode("overwrite").parquet(table_path)
     return True
 

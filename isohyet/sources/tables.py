@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from isohyet.functions.calendar import ntz, plus_hours
 from isohyet.operators.clean import first_per_key, latest_per_key
+from isohyet.session import read_or_empty
 
 
 def new_rows(target: DataFrame, batch: DataFrame, keys: list[str], order: str,
@@ -74,16 +75,6 @@ def manifest_rows(rows: DataFrame, catalog: DataFrame) -> DataFrame:
     )
 
 
-def read_or_empty(spark: SparkSession, path: str, schema) -> DataFrame:
-    """A Parquet table, or no rows where it has not been written yet."""
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except Exception as error:
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        return spark.createDataFrame([], schema)
-
-
 def backfill(spark: SparkSession, catalog: DataFrame, rows: DataFrame, archive_path: str,
              manifest_path: str) -> DataFrame:
     """Append the stations that are not in the manifest yet, then list them there.
