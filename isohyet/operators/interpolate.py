@@ -50,20 +50,37 @@ def cell_series(cells: DataFrame, hourly: DataFrame, measures: list[str] = MEASU
     return salted.join(wide, [*TRIO, "_salt"]).drop("_salt")
 
 
-def idw_sql(values: list[str], distances: list[str]) -> str:
-    """SQL of Σ(v/d) / Σ(1/d) over the values present; a station at distance 0 decides alone."""
-    pairs = list(zip(values, distances))
-    total = " + ".join(f"coalesce({v} / nullif({d}, 0D), 0D)" for v, d in pairs)
-    weight = " + ".join(f"CASE WHEN {v} IS NOT NULL THEN coalesce(1 / nullif({d}, 0D), 0D) ELSE 0D END" for v, d in pairs)
-    exact = ", ".join(f"CASE WHEN {d} = 0 THEN {v} END" for v, d in pairs)
-    return f"coalesce({exact}, ({total}) / nullif({weight}, 0D))"
+def weight_sql(distance: str) -> str:
+    """SQL of the weight 1/d.
+
+    At distance 0 it is a power of two so large that the station's own value
+    comes out exactly, whatever the others say; if it has none, they decide.
+    """
+    return f"CASE WHEN {distance} = 0 THEN {2.0**200}D ELSE 1 / {distance} END"
+
+
+def idw_sql(values: list[str], weights: list[str]) -> str:
+    """SQL of Σ(v·w) / Σw over the values present; null where none is."""
+    pairs = list(zip(values, weights))
+    total = " + ".join(f"nvl({v} * {w}, 0D)" for v, w in pairs)
+    weight = " + ".join(f"if(isnull({v}), 0D, {w})" for v, w in pairs)
+    return f"try_divide({total}, {weight})"
+
+
+WEIGHTS = ["w1", "w2", "w3"]
+
+
+def with_weights(cells: DataFrame) -> DataFrame:
+    """Cells with the weights of their neighbours instead of the distances."""
+    return cells.selectExpr(*[c for c in cells.columns if c not in DISTANCES],
+                            *[f"{weight_sql(d)} AS {w}" for d, w in zip(DISTANCES, WEIGHTS)])
 
 
 def idw(series: DataFrame, measures: list[str] = MEASURES, cutoff: float | None = DRIZZLE_CUTOFF,
         clamped: bool = True, keep: tuple[str, ...] = ("cell_id",)) -> DataFrame:
-    """Distance-weighted estimates from ``cell_series`` rows."""
+    """Distance-weighted estimates from ``cell_series`` rows of cells ``with_weights``."""
     raw = series.selectExpr(*keep, "h", *[
-        f"{idw_sql([f'{c}_n{i}' for i in (1, 2, 3)], DISTANCES)} AS {c}" for c in measures
+        f"{idw_sql([f'{c}_n{i}' for i in (1, 2, 3)], WEIGHTS)} AS {c}" for c in measures
     ])
     if not clamped:
         return raw
@@ -74,7 +91,7 @@ def idw_grid(cells: DataFrame, hourly: DataFrame, measures: list[str] = MEASURES
              cutoff: float | None = DRIZZLE_CUTOFF) -> DataFrame:
     """Interpolated series of every cell whose three neighbours have data: cell_id, h, hour, measures."""
     usable = available_cells(cells, hourly).select("cell_id", *TRIO, *DISTANCES)
-    out = idw(cell_series(usable, hourly, measures), measures, cutoff)
+    out = idw(cell_series(with_weights(usable), hourly, measures), measures, cutoff)
     return out.withColumn("hour", index_hour("h"))
 
 

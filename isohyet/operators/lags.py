@@ -27,20 +27,21 @@ def local_lags(df: DataFrame, key: str = "cell_id", measures=LAG_MEASURES, hours
     return df.selectExpr("*", *[f"{_at(c, -n, key)} AS `{c}_t-{n}h`" for c in measures for n in hours])
 
 
-def upstream_series(hourly: DataFrame, station_id: int, name: str, hours=UPSTREAM_LAG_HOURS) -> DataFrame:
-    """Series of one upstream station with moisture flux and lags, by hour.
+def upstream_series(hourly: DataFrame, upstream: dict[str, int], hours=UPSTREAM_LAG_HOURS) -> DataFrame:
+    """Upstream stations side by side by hour: measures, moisture flux and their lags.
 
     At most one row per hour of the archive, however many cells use it.
     """
-    one = hourly.filter(F.col("station_id") == station_id).selectExpr(
-        "h", *[f"{c} AS {c}_{name}" for c in UPSTREAM_MEASURES], f"u_vec * rh AS moisture_flux_{name}"
+    ids = list(upstream.values())
+    flow = hourly.filter(F.col("station_id").isin(ids)).selectExpr(
+        "station_id", "h", *UPSTREAM_MEASURES, "u_vec * rh AS moisture_flux"
     )
-    columns = one.columns[1:]
-    # a lag exists also at hours where the station itself is silent
     steps = [0, *hours]
-    shifted = one.selectExpr("h", *columns, f"explode(array({', '.join(map(str, steps))})) AS n")
+    # a lag exists also at hours where the station itself is silent
+    shifted = flow.selectExpr("*", f"explode(array({', '.join(map(str, steps))})) AS n")
     return shifted.groupBy(F.expr("h + n AS h")).agg(*[
-        F.expr(f"max(CASE WHEN n = {n} THEN {c} END) AS `{c}{_lag(n)}`") for c in columns for n in steps
+        F.expr(f"max(CASE WHEN station_id = {s} AND n = {n} THEN {c} END) AS `{c}_{name}{_lag(n)}`")
+        for name, s in upstream.items() for c in flow.columns[2:] for n in steps
     ])
 
 
@@ -60,11 +61,10 @@ def upstream_features(cells: DataFrame, hourly: DataFrame, upstream: dict[str, i
     missing = [n for n in hours for c in ("u_vec", "v_vec") if f"{c}_t-{n}h" not in cells.columns]
     if missing:
         out = local_lags(out, key, ["u_vec", "v_vec"], sorted(set(missing)))
-    for name, station_id in upstream.items():
-        out = out.join(upstream_series(hourly, station_id, name, hours), "h", "left").selectExpr("*", *[
-            f"`{axis}_vec_{name}{_lag(n)}` - `{axis}_vec{_lag(n)}` AS `{axis}_convergence_{name}{_lag(n)}`"
-            for axis in ("u", "v") for n in [0, *hours]
-        ])
+    out = out.join(upstream_series(hourly, upstream, hours), "h", "left").selectExpr("*", *[
+        f"`{axis}_vec_{name}{_lag(n)}` - `{axis}_vec{_lag(n)}` AS `{axis}_convergence_{name}{_lag(n)}`"
+        for name in upstream for axis in ("u", "v") for n in [0, *hours]
+    ])
     return out if not missing else out.drop(*[f"{c}_t-{n}h" for c in ("u_vec", "v_vec") for n in set(missing)])
 
 

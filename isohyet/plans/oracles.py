@@ -19,7 +19,8 @@ def hav(lat1, lon1, lat2, lon2):
 
 def num(expr, name=None):
     """A double for output: six decimals, no negative zero."""
-    return f"CASE WHEN round({expr}, 6) = 0 THEN 0e0 ELSE round({expr}, 6) END AS {name or expr}"
+    r = f"(round_even(CAST({expr} AS DOUBLE) * 1e6, 0) / 1e6)"
+    return f"CASE WHEN {r} = 0 THEN 0e0 ELSE {r} END AS {name or expr}"
 
 
 def nums(names):

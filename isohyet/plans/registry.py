@@ -30,7 +30,7 @@ from isohyet.streaming.hourly import current_bins, current_forecasts, hourly_bin
 def shown(df: DataFrame, drop=("h",)) -> DataFrame:
     """Six decimals and no negative zero, for comparison between engines."""
     return df.selectExpr(*[
-        f"CASE WHEN round(`{f.name}`, 6) = 0 THEN 0D ELSE round(`{f.name}`, 6) END AS `{f.name}`"
+        f"rint(`{f.name}` * 1e6D) / 1e6D + 0D AS `{f.name}`"
         if isinstance(f.dataType, T.DoubleType) else f"`{f.name}`"
         for f in df.schema.fields if f.name not in drop
     ])
@@ -440,7 +440,7 @@ def idw_leave_out_scores(spark, sf):
     """The distance-weighted baseline scored at every station from its neighbours alone."""
     hourly = tb.stored_clean(spark, sf)
     near = nb.station_neighbors(tb.stored_stations(spark, sf)).withColumnRenamed("station_id", "cell_id")
-    est = ip.idw(ip.cell_series(near.select("cell_id", *ip.TRIO, *ip.DISTANCES), hourly))
+    est = ip.idw(ip.cell_series(ip.with_weights(near.select("cell_id", *ip.TRIO, *ip.DISTANCES)), hourly))
     long = lambda df, key, name: df.select(
         F.col(key).alias("station_id"), "h",
         F.explode(F.array(*[F.struct(F.lit(c).alias("measure"), F.col(c).alias(name)) for c in MEASURES])).alias("e"),

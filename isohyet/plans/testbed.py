@@ -8,6 +8,8 @@ order of addition.  ``oracles.py`` states the same views in SQL.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,8 +17,9 @@ from isohyet.functions.calendar import plus_hours
 from isohyet.operators.clean import hourly_clean
 from isohyet.operators.interpolate import idw_grid
 from isohyet.operators.neighbors import triangle_neighbors
-from isohyet.schemas import HORIZONS, PAYLOAD
-from isohyet.session import cut_lineage
+from isohyet.schemas import HORIZONS
+from isohyet.session import checkpoint_root, cut_lineage
+from isohyet.sources.observations import read_payloads
 
 UPSTREAM = {"west": 1, "north": 3}
 HOLDOUT = 2
@@ -89,7 +92,7 @@ def points(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def payloads(spark: SparkSession, sf: str) -> DataFrame:
-    """Nested source documents: wrong offset text, mixed case, invalid, unknown and repeated channels."""
+    """Landed source documents: wrong offset text, mixed case, invalid, unknown and repeated channels."""
     df = readings(spark, sf)
     valid = F.col("event_id") % 7 != 0
 
@@ -111,7 +114,9 @@ def payloads(spark: SparkSession, sf: str) -> DataFrame:
         F.col("station_id").alias("stationId"),
         F.array(F.struct(text.alias("datetime"), listed.alias("channels"))).alias("data"),
     ))
-    return df.select(F.from_json(doc, PAYLOAD).alias("d")).select("d.*")
+    landed = f"{checkpoint_root(spark)}/landed-{uuid.uuid4().hex}"
+    df.select(doc.alias("value")).write.text(landed)
+    return read_payloads(spark, landed)
 
 
 def clean(spark: SparkSession, sf: str) -> DataFrame:

@@ -31,17 +31,11 @@ def flatten_observations(payloads: DataFrame, channels: list[str] = CHANNELS) ->
     A channel counts where ``valid`` is true; names match in lower case; of
     repeated channels the last valid one wins; others are null.  No shuffle.
     """
-    obs = payloads.select(F.col("stationId").alias("station_id"), F.explode("data").alias("o"))
-    usable = F.transform(
-        F.filter(F.coalesce(F.col("o.channels"), F.array()), lambda c: c["valid"]),
-        lambda c: F.struct(F.lower(c["name"]).alias("name"), c["value"].alias("value")),
-    )
-    obs = obs.select("station_id", F.col("o.datetime").alias("timestamp"), usable.alias("ch"))
-
-    def last_value(name):
-        return F.try_element_at(F.filter("ch", lambda c: c["name"] == name), F.lit(-1))["value"]
-
-    return obs.select("station_id", "timestamp", *[last_value(c).alias(c) for c in channels])
+    obs = payloads.selectExpr("stationId AS station_id", "explode(data) AS o")
+    usable = obs.selectExpr("station_id", "o.datetime AS timestamp", "reverse(filter(o.channels, c -> c.valid)) AS ch")
+    named = usable.selectExpr("station_id", "timestamp", "transform(ch, c -> lower(c.name)) AS names", "ch.value AS vals")
+    # the first match in reverse order; position 0 (no match) gives null
+    return named.selectExpr("station_id", "timestamp", *[f"get(vals, CAST(array_position(names, '{c}') - 1 AS INT)) AS {c}" for c in channels])
 
 
 def station_catalog(raw: DataFrame) -> DataFrame:
