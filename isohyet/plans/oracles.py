@@ -536,6 +536,19 @@ FROM (SELECT c_custkey, CAST(floor(c_custkey % 170 - 85.25e0) AS INTEGER) AS la,
         for m in MEASURES)
     q["idw_leave_out_scores"] = query(_scores("long", "measure"), pc=pc, t=triangles("pc"), nn=nn, ss=ss, raw=raw,
                                       est=V["grid"].replace("FROM idw_raw", "FROM raw"), long=long)
+    q["placed_readings"] = query(f"""
+SELECT event_id, station_id, {nums(['rain', 'latitude', 'longitude'])} FROM readings
+JOIN (SELECT station_id, latitude, longitude FROM stations WHERE station_id % 4 > 0) USING (station_id)""")
+    q["skipped_stations"] = query("SELECT DISTINCT station_id FROM readings WHERE station_id % 4 = 0")
+    q["table_state"] = query("""SELECT count(*) AS n, count(DISTINCT station_id) AS stations, min(hour) AS "first", max(hour) AS "last" FROM clean""")
+    cut = "FROM clean WHERE hour BETWEEN TIMESTAMP '2024-01-09 05:00:00' AND TIMESTAMP '2024-01-12 23:00:00'"
+    have = " AND ".join(f"neighbor_{i}_id IN (SELECT station_id FROM win)" for i in (1, 2, 3))
+    q["replay"] = query(f"""
+SELECT cell_id, hour, {nums([f'precipitation_t{n}' for n in HORIZONS])}, {nums(['lat', 'lon'])}, dense_rank() OVER (ORDER BY hour) - 1 AS idx
+FROM (SELECT cell_id, hour, {', '.join(f'rain AS precipitation_t{n}' for n in HORIZONS)} FROM raw
+      WHERE hour >= TIMESTAMP '2024-01-10 05:00:00' AND cell_id IN (SELECT cell_id FROM neighbors WHERE {have}))
+JOIN (SELECT cell_id, lat, lon FROM cells) USING (cell_id)""", win=f"SELECT * {cut}", ss=V["series"].replace("JOIN clean c", "JOIN win c"),
+        raw=V["idw_raw"].replace("FROM series", "FROM ss"))
     # a stream over the whole table must end with the batch result
     q["stream_hourly"] = q["hourly_rollup"]
     q["stream_closed_bins"] = query(f"""

@@ -18,6 +18,7 @@ from isohyet.operators import neighbors as nb
 from isohyet.operators import raster as rs
 from isohyet.operators import verify as vf
 from isohyet.plans import models as ml
+from isohyet.plans import pipeline as pl
 from isohyet.plans import testbed as tb
 from isohyet.schemas import HORIZONS, LOCAL_ZONE, MAX_MISSING_SHARE, MAX_TEMPERATURE, MEASURES, WINDOW_HOURS
 from isohyet.session import checkpoint_root, cut_lineage
@@ -519,6 +520,36 @@ def stream_forecasts(spark, sf):
     return shown(current_forecasts(spark, root).withColumn("hour", index_hour("h")))
 
 
+def placed_readings(spark, sf):
+    """Readings of stations with coordinates; every fourth station has lost its own."""
+    st = tb.stations(spark, sf).withColumn("latitude", F.when(F.col("station_id") % 4 > 0, F.col("latitude")))
+    return shown(ob.with_coordinates(tb.readings(spark, sf).select("event_id", "station_id", "rain"), st))
+
+
+def skipped_stations(spark, sf):
+    st = tb.stations(spark, sf).withColumn("latitude", F.when(F.col("station_id") % 4 > 0, F.col("latitude")))
+    return ob.without_coordinates(tb.readings(spark, sf), st)
+
+
+def table_state(spark, sf):
+    """Rows, stations and time range of the clean table."""
+    return tb.clean(spark, sf).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("station_id").alias("stations"),
+                                   F.min("hour").alias("first"), F.max("hour").alias("last"))
+
+
+def replay(spark, sf):
+    """Replay of three days with persistence, without the drizzle cutoff."""
+    df = pl.replay(tb.clean(spark, sf), tb.neighbors(spark, sf), tb.stations(spark, sf), tb.UPSTREAM,
+                   "2024-01-10 05:00:00", "2024-01-12 23:00:00")
+    return shown(df)
+
+
+def noisy_rain(spark, sf):
+    """Clean rain and temperature with the noise of a training augmentation."""
+    df = tb.clean(spark, sf).select("station_id", "h", "hour", "rain", "td")
+    return shown(ml.add_noise(df, {"rain": 0.33, "td": 1.8}, ["station_id", "h"]))
+
+
 QUERIES = {
     f.__name__: f for f in (
         flatten_observations, normalize_time, station_catalog, range_rules, wind_components, hourly_rollup,
@@ -533,7 +564,7 @@ QUERIES = {
         persistence_skill, event_scores, rain_class_weights, lag_correlation, temporal_split, bias_correction,
         sensor_flags, nearest_lattice, lattice_index, terrain_stats, terrain_at_points, tile_names,
         idw_leave_out_scores, rfsi_train_score, forecast_train_score, importance_shift, tweedie_rain,
-        cross_validation, stream_hourly, stream_closed_bins, stream_forecasts,
+        cross_validation, placed_readings, skipped_stations, table_state, replay, noisy_rain, stream_hourly, stream_closed_bins, stream_forecasts,
     )
 }
 

@@ -35,14 +35,13 @@ def checkpoint_root(spark: SparkSession) -> str:
     Our own is a local folder and is only taken on a ``local`` master, where
     driver and executors share a disk.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
-        return named
+        return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-    own = tempfile.mkdtemp(prefix="isohyet-checkpoint-")
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="isohyet-checkpoint-"))
+    return spark.sparkContext.getCheckpointDir()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -53,7 +52,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     lost executor costs a re-read and not a recomputation.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_root(spark).rstrip('/')}/isohyet-{uuid.uuid4().hex}"
+    path = f"{checkpoint_root(spark)}/isohyet-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
