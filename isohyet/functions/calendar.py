@@ -50,11 +50,13 @@ def local_time(ts: Column, zone: str = LOCAL_ZONE) -> Column:
 
 def cyclic_time(df, ts: str = "hour", zone: str = LOCAL_ZONE):
     """Add month and day of year as sine and cosine of the local calendar."""
-    local = f"convert_timezone('UTC', '{zone}', {ts})"
-    month = f"{2 * math.pi!r}D * month({local}) / 12"
-    day = f"{2 * math.pi!r}D * dayofyear({local}) / dayofyear(make_date(year({local}), 12, 31))"
-    return df.selectExpr("*", f"sin({month}) AS month_sin", f"cos({month}) AS month_cos",
-                         f"sin({day}) AS day_sin", f"cos({day}) AS day_cos")
+    # the local time once per row, then its parts, then four waves
+    parts = df.selectExpr("*", f"convert_timezone('UTC', '{zone}', {ts}) AS _local").selectExpr(
+        "*", f"{2 * math.pi!r}D * month(_local) / 12 AS _month",
+        f"{2 * math.pi!r}D * dayofyear(_local) / dayofyear(make_date(year(_local), 12, 31)) AS _day",
+    )
+    return parts.selectExpr(*[f"`{c}`" for c in df.columns], "sin(_month) AS month_sin", "cos(_month) AS month_cos",
+                            "sin(_day) AS day_sin", "cos(_day) AS day_cos")
 
 
 def horizon_times(df, ts: str = "hour", zone: str = LOCAL_ZONE, hours=HORIZONS):

@@ -10,6 +10,7 @@ from isohyet.functions.geo import bearing
 from isohyet.functions.weather import clamp_estimate
 from isohyet.operators.neighbors import available_cells
 from isohyet.schemas import DRIZZLE_CUTOFF, MEASURES, STATIC, TERRAIN
+from isohyet.session import spread
 
 TRIO = [f"neighbor_{i}_id" for i in (1, 2, 3)]
 DISTANCES = [f"neighbor_{i}_distance" for i in (1, 2, 3)]
@@ -24,7 +25,8 @@ def trio_series(trios: DataFrame, hourly: DataFrame, measures: list[str] = MEASU
     """
     each = ", ".join(f"{i}, {c}" for i, c in enumerate(TRIO, 1))
     members = trios.selectExpr(*TRIO, f"stack(3, {each}) AS (rank, station_id)")
-    rows = members.join(hourly.select("station_id", "h", *measures), "station_id")
+    # a key has three rows at most, so they are spread before the aggregation and not after a vain partial one
+    rows = spread(members.join(hourly.select("station_id", "h", *measures), "station_id"), *TRIO, "h")
     return rows.groupBy(*TRIO, "h").agg(*[
         F.expr(f"max(CASE WHEN rank = {i} THEN {c} END) AS {c}_n{i}") for i in (1, 2, 3) for c in measures
     ])

@@ -17,14 +17,16 @@ def _at(column: str, offset: int, key: str) -> str:
     return f"first({column}) OVER (PARTITION BY {key} ORDER BY h RANGE BETWEEN {place} AND {place})"
 
 
-def local_lags(df: DataFrame, key: str = "cell_id", measures=LAG_MEASURES, hours=LAG_HOURS) -> DataFrame:
-    """Add measure_t-Nh columns.
+def local_lags(df: DataFrame, key: str = "cell_id", measures=LAG_MEASURES, hours=LAG_HOURS,
+               number: str | None = None) -> DataFrame:
+    """Add measure_t-Nh columns, and the row's position in time from 1 under the name ``number``.
 
     All lags sit in one Window node over (key, h): one shuffle and one sort.
     Frames are ranges of the hour index, so a lag is a time and not a row
     count, and needs no gap-free series.
     """
-    return df.selectExpr("*", *[f"{_at(c, -n, key)} AS `{c}_t-{n}h`" for c in measures for n in hours])
+    position = [f"row_number() OVER (PARTITION BY {key} ORDER BY h) AS {number}"] if number else []
+    return df.selectExpr("*", *position, *[f"{_at(c, -n, key)} AS `{c}_t-{n}h`" for c in measures for n in hours])
 
 
 def upstream_series(hourly: DataFrame, upstream: dict[str, int], hours=UPSTREAM_LAG_HOURS) -> DataFrame:
@@ -75,8 +77,7 @@ def forecast_features(cells: DataFrame, hourly: DataFrame, upstream: dict[str, i
     The first ``warm_up`` rows of every cell are left out.
     """
     base = cells if "hour" in cells.columns else cells.withColumn("hour", index_hour("h"))
-    numbered = base.selectExpr("*", f"row_number() OVER (PARTITION BY {key} ORDER BY h) AS _row")
-    lagged = local_lags(numbered, key).filter(f"_row > {warm_up}").drop("_row")
+    lagged = local_lags(base, key, number="_row").filter(f"_row > {warm_up}").drop("_row")
     return upstream_features(cyclic_time(lagged, "hour"), hourly, upstream, key=key)
 
 

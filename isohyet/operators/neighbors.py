@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from isohyet.functions.geo import haversine, lattice_shape, side_sql, unit_vector
 from isohyet.schemas import GRID_BOX, GRID_STEP, NEIGHBOR_CANDIDATES
+from isohyet.session import spread
 
 # Cubes around the unit sphere halve in side per level; the deepest is under a metre.
 DEEPEST = 24
@@ -91,7 +92,7 @@ def nearest_stations(targets: DataFrame, stations: DataFrame, k: int = NEIGHBOR_
     reach2 = " + ".join(f"pow({x}, 2)" for x in far)
     steps = "explode(sequence(-1L, 1L))"
     around = (
-        _cubes(home, "lat", "lon").selectExpr("*", f"({reach2}) * (1 + 1e-9D) + 1e-15D AS reach2")
+        _cubes(spread(home, "_t"), "lat", "lon").selectExpr("*", f"({reach2}) * (1 + 1e-9D) + 1e-15D AS reach2")
         .selectExpr("_t", "lat", "lon", *POINT, "reach2", "greatest(home - 1, 0) AS level", *_at_level("greatest(home - 1, 0)"))
         .selectExpr("*", f"{steps} AS dx").selectExpr("*", f"{steps} AS dy").selectExpr("*", f"{steps} AS dz")
         .selectExpr("_t", "lat", "lon", *POINT, "reach2", "level", "cx + dx AS cx", "cy + dy AS cy", "cz + dz AS cz")

@@ -68,3 +68,14 @@ def read_or_empty(spark: SparkSession, path: str, schema) -> DataFrame:
     if path_exists(spark, path):
         return spark.read.schema(schema).parquet(path)
     return spark.createDataFrame([], schema)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash ``df`` over all cores by ``keys``, ahead of a step that multiplies its rows.
+
+    Adaptive execution sizes partitions by their input; a small input that
+    grows a hundredfold in the next step would otherwise land in few tasks.
+    """
+    spark = df.sparkSession
+    wanted = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(wanted, *keys)
