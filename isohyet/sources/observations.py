@@ -69,9 +69,13 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_archive(rows: DataFrame, path: str, mode: str = "append") -> None:
-    """CSV archive, one folder per station; a big station spreads over several files."""
+    """CSV archive, one folder per station.
+
+    Rows are gathered by station first, so that not every task writes to every
+    folder; adaptive execution splits a big station over several writers.
+    """
     columns = ["station_id", "timestamp", "latitude", "longitude", *CHANNELS]
-    rows.select(*[c for c in columns if c in rows.columns]).write.mode(mode).partitionBy("station_id").option(
+    rows.select(*[c for c in columns if c in rows.columns]).hint("rebalance", "station_id").write.mode(mode).partitionBy("station_id").option(
         "header", True
     ).option("maxRecordsPerFile", 5_000_000).option("partitionOverwriteMode", "dynamic").csv(path)
 

@@ -20,14 +20,12 @@ def new_rows(target: DataFrame, batch: DataFrame, keys: list[str], order: str,
     batch's first and last time is read: the bounds are sub-queries, which
     prune files and row groups.
     """
-    batch = first_per_key(batch, keys, order)
     known = target
     if time_col:
-        known = known.filter(
-            (F.col(time_col) >= batch.agg(F.min(time_col)).scalar())
-            & (F.col(time_col) <= batch.agg(F.max(time_col)).scalar())
-        )
-    return batch.join(known.select(*keys), keys, "left_anti")
+        known = known.filter(F.col(time_col).between(
+            batch.agg(F.min(time_col)).scalar(), batch.agg(F.max(time_col)).scalar()
+        ))
+    return first_per_key(batch, keys, order).join(known.select(*keys), keys, "left_anti")
 
 
 def insert_ignore(target: DataFrame, batch: DataFrame, keys: list[str], order: str,

@@ -109,3 +109,14 @@ def test_unique_readings_within_the_watermark(spark, tmp_path):
         availableNow=True).format("parquet").start(str(tmp_path / "out")).awaitTermination()
     got = spark.read.parquet(str(tmp_path / "out"))
     assert got.count() == first_per_key(got, ["station_id", "ts"], "rain").count() == len(rows)
+
+
+def test_progress_log(spark, tmp_path):
+    class Progress:
+        id, batchId, numInputRows, durationMs = "q", 3, 42, {"addBatch": 5}
+
+    class Event:
+        progress = Progress
+
+    st.ProgressLog(spark, str(tmp_path / "log")).onQueryProgress(Event)
+    assert spark.read.json(str(tmp_path / "log")).first().rows == 42
