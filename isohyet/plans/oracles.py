@@ -109,12 +109,10 @@ SELECT * FROM (
 def triangles(cand, group="target"):
     """Best enclosing trio, or the three nearest, from (target, rank, ...) candidate rows."""
     def side(a, b):
-        return (f"((lat - {b}.latitude) * ({a}.longitude - {b}.longitude) "
-                f"- ({a}.latitude - {b}.latitude) * (lon - {b}.longitude))")
+        return (f"((a.lat - {b}.latitude) * ({a}.longitude - {b}.longitude) "
+                f"- ({a}.latitude - {b}.latitude) * (a.lon - {b}.longitude))")
     s = [side("a", "b"), side("b", "c"), side("c", "a")]
     neg, pos = " OR ".join(f"{x} < 0" for x in s), " OR ".join(f"{x} > 0" for x in s)
-    s = [x.replace("(lat -", "(a.lat -").replace("(lon -", "(a.lon -") for x in s]
-    neg, pos = " OR ".join(f"{x} < 0" for x in s), " OR ".join(f"{x} > 0" for x in s)
     on = " AND ".join(f"a.{g.strip()} = {{0}}.{g.strip()}" for g in group.split(","))
     cols = ", ".join(f"a.{g.strip()} AS {g.strip()}" for g in group.split(","))
     pick = ", ".join(f"{x}.station_id AS n{i}, {x}.distance_km AS d{i}" for i, x in enumerate("abc", 1))
@@ -220,11 +218,6 @@ V["lattice"] = """
 SELECT p_partkey // 50 AS lat_idx, p_partkey % 50 AS lon_idx, round(32.2e0 + (p_partkey // 50) / 100e0, 6) AS lat,
        round(35.1e0 + (p_partkey % 50) / 100e0, 6) AS lon, floor(p_retailprice) AS dist FROM part"""
 V["forecasts"] = """
-SELECT cell_id, CASE WHEN cell_id % 13 = 0 THEN hour - INTERVAL 1 HOUR ELSE hour END AS hour, rain * 0.875e0 AS precipitation_t1,
-       rain * 0.75e0 AS precipitation_t3, rain * 0.5e0 AS precipitation_t6, rain * 0.25e0 AS precipitation_t12
-FROM grid QUALIFY row_number() OVER (PARTITION BY cell_id ORDER BY hour DESC) = 1"""
-# max_by skips null rain where the newest hour has none
-V["forecasts"] = """
 SELECT cell_id, CASE WHEN cell_id % 13 = 0 THEN hour - INTERVAL 1 HOUR ELSE hour END AS hour, rain * 0.875e0 AS precipitation_t1,
        rain * 0.75e0 AS precipitation_t3, rain * 0.5e0 AS precipitation_t6, rain * 0.25e0 AS precipitation_t12
 FROM (SELECT cell_id, hour, rain, row_number() OVER (PARTITION BY cell_id ORDER BY hour DESC) AS rn FROM grid) WHERE rn = 1"""
@@ -418,7 +411,7 @@ SELECT cell_id, {_IDS}, hour, {nums([f'{m}_n{i}' for i in (1, 2, 3) for m in MEA
   {', '.join(num(f'd{i}', f'dist_n{i}') for i in (1, 2, 3))}, {calendar('hour')}
 FROM series JOIN (SELECT c.cell_id, {_IDS}, {cols} FROM neighbors c {joins}) USING (cell_id)""")
     q["idw_grid"] = query(f"SELECT cell_id, hour, {nums(MEASURES)} FROM grid")
-    q["cyclic_time_features"] = f"SELECT o_orderkey, o_orderdate AS hour, {calendar('o_orderdate')} FROM orders"
+    q["cyclic_time"] = f"SELECT o_orderkey, o_orderdate AS hour, {calendar('o_orderdate')} FROM orders"
     lagcols = ", ".join(num(f'"{c}"') for c in _LAGGED)
     upcols = ", ".join(num(f'"{c}"') for c in _UPCOLS)
     q["local_lags"] = query(f"SELECT cell_id, hour, {nums(LAG_MEASURES)}, {lagcols} FROM lagged")
@@ -443,7 +436,7 @@ JOIN (SELECT cell_id, lat, lon FROM cells) USING (cell_id)""")
     page = "SELECT hour, cell_id, " + num("rain") + ", idx FROM grid JOIN (SELECT hour, row_number() OVER (ORDER BY hour) - 1 AS idx FROM (SELECT DISTINCT hour FROM grid)) USING (hour) WHERE idx = "
     q["demo_page"] = query(page + "101")
     q["demo_page_end"] = query(page + "(SELECT count(DISTINCT hour) - 1 FROM grid)")
-    q["horizon_labels"] = """
+    q["horizon_times"] = """
 SELECT o_orderkey, o_orderdate AS hour, horizon, CASE WHEN horizon = 0 THEN 'Now' ELSE 't+' || horizon || 'h' END AS label,
   strftime(t, '%Y-%m-%d %H:%M') AS local_time, strftime(t, '%H:%M') AS clock, strftime(t, '%a') AS day
 FROM (SELECT o_orderkey, o_orderdate, horizon, ((o_orderdate AT TIME ZONE 'UTC') AT TIME ZONE 'Asia/Jerusalem') + horizon * INTERVAL 1 HOUR AS t
@@ -538,8 +531,8 @@ FROM (SELECT c_custkey, CAST(floor(c_custkey % 170 - 85.25e0) AS INTEGER) AS la,
                                       est=V["grid"].replace("FROM idw_raw", "FROM raw"), long=long)
     q["placed_readings"] = query(f"""
 SELECT event_id, station_id, {nums(['rain', 'latitude', 'longitude'])} FROM readings
-JOIN (SELECT station_id, latitude, longitude FROM stations WHERE station_id % 4 > 0) USING (station_id)""")
-    q["skipped_stations"] = query("SELECT DISTINCT station_id FROM readings WHERE station_id % 4 = 0")
+JOIN (SELECT station_id, latitude, longitude FROM stations WHERE elevation >= 200) USING (station_id)""")
+    q["skipped_stations"] = query("SELECT DISTINCT station_id FROM readings JOIN stations USING (station_id) WHERE elevation < 200")
     q["table_state"] = query("""SELECT count(*) AS n, count(DISTINCT station_id) AS stations, min(hour) AS "first", max(hour) AS "last" FROM clean""")
     cut = "FROM clean WHERE hour BETWEEN TIMESTAMP '2024-01-09 05:00:00' AND TIMESTAMP '2024-01-12 23:00:00'"
     have = " AND ".join(f"neighbor_{i}_id IN (SELECT station_id FROM win)" for i in (1, 2, 3))
