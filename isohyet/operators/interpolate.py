@@ -17,17 +17,19 @@ DISTANCES = [f"neighbor_{i}_distance" for i in (1, 2, 3)]
 CELLS_PER_SALT = 5000
 
 
-def trio_series(trios: DataFrame, hourly: DataFrame, measures: list[str] = MEASURES) -> DataFrame:
+def trio_series(trios: DataFrame, hourly: DataFrame, measures: list[str] = MEASURES,
+                carry: tuple[str, ...] = ()) -> DataFrame:
     """Side-by-side series of three stations for each distinct trio.
 
     Equals the full outer join of the three series on the hour, as one join in
-    long form and one aggregation.  Columns: the trio, h, then measure_n1.._n3.
+    long form and one aggregation.  Columns: the trio, h, columns of the trio
+    to ``carry`` along, then measure_n1.._n3.
     """
     each = ", ".join(f"{i}, {c}" for i, c in enumerate(TRIO, 1))
-    members = trios.selectExpr(*TRIO, f"stack(3, {each}) AS (rank, station_id)")
+    members = trios.selectExpr(*TRIO, *carry, f"stack(3, {each}) AS (rank, station_id)")
     # a key has three rows at most, so they are spread before the aggregation and not after a vain partial one
     rows = spread(members.join(hourly.select("station_id", "h", *measures), "station_id"), *TRIO, "h")
-    return rows.groupBy(*TRIO, "h").agg(*[
+    return rows.groupBy(*TRIO, "h").agg(*[F.expr(f"max({c}) AS {c}") for c in carry], *[
         F.expr(f"max(CASE WHEN rank = {i} THEN {c} END) AS {c}_n{i}") for i in (1, 2, 3) for c in measures
     ])
 
@@ -47,7 +49,7 @@ def cell_series(cells: DataFrame, hourly: DataFrame, measures: list[str] = MEASU
     salted = cells.join(trios, TRIO).withColumn(
         "_salt", F.pmod(F.xxhash64("cell_id"), F.col("_salts")).cast("int")
     ).drop("_salts")
-    wide = trio_series(trios, hourly, measures).join(trios, TRIO)
+    wide = trio_series(trios, hourly, measures, ("_salts",))
     wide = wide.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).drop("_salts")
     return salted.join(wide, [*TRIO, "_salt"]).drop("_salt")
 

@@ -246,20 +246,20 @@ def cyclic_time_features(spark, sf):
 
 
 def local_lags(spark, sf):
-    df = lg.local_lags(tb.interpolated(spark, sf).select("cell_id", "h", "hour", *["rain", "u_vec", "v_vec", "td", "rh"]))
+    df = lg.local_lags(tb.stored_grid(spark, sf).select("cell_id", "h", "hour", *["rain", "u_vec", "v_vec", "td", "rh"]))
     return shown(df)
 
 
 def upstream_features(spark, sf):
     hourly = tb.stored_clean(spark, sf)
-    df = lg.upstream_features(tb.interpolated(spark, sf, hourly).select("cell_id", "h", "hour", "u_vec", "v_vec"),
+    df = lg.upstream_features(tb.stored_grid(spark, sf, hourly).select("cell_id", "h", "hour", "u_vec", "v_vec"),
                               hourly, tb.UPSTREAM)
     return shown(df)
 
 
 def forecast_features(spark, sf):
     hourly = tb.stored_clean(spark, sf)
-    return shown(lg.forecast_features(tb.interpolated(spark, sf, hourly), hourly, tb.UPSTREAM))
+    return shown(lg.forecast_features(tb.stored_grid(spark, sf, hourly), hourly, tb.UPSTREAM))
 
 
 def neighbor_lags(spark, sf):
@@ -267,7 +267,7 @@ def neighbor_lags(spark, sf):
 
 
 def latest_per_cell(spark, sf):
-    return shown(lg.latest_row(tb.interpolated(spark, sf), order="hour"))
+    return shown(lg.latest_row(tb.stored_grid(spark, sf), order="hour"))
 
 
 def now_layer(spark, sf):
@@ -329,13 +329,13 @@ def longest_segment(spark, sf):
 
 
 def targets_by_horizon(spark, sf):
-    return shown(lg.horizon_targets(tb.interpolated(spark, sf).select("cell_id", "h", "hour", "rain")))
+    return shown(lg.horizon_targets(tb.stored_grid(spark, sf).select("cell_id", "h", "hour", "rain")))
 
 
 def _pairs(spark, sf, hourly):
     """Grid forecasts by persistence beside station rain at the closest cell's station."""
     assigned = nb.nearest_target(tb.cells(spark, sf), tb.stored_stations(spark, sf))
-    grid = tb.interpolated(spark, sf, hourly).select("cell_id", "h", F.col("rain").alias("forecast"))
+    grid = tb.stored_grid(spark, sf, hourly).select("cell_id", "h", F.col("rain").alias("forecast"))
     made = grid.withColumn("horizon", F.explode(F.array(*[F.lit(n) for n in HORIZONS])))
     return vf.verification_pairs(made, hourly, assigned)
 
@@ -375,7 +375,7 @@ def rain_class_weights(spark, sf):
 
 
 def lag_correlation(spark, sf):
-    grid = tb.interpolated(spark, sf).select("cell_id", "h", *["rain", "u_vec", "v_vec", "td", "rh"])
+    grid = tb.stored_grid(spark, sf).select("cell_id", "h", *["rain", "u_vec", "v_vec", "td", "rh"])
     df = lg.horizon_targets(lg.local_lags(grid))
     names = [f"{c}_t-{n}h" for c in ("rain", "td", "rh") for n in (1, 6, 24)]
     return shown(vf.lag_correlation(df, names, {f"target_t{n}": n for n in HORIZONS}))
@@ -401,7 +401,7 @@ def bias_correction(spark, sf):
 
 def sensor_flags(spark, sf):
     hourly = tb.stored_clean(spark, sf)
-    up = tb.interpolated(spark, sf, hourly).select("cell_id", "h", "hour", "u_vec", "v_vec")
+    up = tb.stored_grid(spark, sf, hourly).select("cell_id", "h", "hour", "u_vec", "v_vec")
     df = lg.upstream_features(up, hourly, tb.UPSTREAM, hours=[])
     inputs = {"local_wind": "u_vec", **{name: f"u_vec_{name}" for name in tb.UPSTREAM}}
     return vf.sensor_flags(df, inputs).select("cell_id", "hour", "missing_sensors", "n_missing", "low_confidence")
@@ -461,7 +461,7 @@ def rfsi_train_score(spark, sf):
 def forecast_train_score(spark, sf):
     """Train the four horizon models on the earlier hours and forecast from every cell's newest row."""
     hourly = tb.stored_clean(spark, sf)
-    features = cut_lineage(lg.forecast_features(tb.interpolated(spark, sf, hourly), hourly, tb.UPSTREAM))
+    features = cut_lineage(lg.forecast_features(tb.stored_grid(spark, sf, hourly), hourly, tb.UPSTREAM))
     models = ml.train_forecast(features, tb.UPSTREAM, maxIter=5, maxDepth=4)
     return shown(ml.latest_forecast(features, models))
 
@@ -469,7 +469,7 @@ def forecast_train_score(spark, sf):
 def importance_shift(spark, sf):
     """Feature importance at the first and last horizon."""
     hourly = tb.stored_clean(spark, sf)
-    features = cut_lineage(lg.forecast_features(tb.interpolated(spark, sf, hourly), hourly, tb.UPSTREAM))
+    features = cut_lineage(lg.forecast_features(tb.stored_grid(spark, sf, hourly), hourly, tb.UPSTREAM))
     models = ml.train_forecast(features, tb.UPSTREAM, horizons=[1, 12], kind="forest", numTrees=8, maxDepth=5)
     return shown(vf.importance_shift(ml.importances(models, ml.forecast_columns(tb.UPSTREAM)), 1, 12))
 
