@@ -77,5 +77,7 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     grows a hundredfold in the next step would otherwise land in few tasks.
     """
     spark = df.sparkSession
-    wanted = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    wanted = spark.sparkContext.defaultParallelism
+    if not spark.sparkContext.master.startswith("local"):  # on a cluster partitions also have to fit in memory
+        wanted = max(wanted, int(spark.conf.get("spark.sql.shuffle.partitions")))
     return df.repartition(wanted, *keys)
