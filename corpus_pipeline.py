@@ -1,9 +1,61 @@
-"""The corpus pipeline: stages over ``documents``, each written as Parquet and read again as the next one's input."""
+"""The corpus pipeline: from ``documents`` to packed training sequences.
 
-STAGES = []
+Each stage is written as Parquet and read again as the next one's ``docs``; all but the last return
+the columns of ``documents``.  Rows with nulls, empty texts, repeated rows and extra columns are treated as the
+operators say; an empty table gives no rows.  SQL cannot express the classifier, so the tests hold the pipeline
+against a brute-force version.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+from isohyet.llm import contamination, exact, near, packing, quality
+from isohyet.session import checkpoint_root
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier (2), learnt from ``labels``, does not reject."""
+    return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of exact copies (1): the longest original, then the smallest id."""
+    return exact.exact_dedup(docs)
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest id, of each group of near-duplicates (6): five words, similarity 0.8."""
+    return near.near_dedup(docs, words=5, percent=80)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no ten words in a row of a ``benchmark`` item (9)."""
+    return contamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Best-fit packing (10) of what is left: a row per chunk with its sequence and place."""
+    return packing.best_fit(docs)
+
+
+STAGES = [
+    ("quality", good_quality),
+    ("exact_dedup", without_copies),
+    ("near_dedup", without_near_copies),
+    ("decontamination", without_benchmark),
+    ("packing", packed_sequences),
+]
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    """All stages over the documents of ``sf_dir``."""
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of ``sf_dir``, with a table below the shared checkpoint folder between them."""
+    root = f"{checkpoint_root(spark)}/corpus-{uuid.uuid4().hex}"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        stage(spark, docs, sf_dir).write.parquet(f"{root}/{name}")
+        docs = spark.read.parquet(f"{root}/{name}")
+    return docs

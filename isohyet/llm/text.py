@@ -16,6 +16,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from isohyet.session import cut_lineage
+
 ROOT = str(Path(__file__).resolve().parents[2])
 SPACE = "[\\x20\\x09-\\x0D]"
 #: For bytes.translate: A-Z in lower case, all else as it is.
@@ -177,3 +179,16 @@ def packed(df: DataFrame) -> DataFrame:
 def unpack(column: pa.Array) -> list[bytes | None]:
     plain = zstandard.ZstdDecompressor().decompress
     return [None if t is None else plain(t) for t in raw_texts(column)]
+
+
+def drop_rows(documents: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """``documents``, all columns, without the rows that ``verdicts`` (``doc_id, th, kept``) does not keep.
+
+    Of rows alike in ``doc_id`` and text one stays at most, any one.
+    """
+    states = verdicts.groupBy(*KEY).agg(F.count_if("kept").alias("stay"), F.count_if(~F.col("kept")).alias("go"))
+    states = cut_lineage(states.filter("go > 0 OR stay > 1"))
+    on = F.expr("CAST(d.doc_id AS LONG) <=> s.doc_id AND xxhash64(d.text) = s.th")
+    stay = documents.alias("d").join(states.alias("s"), on, "left_anti")
+    one = documents.alias("d").join(states.filter("stay > 0").alias("s"), on, "left_semi").dropDuplicates(["doc_id", "text"])
+    return stay.unionByName(one)
