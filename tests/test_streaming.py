@@ -4,7 +4,8 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from isohyet.operators.clean import first_per_key, hourly_rollup
+from isohyet.operators.clean import first_per_key, hourly_clean, hourly_rollup
+from isohyet.operators.interpolate import idw_grid
 from isohyet.schemas import MEASURES, RAW
 from isohyet.functions.calendar import hour_index
 from isohyet.streaming import hourly as st
@@ -86,20 +87,120 @@ def test_closed_bins_only(spark, tmp_path):
     assert got == want
 
 
+CELL_SCHEMA = ("cell_id long, neighbor_1_id long, neighbor_2_id long, neighbor_3_id long, "
+               "neighbor_1_distance double, neighbor_2_distance double, neighbor_3_distance double")
+CELLS = [(1, 1, 2, 3, 1.0, 2.0, 3.0), (2, 2, 3, 4, 1.0, 1.0, 1.0), (3, 1, 2, 77, 1.0, 1.0, 1.0)]
+
+
+def grid_of(df):
+    return {(r.cell_id, r.h): tuple(None if r[c] is None else round(r[c], 9) for c in MEASURES) for r in df.collect()}
+
+
+def batch_grid(spark, rows, now):
+    hourly = hourly_clean(spark.createDataFrame(rows, RAW).dropDuplicates(["station_id", "ts"]))
+    grid = idw_grid(spark.createDataFrame(CELLS, CELL_SCHEMA), hourly)
+    return grid_of(grid.filter(F.col("hour") < F.lit(now.replace(minute=0, second=0))))
+
+
+def run_batches(spark, root, parts, now, **options):
+    step = st.hourly_batch(str(root), spark.createDataFrame(CELLS, CELL_SCHEMA), now=lambda: now, **options)
+    for i, rows in enumerate(parts):
+        step(spark.createDataFrame(rows, RAW), i)
+
+
+NOW = START + timedelta(days=6, minutes=20)
+
+
+def long_rows(n=1400):
+    return make_rows(n)  # nearly five days: far more than the window of the forecast
+
+
+def test_every_closed_hour_is_interpolated(spark, tmp_path):  # probe A, and the grid equal to the batch
+    rows = long_rows()
+    run_batches(spark, tmp_path, [rows], NOW)
+    got = grid_of(st.current_grid(spark, str(tmp_path)))
+    assert got == batch_grid(spark, rows, NOW)
+    assert len({h for _, h in got}) > 100
+
+
+def test_any_order_of_batches_gives_the_batch_grid(spark, tmp_path):  # probe D
+    rows = long_rows(500)
+    mixed = rows[:]
+    random.Random(1).shuffle(mixed)
+    run_batches(spark, tmp_path, [mixed[i::3] for i in range(3)], NOW)
+    assert grid_of(st.current_grid(spark, str(tmp_path))) == batch_grid(spark, rows, NOW)
+
+
+def test_readings_from_the_future_are_set_aside(spark, tmp_path):  # probes B and C
+    rows = make_rows(120)
+    wrong = (1, START + timedelta(days=40), *rows[0][2:])
+    run_batches(spark, tmp_path, [rows[:40] + [wrong], rows[40:80], rows[80:]], NOW)
+    assert spark.read.parquet(str(tmp_path / "raw")).count() == len(rows)
+    assert spark.read.parquet(str(tmp_path / "rejected")).count() == 1
+    metrics = spark.read.parquet(str(tmp_path / "metrics")).orderBy("batch").collect()
+    assert [(m.readings, m.rejected) for m in metrics] == [(40, 1), (40, 0), (40, 0)]
+    assert grid_of(st.current_grid(spark, str(tmp_path))) == batch_grid(spark, rows, NOW)
+
+
+def test_a_silent_station_is_filled_as_in_batch(spark, tmp_path):  # probe E
+    rows = [r for r in long_rows() if r[0] != 2 or r[1] < START + timedelta(hours=20) or r[1] > START + timedelta(hours=95)]
+    late = [r for r in rows if r[0] == 2 and r[1] > START + timedelta(hours=95)]
+    run_batches(spark, tmp_path, [[r for r in rows if r not in late], late], NOW)
+    assert grid_of(st.current_grid(spark, str(tmp_path))) == batch_grid(spark, rows, NOW)
+
+
+def test_hours_close_by_the_clock(spark, tmp_path):
+    rows = make_rows(200)
+    cells = spark.createDataFrame(CELLS, CELL_SCHEMA)
+    clock = [START + timedelta(hours=5, minutes=59)]
+    step = st.hourly_batch(str(tmp_path), cells, now=lambda: clock[0], ahead=timedelta(days=3))
+    step(spark.createDataFrame(rows, RAW), 0)
+    assert grid_of(st.current_grid(spark, str(tmp_path))) == batch_grid(spark, rows, clock[0])
+    clock[0] += timedelta(hours=7)
+    step(spark.createDataFrame(rows[:0], RAW), 1)  # nothing new but the time
+    assert grid_of(st.current_grid(spark, str(tmp_path))) == batch_grid(spark, rows, clock[0])
+
+
+def test_a_new_station_completes_old_hours(spark, tmp_path):
+    rows = make_rows(300)
+    run_batches(spark, tmp_path, [[r for r in rows if r[0] != 4], [r for r in rows if r[0] == 4]], NOW)
+    assert grid_of(st.current_grid(spark, str(tmp_path))) == batch_grid(spark, rows, NOW)
+
+
+def test_own_models_run_in_the_stream(spark, tmp_path):
+    rows = make_rows(120)
+    flat = lambda cells, hourly: idw_grid(cells, hourly, checked=False).withColumn("rain", F.lit(1.5))
+    run_batches(spark, tmp_path, [rows], START + timedelta(hours=10, minutes=1), interpolate=flat)
+    out = st.current_forecasts(spark, str(tmp_path)).collect()
+    assert len(out) == 2 and all(r.precipitation_t12 == 1.5 for r in out)
+
+
+def test_compaction_and_retention(spark, tmp_path):
+    rows = make_rows(240)
+    run_batches(spark, tmp_path, [rows[i::4] for i in range(4)], START + timedelta(hours=21))
+    grid, bins = grid_of(st.current_grid(spark, str(tmp_path))), bins_of(st.current_bins(spark, str(tmp_path)))
+    latest = st.current_forecasts(spark, str(tmp_path)).collect()
+    assert st.compact(spark, str(tmp_path)) > 0
+    assert grid_of(st.current_grid(spark, str(tmp_path))) == grid and bins_of(st.current_bins(spark, str(tmp_path))) == bins
+    assert st.current_forecasts(spark, str(tmp_path)).collect() == latest
+    for name in ("bins", "hourly", "grid"):
+        for day in st.folders(spark, str(tmp_path / name), "date"):
+            assert len(st.folders(spark, str(tmp_path / name / f"date={day}"), "batch")) == 1
+    assert len(st.folders(spark, str(tmp_path / "forecasts"), "batch")) == 2
+    assert st.retain(spark, str(tmp_path), START.date()) == 0 and st.retain(spark, str(tmp_path), NOW.date()) > 0
+    assert st.current_bins(spark, str(tmp_path)).count() == 0
+
+
 def test_forecasts_follow_the_newest_closed_hour(spark, tmp_path):
-    cells = spark.createDataFrame(
-        [(1, 1, 2, 3, 1.0, 2.0, 3.0), (2, 2, 3, 4, 1.0, 1.0, 1.0), (3, 1, 2, 77, 1.0, 1.0, 1.0)],
-        "cell_id long, neighbor_1_id long, neighbor_2_id long, neighbor_3_id long, "
-        "neighbor_1_distance double, neighbor_2_distance double, neighbor_3_distance double")
+    cells = spark.createDataFrame(CELLS, CELL_SCHEMA)
     rows = make_rows()
-    run = st.hourly_batch(str(tmp_path), cells)
+    clock = spark.createDataFrame(rows, RAW).agg(F.max("ts")).first()[0]
+    run = st.hourly_batch(str(tmp_path), cells, now=lambda: clock)
     run(spark.createDataFrame(rows[:150], RAW), 0)
     run(spark.createDataFrame(rows[150:], RAW), 1)
     out = {r.cell_id: r for r in st.current_forecasts(spark, str(tmp_path)).collect()}
     newest = spark.createDataFrame(rows, RAW).agg(F.max(hour_index("ts"))).first()[0]
     assert set(out) == {1, 2} and all(newest - 3 <= r.h < newest for r in out.values())  # cell 3 lacks a neighbour
-    grid = spark.read.parquet(str(tmp_path / "grid"))
-    assert grid.count() == grid.select("cell_id", "h").distinct().count()
 
 
 def test_unique_readings_within_the_watermark(spark, tmp_path):
