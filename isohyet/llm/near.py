@@ -7,11 +7,13 @@ in fewer than ``2 * CHUNKS`` places agree, by pigeonhole, in a chunk up to one e
 indexed under all choices of ``CHUNK - 1`` of its places, and all pairs within that distance share a bucket.
 At a similarity of 0.85 (0.8) a pair shares none with a probability of 2e-8 (2e-6).
 
-A bucket is not turned into pairs.  Its most connected member is compared with all others; the
-components of the confirmed links tell which members still need comparing, with one other
-member in the next round.  After ``ROUNDS`` of these only members of different components meet each other.
-So no link that joins two components is lost, and a large group costs a comparison per member.
-Before texts are compared, one bit of each place must agree in all but ``BITS_APART``.
+A bucket is not turned into pairs.  One member, the most connected, is compared with all others; the
+components of the confirmed links tell which members still need comparing, with another
+member in the next round.  After ``ROUNDS`` of these, a member stays only if enough of its shingles
+occur in any other member that is left (a bound on all its similarities), and what remains meets only across
+components, where bitmaps of the sets bound each similarity from above.  So no link that joins two
+components is lost, and a large group costs a comparison per member and round.
+Before texts are compared, sizes must allow the link, and one bit of each place must agree in all but ``BITS_APART``.
 
 Null, empty and blank texts are linked with nothing.  Rows that repeat are in one class.  A component
 is named by its smallest non-null ``doc_id``.  An empty table gives no rows.
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 from isohyet.llm.text import KEY, LOWER, drop_rows, each_batch, keyed, mix, packed, raw_texts, same, session_of, unpack, word_hashes
 from isohyet.session import cut_lineage
 
-CHUNKS, CHUNK, ROUNDS, BITS_APART = 10, 5, 2, 17
+CHUNKS, CHUNK, ROUNDS, BITS_APART, MARKS = 10, 5, 3, 17, 32
 PLACES = CHUNKS * CHUNK
 _RANDOM = np.random.default_rng(41)
 FACTORS = _RANDOM.integers(1, 1 << 63, PLACES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -84,7 +86,7 @@ def _rows(docs: DataFrame, words: int) -> DataFrame:
 
 
 def _buckets(classes: DataFrame) -> DataFrame:
-    """(bucket, c, bits): all chunks of all signatures, each place left out in turn."""
+    """(bucket, c, n, bits): all chunks of all signatures, each place left out in turn."""
 
     def make():
         def step(batch):
@@ -102,12 +104,12 @@ def _buckets(classes: DataFrame) -> DataFrame:
                     keys.append(key)
             rows = pa.array(np.tile(np.arange(len(blobs)), len(keys)))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(keys).view(np.int64)), batch.column("c").take(rows), batch.column("bits").take(rows)],
-                ["bucket", "c", "bits"])
+                [pa.array(np.concatenate(keys).view(np.int64)), *(batch.column(x).take(rows) for x in ("c", "n", "bits"))],
+                ["bucket", "c", "n", "bits"])
 
         return step
 
-    return each_batch(classes.select("c", "bits", "signature"), make, "bucket long, c long, bits long")
+    return each_batch(classes.select("c", "n", "bits", "signature"), make, "bucket long, c long, n long, bits long")
 
 
 def _texts(docs: DataFrame, classes: DataFrame, members: DataFrame) -> DataFrame:
@@ -169,41 +171,94 @@ def components(links: DataFrame) -> DataFrame:
     return labels if labels is not None else edges.select(F.col("x").alias("c"), F.col("y").alias("label"))
 
 
-def _apart(left: str, right: str):
-    return F.bit_count(F.col(f"{left}.bits").bitwiseXOR(F.col(f"{right}.bits"))) <= BITS_APART
+def _possible(left: str, right: str, percent: int):
+    """Whether the sizes and bits of two members allow a link."""
+    a, b = F.col(f"{left}.n"), F.col(f"{right}.n")
+    bits = F.bit_count(F.col(f"{left}.bits").bitwiseXOR(F.col(f"{right}.bits"))) <= BITS_APART
+    return (100 * F.least(a, b) >= percent * F.greatest(a, b)) & bits
+
+
+def _sharing(members: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Members with ``common``, their shingles that any other member has, as far as these allow a link in their bucket."""
+
+    def make():
+        def step(batch):
+            sets = shingle_sets(unpack(batch.column("packed")), words)
+            if sets:
+                rows = pa.array(np.repeat(np.arange(len(sets)), [len(x) for x in sets]))
+                yield pa.RecordBatch.from_arrays([batch.column("c").take(rows), pa.array(np.concatenate(sets).view(np.int64))],
+                                                 ["c", "shingle"])
+
+        return step
+
+    def bitmaps():
+        def step(batch):
+            blobs = []
+            for own in shingle_sets(unpack(batch.column("packed")), words):
+                marked = np.zeros(64 * MARKS, bool)
+                marked[(mix(own) % np.uint64(64 * MARKS)).astype(np.int64)] = True
+                blobs.append(np.packbits(marked).view(np.int64).tolist())
+            yield pa.RecordBatch.from_arrays([batch.column("c"), pa.array(blobs, pa.list_(pa.int64()))], ["c", "marks"])
+
+        return step
+
+    sources = cut_lineage(texts.join(cut_lineage(members.select("c").distinct()), "c", "left_semi").select("c", "packed"))
+    shingles = cut_lineage(each_batch(sources, make, "c long, shingle long"))
+    often = cut_lineage(shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("shingle"))
+    common = shingles.join(often, "shingle", "left_semi").groupBy("c").agg(F.count(F.lit(1)).alias("common"))
+    least = members.groupBy("bucket").agg(F.min("n").alias("least"))
+    rows = cut_lineage(members.join(common, "c").join(least, "bucket"))
+    # the union is smallest with the smallest partner that the sizes allow
+    partner = F.greatest(F.col("least"), F.ceil(F.col("n") * percent / 100))
+    rows = rows.filter(100 * F.col("common") >= percent * (F.col("n") + partner - F.col("common"))).drop("least")
+    return rows.join(each_batch(sources, bitmaps, "c long, marks array<long>"), "c")
+
+
+def _may_share(left: str, right: str):
+    """An upper bound of the shingles that two members share: each lacks at least what its bitmap lacks."""
+    a, b = F.col(f"{left}.marks"), F.col(f"{right}.marks")
+    only = lambda x, y: sum((F.bit_count(x[i].bitwiseAND(F.bitwise_not(y[i]))) for i in range(MARKS)), F.lit(0))
+    return F.least(F.col(f"{left}.common"), F.col(f"{right}.common"),
+                   F.col(f"{left}.n") - only(a, b), F.col(f"{right}.n") - only(b, a))
 
 
 def class_labels(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
     """(c, label) of the classes that are linked with another one."""
     buckets = _buckets(classes)
-    shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    shared = cut_lineage(buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"))
     members = cut_lineage(buckets.join(shared, "bucket"))
     texts = _texts(docs, classes, members)
-    degree = members.groupBy("c").agg(F.sum("size").alias("degree"))
+    degree = cut_lineage(members.groupBy("c").agg(F.sum("size").alias("degree")))
     members = cut_lineage(members.drop("size").join(degree, "c").withColumn("label", F.col("c")))
     links, labels = None, None
+
+    def unsettled(rows: DataFrame) -> DataFrame:
+        """Rows of buckets that still hold different components."""
+        mixed = rows.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a < b")
+        return cut_lineage(rows.join(cut_lineage(mixed.select("bucket")), "bucket", "left_semi"))
+
     for turn in range(ROUNDS + 1):
-        if turn:  # only buckets that still join different components
+        if turn:
             members = members.drop("label").join(labels, "c", "left").withColumn("label", F.coalesce("label", "c"))
-            mixed = members.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a < b")
-            members = cut_lineage(members.join(mixed.select("bucket"), "bucket", "left_semi"))
+            members = unsettled(cut_lineage(members))
+            if turn == ROUNDS and not members.isEmpty():
+                members = unsettled(_sharing(members, texts, words, percent))
             if members.isEmpty():
                 break
+        different = (F.col("m.bucket") == F.col("l.bucket")) & _possible("m", "l", percent)
         if turn < ROUNDS:
-            # the most connected member that has not led yet
-            lead = members.groupBy("bucket").agg(F.max(F.struct("degree", "c", "bits", "label")).alias("l")).select("bucket", "l.*")
-            on = (F.col("m.bucket") == F.col("l.bucket")) & (F.col("m.label") != F.col("l.label")) & _apart("m", "l")
-            pairs = members.alias("m").join(lead.alias("l"), on).select(F.col("l.c").alias("x"), F.col("m.c").alias("y"))
-            led = lead.select("bucket", "c")
+            rank = F.xxhash64("bucket", "c", F.lit(turn)) if turn else F.col("degree")
+            lead = members.groupBy("bucket").agg(F.max(F.struct(rank.alias("rank"), "c", "n", "bits", "label")).alias("l"))
+            lead = cut_lineage(lead.select("bucket", "l.*"))
+            pairs = members.alias("m").join(lead.alias("l"), different & (F.col("m.label") != F.col("l.label")))
         else:
-            on = (F.col("m.bucket") == F.col("l.bucket")) & (F.col("m.label") < F.col("l.label")) & _apart("m", "l")
-            pairs = members.alias("m").join(members.alias("l"), on).select(F.col("l.c").alias("x"), F.col("m.c").alias("y"))
-            led = None
-        found = cut_lineage(_linked(pairs.distinct(), texts, words, percent))
+            shared_ = _may_share("m", "l")
+            enough = 100 * shared_ >= percent * (F.col("m.n") + F.col("l.n") - shared_)
+            pairs = members.alias("m").join(members.alias("l"), different & (F.col("m.label") < F.col("l.label")) & enough)
+        pairs = pairs.select(F.least("l.c", "m.c").alias("x"), F.greatest("l.c", "m.c").alias("y")).distinct()
+        found = cut_lineage(_linked(pairs, texts, words, percent))
         links = found if links is None else links.unionByName(found)
         labels = components(links)
-        if led is not None:
-            members = members.join(led, ["bucket", "c"], "left_anti")
     return labels
 
 
@@ -214,7 +269,8 @@ def near_groups(documents: DataFrame, words: int = 5, percent: int = 80) -> Data
     rows = cut_lineage(_rows(docs, words))
     source = F.min(F.struct(F.col("doc_id").isNull().alias("null"), *KEY))
     classes = rows.filter("id IS NOT NULL").groupBy("id").agg(
-        source.alias("source"), F.first("signature").alias("signature"), F.first("bits").alias("bits"))
+        source.alias("source"), F.first("signature").alias("signature"), F.first("bits").alias("bits"),
+        F.first("n").alias("n"))
     classes = classes.withColumn("c", F.xxhash64(F.monotonically_increasing_id()))  # one to one for a single number
     classes = cut_lineage(classes.withColumn("source", F.struct("source.doc_id", "source.th")))
     labels = class_labels(docs, classes, words, percent)
