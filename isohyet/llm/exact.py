@@ -114,7 +114,7 @@ def exact_groups(documents: DataFrame, bits: int = 14) -> DataFrame:
                                      F.monotonically_increasing_id().alias("row")))
     first = listed.join(groups, "sha").filter("chars = best.chars AND (~doc_id) <=> best.id")
     first = first.groupBy("sha").agg(F.min("row").alias("first"))
-    chosen = groups.join(first, "sha")
+    chosen = cut_lineage(groups.join(first, "sha"))  # a table of its own, so that the next join can split a large group
     single = F.col("n").isNull()
     return listed.join(chosen, "sha", "left").select(
         "doc_id", F.when(single, F.col("doc_id")).otherwise(F.bitwise_not("best.id")).alias("keep_id"),
