@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from isohyet.llm.text import KEY, LOWER, drop_rows, each_batch, keyed, mix, packed, raw_texts, same, session_of, unpack, word_hashes
 from isohyet.session import cut_lineage
 
-CHUNKS, CHUNK, ROUNDS, BITS_APART, MARKS = 10, 5, 3, 17, 32
+CHUNKS, CHUNK, ROUNDS, BITS_APART, MARKS = 10, 5, 3, 17, 16
 PLACES = CHUNKS * CHUNK
 _RANDOM = np.random.default_rng(41)
 FACTORS = _RANDOM.integers(1, 1 << 63, PLACES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -191,14 +191,16 @@ def _sharing(members: DataFrame, texts: DataFrame, words: int, percent: int) ->
 
         return step
 
+    names = [f"m{i}" for i in range(MARKS)]
+
     def bitmaps():
         def step(batch):
-            blobs = []
-            for own in shingle_sets(unpack(batch.column("packed")), words):
-                marked = np.zeros(64 * MARKS, bool)
-                marked[(mix(own) % np.uint64(64 * MARKS)).astype(np.int64)] = True
-                blobs.append(np.packbits(marked).view(np.int64).tolist())
-            yield pa.RecordBatch.from_arrays([batch.column("c"), pa.array(blobs, pa.list_(pa.int64()))], ["c", "marks"])
+            marked = np.zeros((batch.num_rows, 64 * MARKS), bool)
+            for row, own in zip(marked, shingle_sets(unpack(batch.column("packed")), words), strict=True):
+                row[(mix(own) % np.uint64(64 * MARKS)).astype(np.int64)] = True
+            bits = np.packbits(marked, 1).view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("c"), pa.array(marked.sum(1)), *(pa.array(np.ascontiguousarray(x)) for x in bits.T)], ["c", "marked", *names])
 
         return step
 
@@ -211,15 +213,14 @@ def _sharing(members: DataFrame, texts: DataFrame, words: int, percent: int) ->
     # the union is smallest with the smallest partner that the sizes allow
     partner = F.greatest(F.col("least"), F.ceil(F.col("n") * percent / 100))
     rows = rows.filter(100 * F.col("common") >= percent * (F.col("n") + partner - F.col("common"))).drop("least")
-    return rows.join(each_batch(sources, bitmaps, "c long, marks array<long>"), "c")
+    return rows.join(each_batch(sources, bitmaps, "c long, marked long, " + ", ".join(f"{x} long" for x in names)), "c")
 
 
 def _may_share(left: str, right: str):
     """An upper bound of the shingles that two members share: each lacks at least what its bitmap lacks."""
-    a, b = F.col(f"{left}.marks"), F.col(f"{right}.marks")
-    only = lambda x, y: sum((F.bit_count(x[i].bitwiseAND(F.bitwise_not(y[i]))) for i in range(MARKS)), F.lit(0))
-    return F.least(F.col(f"{left}.common"), F.col(f"{right}.common"),
-                   F.col(f"{left}.n") - only(a, b), F.col(f"{right}.n") - only(b, a))
+    both = sum((F.bit_count(F.col(f"{left}.m{i}").bitwiseAND(F.col(f"{right}.m{i}"))) for i in range(MARKS)), F.lit(0))
+    lacks = [F.col(f"{x}.n") - (F.col(f"{x}.marked") - both) for x in (left, right)]
+    return F.least(F.col(f"{left}.common"), F.col(f"{right}.common"), *lacks)
 
 
 def class_labels(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
@@ -252,9 +253,17 @@ def class_labels(docs: DataFrame, classes: DataFrame, words: int, percent: int)
             lead = cut_lineage(lead.select("bucket", "l.*"))
             pairs = members.alias("m").join(lead.alias("l"), different & (F.col("m.label") != F.col("l.label")))
         else:
+            # all that need comparing are the members outside the largest component of a bucket, with all others
+            parts = members.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("k"))
+            most = parts.groupBy("bucket").agg(F.max(F.struct("k", "label")).alias("most")).select("bucket", "most.label")
+            most = cut_lineage(most.withColumnRenamed("label", "largest"))
+            known = cut_lineage(members.join(most, "bucket"))
+            outside = cut_lineage(known.filter("label != largest"))
+            once = (F.col("l.label") == F.col("l.largest")) | (F.col("m.label") < F.col("l.label"))
             shared_ = _may_share("m", "l")
             enough = 100 * shared_ >= percent * (F.col("m.n") + F.col("l.n") - shared_)
-            pairs = members.alias("m").join(members.alias("l"), different & (F.col("m.label") < F.col("l.label")) & enough)
+            on = different & (F.col("m.label") != F.col("l.label")) & once & enough
+            pairs = outside.alias("m").join(known.alias("l"), on)
         pairs = pairs.select(F.least("l.c", "m.c").alias("x"), F.greatest("l.c", "m.c").alias("y")).distinct()
         found = cut_lineage(_linked(pairs, texts, words, percent))
         links = found if links is None else links.unionByName(found)
