@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from isohyet.functions.calendar import hour_index, index_hour, ntz, source_time
 from isohyet.functions.weather import apply_ranges, repair_extremes, to_number, wind_u, wind_v
 from isohyet.schemas import FILL_LIMIT, MEASURES, RANGE_RULES, SOURCE_OFFSET_HOURS, UNUSED_CHANNELS
+from isohyet.session import small
 
 RAW_MEASURES = ["rain", "ws", "wd", "td", "rh", "tdmax", "tdmin"]
 
@@ -52,7 +53,7 @@ def newer_than_clean(readings: DataFrame, clean: DataFrame, scope: str = "statio
     if scope == "global":
         mark = clean.agg(F.max("hour").alias("m"))
         return readings.filter(F.col("ts") > F.coalesce(mark.scalar(), ntz("0001-01-01")))
-    marks = clean.groupBy("station_id").agg(F.max(hour_index("hour")).alias("_mark"))
+    marks = small(clean.groupBy("station_id").agg(F.max(hour_index("hour")).alias("_mark")))  # a row a station
     return (
         readings.join(marks, "station_id", "left")
         .filter(F.col("_mark").isNull() | (hour_index("ts") > F.col("_mark")))

@@ -14,7 +14,7 @@ from isohyet.session import spread
 
 TRIO = [f"neighbor_{i}_id" for i in (1, 2, 3)]
 DISTANCES = [f"neighbor_{i}_distance" for i in (1, 2, 3)]
-CELLS_PER_SALT = 5000
+CELLS_PER_SALT, HOURS_PER_BLOCK = 1000, 720
 
 
 def trio_series(trios: DataFrame, hourly: DataFrame, measures: list[str] = MEASURES,
@@ -40,18 +40,21 @@ def cell_series(cells: DataFrame, hourly: DataFrame, measures: list[str] = MEASU
 
     Many cells share a trio.  The series are therefore lined up once per trio
     and fanned out, so the wide rows of a cell are produced by the last join
-    and not shuffled for it.  A trio with many cells is split by salts in
-    proportion to its measured number of cells.
+    and not shuffled for it.  A key of that join is a trio, a block of hours and a salt, of which a trio with
+    many cells has several: at most ``cells_per_salt`` times ``HOURS_PER_BLOCK`` rows come from one key.
     """
     trios = cells.groupBy(*TRIO).agg(
         F.ceil(F.count(F.lit(1)) / cells_per_salt).cast("int").alias("_salts")
     )
+    block = F.floor(F.col("h") / HOURS_PER_BLOCK).cast("int")
+    ends = hourly.agg(F.struct(F.min(block).alias("a"), F.max(block).alias("b"))).scalar()
     salted = cells.join(trios, TRIO).withColumn(
         "_salt", F.pmod(F.xxhash64("cell_id"), F.col("_salts")).cast("int")
-    ).drop("_salts")
-    wide = trio_series(trios, hourly, measures, ("_salts",))
+    ).drop("_salts").withColumn("_blocks", F.sequence(ends["a"], ends["b"]))
+    salted = salted.withColumn("_block", F.explode("_blocks")).drop("_blocks")
+    wide = trio_series(trios, hourly, measures, ("_salts",)).withColumn("_block", block)
     wide = wide.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).drop("_salts")
-    return salted.join(wide, [*TRIO, "_salt"]).drop("_salt")
+    return salted.join(wide, [*TRIO, "_salt", "_block"]).drop("_salt", "_block")
 
 
 def weight_sql(distance: str) -> str:

@@ -14,7 +14,7 @@ from isohyet.operators.layers import time_index
 from isohyet.operators.neighbors import active_stations, station_neighbors, triangle_neighbors
 from isohyet.operators.raster import nearest_lattice, pixel_of, terrain_stats
 from isohyet.plans.models import score_forecast, score_interpolation
-from isohyet.schemas import HOLDOUT_STATION, RASTER_RADII, STATIONS_LEFT_OUT, WARM_UP_ROWS
+from isohyet.schemas import HOLDOUT_STATION, HORIZONS, RASTER_RADII, STATIONS_LEFT_OUT, WARM_UP_ROWS
 from isohyet.session import cut_lineage
 
 
@@ -55,7 +55,7 @@ def replay(hourly: DataFrame, cells: DataFrame, stations: DataFrame, upstream: d
     if forecast:
         rows = score_forecast(lg.forecast_features(cut_lineage(grid), window, upstream), forecast, cutoff)
     else:
-        rows = grid.select("cell_id", "h", "hour", *[F.col("rain").alias(f"precipitation_t{n}") for n in (1, 3, 6, 12)])
+        rows = grid.select("cell_id", "h", "hour", *[F.col("rain").alias(f"precipitation_t{n}") for n in HORIZONS])
     rows = rows.filter(F.col("hour").between(ntz(start), ntz(end))).join(cells.select("cell_id", "lat", "lon"), "cell_id")
     stored = cut_lineage(rows)
     return stored.join(time_index(stored), "hour")

@@ -272,7 +272,7 @@ def latest_per_cell(spark, sf):
 
 
 def now_layer(spark, sf):
-    df = ly.now_layer(tb.stored_grid(spark, sf), tb.cells(spark, sf))
+    df = ly.now_layer(tb.newest_grid(spark, sf), tb.cells(spark, sf))
     return shown(ly.cell_rectangles(df).drop("label"))
 
 

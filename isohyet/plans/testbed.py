@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from isohyet.functions.calendar import plus_hours
 from isohyet.operators.clean import hourly_clean
-from isohyet.operators.interpolate import idw_grid
-from isohyet.operators.neighbors import triangle_neighbors
+from isohyet.operators.interpolate import TRIO, idw_grid
+from isohyet.operators.neighbors import available_cells, triangle_neighbors
 from isohyet.schemas import HORIZONS
 from isohyet.session import checkpoint_root, cut_lineage
 from isohyet.sources.observations import read_payloads
@@ -142,6 +142,15 @@ def stored_grid(spark: SparkSession, sf: str, hourly: DataFrame | None = None) -
     return cut_lineage(interpolated(spark, sf, hourly))
 
 
+def newest_grid(spark: SparkSession, sf: str) -> DataFrame:
+    """Only the newest hour of the grid: it is looked up in the series, and no other hour is interpolated."""
+    hourly, near = stored_clean(spark, sf), neighbors(spark, sf)
+    usable = cut_lineage(available_cells(near, hourly))
+    members = usable.select(F.explode(F.array(*TRIO)).alias("station_id")).distinct()
+    newest = hourly.join(members, "station_id", "left_semi").agg(F.max("h")).scalar()
+    return idw_grid(usable, cut_lineage(hourly.filter(F.col("h") == newest)), checked=False)
+
+
 def forecasts(spark: SparkSession, sf: str) -> DataFrame:
     """One forecast row per cell from its newest hour with rain; every thirteenth is an hour older."""
     grid = interpolated(spark, sf).select("cell_id", "hour", "rain")

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # AQE does the run-time work: it broadcasts a join side only after measuring
 # it, splits skewed join partitions and merges small shuffle partitions.
@@ -57,6 +58,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+SMALL_ROWS = 100_000
+
+
+def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """``df`` stored and, if it has no more than ``rows`` rows, marked for broadcast.
+
+    For one row a station, class or group beside a big table: the size is counted, and a table
+    beyond it joins in the ordinary way.
+    """
+    stored = cut_lineage(df)
+    return F.broadcast(stored) if stored.count() <= rows else stored
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Whether a file or folder exists, on any file system that Spark can reach."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
