@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isohyet.llm.text import KEY, LOWER, drop_rows, each_batch, keyed, mix, packed, raw_texts, same, session_of, unpack, word_hashes
+from isohyet.llm.text import KEY, LOWER, checked, drop_rows, each_batch, keyed, mix, packed, raw_texts, same, session_of, unpack, word_hashes
 from isohyet.session import cut_lineage
 
 CHUNKS, CHUNK, ROUNDS, BITS_APART, MARKS = 10, 5, 3, 17, 16
@@ -121,7 +121,7 @@ def _texts(docs: DataFrame, classes: DataFrame, members: DataFrame) -> DataFrame
 
 def _linked(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (x, y) whose whole sets are similar enough."""
-    both = pairs.join(texts.select(F.col("c").alias("y"), F.col("packed").alias("b")), "y")
+    both = texts.select(F.col("c").alias("y"), F.col("packed").alias("b")).join(checked(pairs), "y")
     both = both.join(texts.select(F.col("c").alias("x"), F.col("packed").alias("a")), "x")
 
     def make():
@@ -159,13 +159,12 @@ def components(links: DataFrame) -> DataFrame:
     while not edges.isEmpty():
         ends = edges.unionByName(edges.select(F.col("y").alias("x"), F.col("x").alias("y")))
         parents = cut_lineage(ends.groupBy("x").agg(F.min("y").alias("p")).select("x", F.least("x", "p").alias("p")))
+        near, far = checked(parents.select("x", F.col("p").alias("u"))), checked(parents.select(F.col("x").alias("y"), F.col("p").alias("v")))
         if labels is None:
             labels = parents.select(F.col("x").alias("c"), F.col("p").alias("label"))
         else:
-            moved = labels.join(parents, labels["label"] == parents["x"], "left")
-            labels = cut_lineage(moved.select("c", F.coalesce("p", "label").alias("label")))
-        near = parents.select("x", F.col("p").alias("u"))
-        far = parents.select(F.col("x").alias("y"), F.col("p").alias("v"))
+            moved = labels.join(near, labels["label"] == near["x"], "left")
+            labels = cut_lineage(moved.select("c", F.coalesce("u", "label").alias("label")))
         edges = edges.join(near, "x").join(far, "y").select(F.least("u", "v").alias("x"), F.greatest("u", "v").alias("y"))
         edges = cut_lineage(edges.filter("x < y").distinct())
     return labels if labels is not None else edges.select(F.col("x").alias("c"), F.col("y").alias("label"))
@@ -204,12 +203,13 @@ def _sharing(members: DataFrame, texts: DataFrame, words: int, percent: int) ->
 
         return step
 
-    sources = cut_lineage(texts.join(cut_lineage(members.select("c").distinct()), "c", "left_semi").select("c", "packed"))
+    left = checked(cut_lineage(members.select("c").distinct()))
+    sources = cut_lineage(texts.join(left, "c", "left_semi").select("c", "packed"))
     shingles = cut_lineage(each_batch(sources, make, "c long, shingle long"))
     often = cut_lineage(shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("shingle"))
-    common = shingles.join(often, "shingle", "left_semi").groupBy("c").agg(F.count(F.lit(1)).alias("common"))
-    least = members.groupBy("bucket").agg(F.min("n").alias("least"))
-    rows = cut_lineage(members.join(common, "c").join(least, "bucket"))
+    common = shingles.join(checked(often), "shingle", "left_semi").groupBy("c").agg(F.count(F.lit(1)).alias("common"))
+    least = checked(cut_lineage(members.groupBy("bucket").agg(F.min("n").alias("least"))))
+    rows = cut_lineage(members.join(checked(cut_lineage(common)), "c").join(least, "bucket"))
     # the union is smallest with the smallest partner that the sizes allow
     partner = F.greatest(F.col("least"), F.ceil(F.col("n") * percent / 100))
     rows = rows.filter(100 * F.col("common") >= percent * (F.col("n") + partner - F.col("common"))).drop("least")
@@ -227,20 +227,20 @@ def class_labels(docs: DataFrame, classes: DataFrame, words: int, percent: int)
     """(c, label) of the classes that are linked with another one."""
     buckets = _buckets(classes)
     shared = cut_lineage(buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"))
-    members = cut_lineage(buckets.join(shared, "bucket"))
+    members = cut_lineage(buckets.join(checked(shared), "bucket"))
     texts = _texts(docs, classes, members)
     degree = cut_lineage(members.groupBy("c").agg(F.sum("size").alias("degree")))
-    members = cut_lineage(members.drop("size").join(degree, "c").withColumn("label", F.col("c")))
+    members = cut_lineage(members.drop("size").join(checked(degree), "c").withColumn("label", F.col("c")))
     links, labels = None, None
 
     def unsettled(rows: DataFrame) -> DataFrame:
         """Rows of buckets that still hold different components."""
         mixed = rows.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a < b")
-        return cut_lineage(rows.join(cut_lineage(mixed.select("bucket")), "bucket", "left_semi"))
+        return cut_lineage(rows.join(checked(cut_lineage(mixed.select("bucket"))), "bucket", "left_semi"))
 
     for turn in range(ROUNDS + 1):
         if turn:
-            members = members.drop("label").join(labels, "c", "left").withColumn("label", F.coalesce("label", "c"))
+            members = members.drop("label").join(checked(labels), "c", "left").withColumn("label", F.coalesce("label", "c"))
             members = unsettled(cut_lineage(members))
             if turn == ROUNDS and not members.isEmpty():
                 members = unsettled(_sharing(members, texts, words, percent))
@@ -251,20 +251,21 @@ def class_labels(docs: DataFrame, classes: DataFrame, words: int, percent: int)
             rank = F.xxhash64("bucket", "c", F.lit(turn)) if turn else F.col("degree")
             lead = members.groupBy("bucket").agg(F.max(F.struct(rank.alias("rank"), "c", "n", "bits", "label")).alias("l"))
             lead = cut_lineage(lead.select("bucket", "l.*"))
-            pairs = members.alias("m").join(lead.alias("l"), different & (F.col("m.label") != F.col("l.label")))
+            pairs = members.alias("m").join(checked(lead).alias("l"), different & (F.col("m.label") != F.col("l.label")))
         else:
             # all that need comparing are the members outside the largest component of a bucket, with all others
             parts = members.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("k"))
             most = parts.groupBy("bucket").agg(F.max(F.struct("k", "label")).alias("most")).select("bucket", "most.label")
             most = cut_lineage(most.withColumnRenamed("label", "largest"))
-            known = cut_lineage(members.join(most, "bucket"))
+            known = cut_lineage(members.join(checked(most), "bucket"))
             outside = cut_lineage(known.filter("label != largest"))
             once = (F.col("l.label") == F.col("l.largest")) | (F.col("m.label") < F.col("l.label"))
             shared_ = _may_share("m", "l")
             enough = 100 * shared_ >= percent * (F.col("m.n") + F.col("l.n") - shared_)
             on = different & (F.col("m.label") != F.col("l.label")) & once & enough
-            pairs = outside.alias("m").join(known.alias("l"), on)
-        pairs = pairs.select(F.least("l.c", "m.c").alias("x"), F.greatest("l.c", "m.c").alias("y")).distinct()
+            pairs = known.alias("l").join(outside.alias("m"), on)
+        pairs = pairs.select(F.least("l.c", "m.c").alias("x"), F.greatest("l.c", "m.c").alias("y"))
+        pairs = cut_lineage(pairs.distinct())
         found = cut_lineage(_linked(pairs, texts, words, percent))
         links = found if links is None else links.unionByName(found)
         labels = components(links)
@@ -283,7 +284,7 @@ def near_groups(documents: DataFrame, words: int = 5, percent: int = 80) -> Data
     classes = classes.withColumn("c", F.xxhash64(F.monotonically_increasing_id()))  # one to one for a single number
     classes = cut_lineage(classes.withColumn("source", F.struct("source.doc_id", "source.th")))
     labels = class_labels(docs, classes, words, percent)
-    named = classes.select("id", "c", F.col("source.doc_id").alias("least")).join(labels, "c", "left")
+    named = classes.select("id", "c", F.col("source.doc_id").alias("least")).join(checked(labels), "c", "left")
     named = named.select("id", F.coalesce("label", "c").alias("label"), "least")
     names = named.groupBy("label").agg(F.min("least").alias("component_id"))
     found = named.join(names, "label").select("id", "component_id")

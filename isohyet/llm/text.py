@@ -181,6 +181,11 @@ def unpack(column: pa.Array) -> list[bytes | None]:
     return [None if t is None else plain(t) for t in raw_texts(column)]
 
 
+def checked(stored: DataFrame, rows: int = 100_000) -> DataFrame:
+    """A stored narrow table, marked for broadcast if it has no more than ``rows`` rows; beyond, joins shuffle it."""
+    return F.broadcast(stored) if stored.count() <= rows else stored
+
+
 def drop_rows(documents: DataFrame, verdicts: DataFrame) -> DataFrame:
     """``documents``, all columns, without the rows that ``verdicts`` (``doc_id, th, kept``) does not keep.
 
