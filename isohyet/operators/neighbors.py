@@ -126,7 +126,7 @@ def choose_triangle(lists: DataFrame, k: int = NEIGHBOR_CANDIDATES) -> DataFrame
     Of all trios whose triangle holds the target the one with the least sum of
     distances wins (then the first in candidate order); without one the three
     nearest are taken and is_boundary is true.  Targets with fewer than three
-    candidates are dropped.
+    candidates keep those; the others are null, and ``available_cells`` leaves them out.
     """
     pairs = list(combinations(range(k), 2))
     at = {p: n for n, p in enumerate(pairs)}
@@ -138,7 +138,7 @@ def choose_triangle(lists: DataFrame, k: int = NEIGHBOR_CANDIDATES) -> DataFrame
     corner = {x: (f"get(lats, p.{x})", f"get(lons, p.{x})") for x in "ab"}
     there, back = (side_sql(("lat", "lon"), corner[x], corner[y]) for x, y in ("ab", "ba"))
     rest = [x for x in lists.columns if x != "candidates"]
-    sides = lists.filter("size(candidates) >= 3").selectExpr(
+    sides = lists.selectExpr(
         *rest, "candidates", "candidates.latitude AS lats", "candidates.longitude AS lons", "candidates.distance_km AS d"
     ).selectExpr(
         *rest, "candidates", "d", f"transform(array({pair_list}), p -> {there}) AS there",
@@ -149,7 +149,7 @@ def choose_triangle(lists: DataFrame, k: int = NEIGHBOR_CANDIDATES) -> DataFrame
             f"greatest({around}) > 0)), t -> struct(get(d, t.i) + get(d, t.j) + get(d, t.m) AS total, t.i, t.j, t.m)))")
     picks = sides.selectExpr(*rest, "candidates", f"{best} AS best").selectExpr(
         *rest, "best IS NULL AS is_boundary",
-        *[f"candidates[coalesce(best.{x}, {n})] AS n{n + 1}" for n, x in enumerate("ijm")],
+        *[f"get(candidates, coalesce(best.{x}, {n})) AS n{n + 1}" for n, x in enumerate("ijm")],
     )
     return picks.selectExpr(*rest, "is_boundary", *[
         x for n in (1, 2, 3)
