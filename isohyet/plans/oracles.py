@@ -542,6 +542,12 @@ FROM (SELECT cell_id, hour, {', '.join(f'rain AS precipitation_t{n}' for n in HO
       WHERE hour >= TIMESTAMP '2024-01-10 05:00:00' AND cell_id IN (SELECT cell_id FROM neighbors WHERE {have}))
 JOIN (SELECT cell_id, lat, lon FROM cells) USING (cell_id)""", win=f"SELECT * {cut}", ss=V["series"].replace("JOIN clean c", "JOIN win c"),
         raw=V["idw_raw"].replace("FROM series", "FROM ss"))
+    def drawn(c, sigma):
+        u = [f"((('0x' || substr(md5(concat_ws('/', station_id, h, '{c}', '7', '{n}')), 1, 13))::BIGINT + 0.5e0) / 4503599627370496e0)"
+             for n in (1, 2)]
+        return num(f"({c} + {sigma}e0 * sqrt(-2e0 * ln({u[0]})) * cos(6.283185307179586e0 * {u[1]}))", c)
+
+    q["noisy_rain"] = query(f"SELECT station_id, hour, {drawn('rain', 0.33)}, {drawn('td', 1.8)} FROM clean")
     # a stream over the whole table must end with the batch result
     q["stream_hourly"] = q["hourly_rollup"]
     q["stream_closed_bins"] = query(f"""
