@@ -228,19 +228,20 @@ def _by_window(opened: DataFrame, spec: Spec) -> DataFrame:
         return step
 
     rows = each_batch(opened, make, "doc_id long, th long, identity long, n long, lo long")
-    often = rows.groupBy("identity").agg(F.sum("n").alias("total")).filter("total >= 2").select("identity")
+    often = cut_lineage(rows.groupBy("identity").agg(F.sum("n").alias("total")).filter("total >= 2").select("identity"))
     return rows.filter("n = 1").join(often, "identity", "left_semi").select(*KEY, "lo", F.col("lo").alias("hi"))
 
 
 def repeated_ranges(docs: DataFrame, spec: Spec) -> DataFrame:
     """``ranges`` (first and last start of repeated windows) of every document that has some; ``docs`` is ``keyed``."""
     paths = all_paths(docs, spec)
-    again = paths.groupBy("ak").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2").select("ak")
+    # a table of its own, so that the join can split the partition of a frequent anchor
+    again = cut_lineage(paths.groupBy("ak").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2").select("ak"))
     paths = cut_lineage(paths.join(again, "ak", "left_semi"))
     distinct = cut_lineage(paths.groupBy("ak", "path").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct(*KEY, "place")).alias("source")))
     anchors = distinct.groupBy("ak").agg(F.min("n").alias("least"), F.count(F.lit(1)).alias("paths"))
-    anchors = anchors.filter("least = 1 AND paths >= 2").select("ak", "paths")
+    anchors = cut_lineage(anchors.filter("least = 1 AND paths >= 2").select("ak", "paths"))
 
     branches = distinct.join(anchors, "ak").select("source.*", "ak", "n", "paths")
     places = branches.groupBy(*KEY).agg(F.collect_list(F.struct("place", "ak", "n", "paths")).alias("places"))
