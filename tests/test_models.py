@@ -63,6 +63,31 @@ def test_cross_validation_leaves_the_fold_out(spark, network):
     assert out.fold == 3 and out.n > 30 and out.baseline_rmse < 5
 
 
+def test_cross_validation_scores_every_station(spark, network):
+    st, hourly = network
+    rows = {r.fold: r for r in ml.cross_validate(st, hourly, "td", numTrees=2, maxDepth=2).collect()}
+    assert sorted(rows) == list(range(1, 9)) and all(r.n > 30 and r.rmse > 0 for r in rows.values())
+    assert rows[3].n == ml.cross_validate(st, hourly, "td", [3], numTrees=2, maxDepth=2).first().n
+
+
+def test_cross_validation_keeps_a_station_without_rows(spark, network):
+    st, hourly = network
+    silent = hourly.withColumn("td", F.when(F.col("station_id") != 5, F.col("td")))
+    rows = {r.fold: r for r in ml.cross_validate(st, silent, "td", numTrees=2, maxDepth=2).collect()}
+    assert sorted(rows) == list(range(1, 9)) and (rows[5].n, rows[5].event_n, rows[5].rmse) == (0, 0, None)
+
+
+def test_fold_rows_never_meet_the_held_out_station(spark, network):
+    st, hourly = network
+    table = ml.fold_features(st, hourly.withColumn("td", F.col("station_id") * 1000.0), "td")
+    for fold in (1, 5, 8):
+        train, test = ml.fold_rows(table, fold)
+        near = F.array("td_n1", "td_n2", "td_n3")
+        assert train.filter((F.col("cell_id") == fold) | F.array_contains(near, fold * 1000.0)).count() == 0
+        assert train.count() == train.select("cell_id", "h").distinct().count() == 7 * 60
+        assert test.count() == 60
+
+
 def test_noise_is_a_function_of_the_key(spark, network):
     _, hourly = network
     a = ml.add_noise(hourly, {"td": 2.0}, ["station_id", "h"])
