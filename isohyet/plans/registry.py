@@ -455,7 +455,7 @@ def rfsi_train_score(spark, sf):
     """Train the learned interpolation on all stations and score every cell and hour."""
     hourly, st = tb.stored_clean(spark, sf), tb.stored_stations(spark, sf)
     train = ml.target_features(nb.station_neighbors(st, holdout=tb.HOLDOUT).filter(F.col("station_id") != tb.HOLDOUT), hourly, st)
-    models = ml.train_interpolation(train, hourly, numTrees=8, maxDepth=5)
+    models = ml.train_interpolation(train, hourly)
     return shown(ml.score_interpolation(ip.interpolation_features(tb.neighbors(spark, sf), hourly, st), models))
 
 
@@ -463,16 +463,16 @@ def forecast_train_score(spark, sf):
     """Train the four horizon models on the earlier hours and forecast from every cell's newest row."""
     hourly = tb.stored_clean(spark, sf)
     features = cut_lineage(lg.forecast_features(tb.stored_grid(spark, sf, hourly), hourly, tb.UPSTREAM))
-    models = ml.train_forecast(features, tb.UPSTREAM, maxIter=5, maxDepth=4)
+    models = ml.train_forecast(features, tb.UPSTREAM)
     return shown(ml.latest_forecast(features, models))
 
 
 def importance_shift(spark, sf):
-    """Feature importance at the first and last horizon."""
+    """Feature importance at every horizon, and its change from the first to the last."""
     hourly = tb.stored_clean(spark, sf)
     features = cut_lineage(lg.forecast_features(tb.stored_grid(spark, sf, hourly), hourly, tb.UPSTREAM))
-    models = ml.train_forecast(features, tb.UPSTREAM, horizons=[1, 12], kind="forest", numTrees=8, maxDepth=5)
-    return shown(vf.importance_shift(ml.importances(models, ml.forecast_columns(tb.UPSTREAM)), 1, 12))
+    models = ml.train_forecast(features, tb.UPSTREAM, kind="forest")
+    return shown(vf.importance_shift(ml.importances(models, ml.forecast_columns(tb.UPSTREAM)), *HORIZONS))
 
 
 def tweedie_rain(spark, sf):
@@ -481,7 +481,7 @@ def tweedie_rain(spark, sf):
     table = ml.target_features(nb.station_neighbors(st), hourly, st)
     rows = cut_lineage(ip.training_rows(table, hourly, "rain"))
     columns = [*[f"rain_n{i}" for i in (1, 2, 3)], *[f"dist_n{i}" for i in (1, 2, 3)], "elevation_target"]
-    model = ml.regression(columns, "tweedie", "estimate", maxIter=10).fit(rows)
+    model = ml.regression(columns, "tweedie", "estimate").fit(rows)
     return shown(model.transform(rows).select("cell_id", "hour", "label", "estimate"))
 
 

@@ -4,8 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from isohyet.operators import lags as lg
+from isohyet.operators import verify as vf
 from isohyet.plans import models as ml
-from isohyet.schemas import MEASURES, STATIC, TERRAIN
+from isohyet.plans import registry
+from isohyet.schemas import HORIZONS, MEASURES, STATIC, TERRAIN
 from isohyet.operators.neighbors import station_neighbors
 
 
@@ -63,6 +65,46 @@ def test_cross_validation_leaves_the_fold_out(spark, network):
     assert out.fold == 3 and out.n > 30 and out.baseline_rmse < 5
 
 
+def test_registered_training_is_not_cut(spark, network, monkeypatch):
+    """The learners of the registered queries have Spark's default sizes at least, and all horizons."""
+    built = []
+
+    class Stop(Exception):
+        pass
+
+    def kept(columns, kind, *_, **params):
+        made = regression(columns, kind, "out", **{k: v for k, v in params.items() if k != "weight"})
+        built.append(made.getStages()[-1])
+        raise Stop
+
+    def horizons(features, upstream, horizons=HORIZONS, **params):
+        assert list(horizons) == list(HORIZONS)
+        kept(ml.forecast_columns(upstream), params.pop("kind", "boosted"), **params)
+
+    def measures(features, hourly, measures=MEASURES, **params):
+        assert list(measures) == list(MEASURES)
+        kept(ml.interpolation_columns("rain"), "forest", **params)
+
+    regression = ml.regression
+    monkeypatch.setattr(ml, "regression", kept)
+    monkeypatch.setattr(ml, "train_forecast", horizons)
+    monkeypatch.setattr(ml, "train_interpolation", measures)
+    for name in ("forecast_train_score", "rfsi_train_score", "importance_shift", "tweedie_rain"):
+        with pytest.raises(Stop):
+            registry.QUERIES[name](spark, "/root/testdata/sf0.001")
+    for learner in built:
+        for name, least in (("numTrees", 20), ("maxIter", 20), ("maxDepth", 5)):
+            assert not learner.hasParam(name) or learner.getOrDefault(name) >= least
+    assert len(built) == 4
+
+
+def test_importance_shift_shows_every_horizon(spark):
+    rows = [(n, c, float(v)) for n, a, b in ((1, 1, 3), (3, 2, 2), (6, 1, 1), (12, 4, 1)) for c, v in (("a", a), ("b", b))]
+    df = vf.importance_shift(spark.createDataFrame(rows, "horizon int, feature string, importance double"), 1, 3, 6, 12)
+    got = {r.feature: (r.pct_t1, r.pct_t3, r.pct_t6, r.pct_t12, r.change) for r in df.collect()}
+    assert got["a"] == (25.0, 50.0, 50.0, 80.0, 55.0) and got["b"][-1] == -55.0
+
+
 def test_cross_validation_scores_every_station(spark, network):
     st, hourly = network
     rows = {r.fold: r for r in ml.cross_validate(st, hourly, "td", numTrees=2, maxDepth=2).collect()}
