@@ -29,7 +29,9 @@ from pyspark.sql import functions as F
 from isohyet.llm.text import KEY, LOWER, checked, drop_rows, each_batch, keyed, mix, packed, raw_texts, same, session_of, unpack, word_hashes
 from isohyet.session import cut_lineage
 
-CHUNKS, CHUNK, ROUNDS, BITS_APART, MARKS = 10, 5, 3, 17, 16
+CHUNKS, CHUNK, ROUNDS, MARKS = 10, 5, 3, 16
+#: Signatures within the distance that shares a bucket differ in no more bits than places, so the bit test never rejects them.
+BITS_APART = 2 * CHUNKS - 1
 PLACES = CHUNKS * CHUNK
 _RANDOM = np.random.default_rng(41)
 FACTORS = _RANDOM.integers(1, 1 << 63, PLACES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

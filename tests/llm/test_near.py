@@ -80,3 +80,12 @@ def test_components_of_random_graph(spark):
     got = {r.c: r.label for r in near.components(spark.createDataFrame(edges, "x long, y long")).collect()}
     assert got == {v: c for v, c in label.items() if v in got}
     assert set(got) == {v for x, y in edges if x != y for v in (x, y)}
+
+
+def test_bits_never_reject_a_pair_within_the_distance(spark):
+    """Signatures that differ in up to 2 * CHUNKS - 1 places may differ in as many low bits."""
+    rows = [(k, 100, (1 << k) - 1) for k in range(2 * near.CHUNKS + 1)]
+    df = spark.createDataFrame(rows, "k long, n long, bits long")
+    zero = df.filter("k = 0").alias("a")
+    got = {r.k for r in zero.join(df.alias("b"), near._possible("a", "b", 80)).select("b.k").collect()}
+    assert got == set(range(2 * near.CHUNKS))
