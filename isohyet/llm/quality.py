@@ -5,9 +5,9 @@ characters, case kept.  Features of a text are its words and pairs of neighbouri
 into ``2**bits`` columns; the value of a column is its share of the text's n-grams times ``SCALE``.  The score of a
 text is one sparse dot product with the weights, a sum of looked-up weights.
 
-Training takes at most ``sample`` labelled rows, those with the lowest hash of id and text, and of each at most
-``MOST`` columns with the highest values; it runs ``epochs`` times over them in an order that a hash fixes.
-Both bounds are parameters of the fit alone: every whole text is scored.
+Training takes at most ``sample`` labelled rows, those with the lowest hash of id and text, each with all its
+columns; it runs ``epochs`` times over them in an order that a hash fixes.
+The bound is a parameter of the fit alone: every whole text is scored.
 
 Null and empty texts have no features and get the score of the intercept.  Labels that are null are
 left out, several labels of one id are several examples.  Without any label the score is 0.5.
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from isohyet.llm.text import BYTE, WORD_BASE, SpanHash, mix, raw_texts, session_of
 
-SCALE, MOST = 16.0, 4096
+SCALE = 16.0
 #: 0: blank and control bytes, 1: digits, letters and non-ASCII characters, 2: other visible characters.
 KIND = np.array([1 if 48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b > 127 else 2 if 33 <= b <= 126 else 0
                  for b in range(256)], np.int8)
@@ -63,11 +63,7 @@ def ngrams(text: bytes | None, bits: int) -> np.ndarray:
 def features(text: bytes | None, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Columns and values of a training row."""
     columns, counts = np.unique(ngrams(text, bits), return_counts=True)
-    values = SCALE * counts / max(1, counts.sum())
-    if len(columns) > MOST:
-        top = np.sort(np.argsort(-counts, kind="stable")[:MOST])
-        columns, values = columns[top], values[top]
-    return columns, values
+    return columns, SCALE * counts / max(1, counts.sum())
 
 
 def follow_leader(rows: list[tuple[np.ndarray, np.ndarray, int]], bits: int, epochs: int = 4, alpha: float = 0.5,

@@ -39,6 +39,12 @@ def test_score_is_a_sparse_dot_product():
     assert abs(model.scores([text])[0] - want) < 1e-6
 
 
+def test_long_texts_train_on_all_their_ngrams():
+    text = " ".join(f"w{i}" for i in range(9000)).encode()
+    columns, values = quality.features(text, 18)
+    assert set(columns) == set(quality.ngrams(text, 18)) and abs(values.sum() - quality.SCALE) < 1e-9
+
+
 def test_odd_rows(spark, table, messy):
     docs = table(messy, extra=True)
     labels = spark.createDataFrame([(i, q, 0) for i, q in ((4, 1), (5, 1), (6, 0), (None, 1), (7, None), (20, 1), (20, 0), (999, 1))],
