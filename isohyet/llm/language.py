@@ -6,9 +6,8 @@ filter over the window goes through a softmax layer.  A filter is linear in the
 applied as a sum of looked-up rows, one for each pair of bytes or byte it covers.  The
 probabilities of a text are the mean over its windows, weighted by their bytes.
 
-Training takes about ``sample`` labelled documents a language, by a hash of id and text, and of each
-``PARTS`` windows spread over the text.  These bounds are parameters of the fit alone:
-every whole text is predicted.  Languages are the values that are learnable at all (not held out, not null).
+Training takes about ``sample`` labelled documents a language, by a hash of id and text, and all windows
+of each.  The bound is a parameter of the fit alone: every whole text is predicted.  Languages are the values that are learnable at all (not held out, not null).
 
 Null texts and texts without a letter are ``und`` with score 0, and so is every text when there is
 nothing to learn from.  Rows that repeat are predicted alike; an empty table gives no rows.
@@ -25,7 +24,7 @@ from pyspark.sql import functions as F
 
 from isohyet.llm.text import raw_texts, session_of
 
-WIDTHS, EMBEDDED, PARTS = (2, 3, 4), 8, 4
+WIDTHS, EMBEDDED = (2, 3, 4), 8
 OUT = "struct<lang_pred:string,score:double>"
 
 
@@ -87,13 +86,8 @@ def train(texts: list[bytes], langs: list[str], width: int, filters: int, epochs
     kernels = [random.normal(0, 0.4, (w, EMBEDDED, filters)) for w in WIDTHS]
     net = Network(names, random.normal(0, 0.4, (256, EMBEDDED)), kernels,
                   random.normal(0, 0.1, (filters * len(WIDTHS), len(names))), np.zeros(len(names)))
-    windows, target = [], []
-    for text, lang in zip(texts, langs, strict=True):
-        own, _, _ = windows_of([text], width)
-        for i in np.unique(np.linspace(0, len(own) - 1, PARTS).astype(int)):
-            windows.append(own[i])
-            target.append(names.index(lang))
-    windows, target = np.array(windows), np.array(target)
+    windows, owner, _ = windows_of(texts, width)
+    target = np.array([names.index(lang) for lang in langs])[owner]
     weight = 1 / np.bincount(target, minlength=len(names))[target]
     weight /= weight.mean()
     params = [net.embed, *net.kernels, net.dense, net.bias]
@@ -150,17 +144,9 @@ def fit(documents: DataFrame, sample: int = 400, width: int = 128, filters: int
     share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, sample / r["count"]))])
     drawn = known.filter(F.pmod("order", F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
 
-    @F.arrow_udf("binary")
-    def parts(text: pa.Array) -> pa.Array:
-        out = []
-        for t in raw_texts(text):
-            own, _, _ = windows_of([t], width)
-            out.append(own[np.unique(np.linspace(0, len(own) - 1, PARTS).astype(int))].tobytes())
-        return pa.array(out, pa.binary())
-
-    rows = drawn.select("lang", "order", parts("text").alias("part")).orderBy("order", "lang", "part")
-    table = rows.limit(2 * sample * len(counts)).toArrow()  # a few hundred bytes a row
-    found = [(t, lang) for t, lang in zip(raw_texts(table.column("part")), table.column("lang").to_pylist(), strict=True)]
+    rows = drawn.select("lang", "order", "text").orderBy("order", "lang", "text")
+    table = rows.limit(2 * sample * len(counts)).toArrow()  # whole texts, about `sample` a language
+    found = [(t, lang) for t, lang in zip(raw_texts(table.column("text")), table.column("lang").to_pylist(), strict=True)]
     return train([t for t, _ in found], [lang for _, lang in found], width, filters) if found else None
 
 

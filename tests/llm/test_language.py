@@ -26,6 +26,15 @@ def test_lookups_equal_the_convolution():
     assert np.allclose(net.pooled(windows, net.tables()), want, atol=1e-4)
 
 
+def test_training_reads_every_window():
+    """The languages differ between four evenly spread windows of ten alone."""
+    texts = {c: b"".join((b"x" if i % 3 == 0 else c) * 16 for i in range(10)) for c in (b"a", b"b")}
+    net = language.train([texts[c] for c in (b"a", b"b")] * 20, ["a", "b"] * 20, 16, 4, epochs=30)
+    windows = np.array([np.frombuffer(c * 16, np.uint8) for c in (b"a", b"b")])
+    got = net.probabilities(windows, net.tables())
+    assert got[0, 0] > 0.9 and got[1, 1] > 0.9
+
+
 def test_windows_cover_the_whole_text():
     windows, owner, sizes = language.windows_of([b"a" * 300, b"", b"bc"], 128)
     assert owner.tolist() == [0, 0, 0, 1, 2] and sizes.tolist() == [128, 128, 44, 1, 2]
