@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from isohyet.functions.geo import tile_name
 from isohyet.schemas import RASTER_RADII
+from isohyet.sources.rasters import axis_values, values_up_to
 
 
 def focal_stats(pixels: DataFrame, radii: dict[str, int] = RASTER_RADII) -> DataFrame:
@@ -73,29 +74,25 @@ def terrain_stats(points: DataFrame, pixels: DataFrame, radii: dict[str, int] =
     return points.join(focal_stats(wanted, radii), ["tile", "row", "col"], "left")
 
 
-def _axis_index(value, first, last, count):
-    """Index of the nearest value on a regular axis; the lower index on a tie, clamped to the ends."""
-    step = (last - first) / F.nullif(count - 1, F.lit(0))
-    # ceil(x - 1/2) sends a tie down, as the first of equal minima
-    at = F.ceil((value - first) / step - F.lit(0.5))
-    return F.greatest(F.lit(0), F.least(count - 1, F.coalesce(at, F.lit(0))))
+def _axis_index(c: str):
+    """Index of the axis value nearest to column ``c``; the lower index on a tie.
+
+    ``_{c}_axis`` comes from ``axis_values``.  The nearest is the last value up to the point or the next.
+    """
+    v, i = F.col(f"_{c}_axis.v"), F.col(f"_{c}_axis.i")
+    below = values_up_to(v, F.col(c))
+    near = F.struct(F.abs(F.get(v, below - 1) - F.col(c)).alias("d"), F.get(i, below - 1).alias("i"))
+    far = F.struct(F.abs(F.get(v, below) - F.col(c)).alias("d"), F.get(i, below).alias("i"))
+    return F.when(near["i"].isNull(), far["i"]).when(far["i"].isNull(), near["i"]).otherwise(F.least(near, far)["i"])
 
 
 def nearest_lattice(points: DataFrame, lattice: DataFrame, value: str = "dist") -> DataFrame:
-    """Value of the regular lattice point nearest on each axis by itself.
+    """Value of the lattice point nearest on each axis by itself; steps may be uneven.
 
-    ``lattice`` has lat_idx, lon_idx, lat, lon and the value.  The axes come
-    from one aggregate of three numbers each; the look-up is an equi-join, so
-    no point meets more than one lattice row.
+    ``lattice`` has lat_idx, lon_idx, lat, lon and the value.  An axis is one
+    array of its distinct values, searched within the row; the look-up is an
+    equi-join, so no point meets more than one lattice row.
     """
-    shape = lattice.agg(*[
-        f(c).alias(f"{n}_{c}") for c in ("lat", "lon") for n, f in (("min", F.min), ("max", F.max))
-    ], F.max("lat_idx").alias("n_lat"), F.max("lon_idx").alias("n_lon"))
-    axis = {c: shape.select(F.struct(f"min_{c}", f"max_{c}", (F.col(f"n_{c}") + 1).alias("n"))).scalar()
-            for c in ("lat", "lon")}
-    placed = points.withColumns({"_lat_axis": axis["lat"], "_lon_axis": axis["lon"]})
-    placed = placed.withColumns({
-        f"{c}_idx": _axis_index(F.col(c), F.col(f"_{c}_axis.min_{c}"), F.col(f"_{c}_axis.max_{c}"), F.col(f"_{c}_axis.n"))
-        for c in ("lat", "lon")
-    }).drop("_lat_axis", "_lon_axis")
+    placed = points.withColumns({f"_{c}_axis": axis_values(lattice, c, f"{c}_idx") for c in ("lat", "lon")})
+    placed = placed.withColumns({f"{c}_idx": _axis_index(c) for c in ("lat", "lon")}).drop("_lat_axis", "_lon_axis")
     return placed.join(lattice.select("lat_idx", "lon_idx", value), ["lat_idx", "lon_idx"], "left")

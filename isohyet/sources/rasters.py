@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from isohyet.schemas import RASTER_NODATA
@@ -48,17 +48,25 @@ def read_lattice(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("lat_idx bigint, lon_idx bigint, lat double, lon double, dist double").parquet(path)
 
 
+def axis_values(grid: DataFrame, c: str, index: str | None = None) -> Column:
+    """The distinct values ``v`` of an axis in order, and the lowest ``index`` of each as ``i``: arrays in one row."""
+    least = F.min(index) if index else F.lit(None)
+    values = grid.filter(F.col(c).isNotNull()).groupBy(F.col(c).alias("v")).agg(least.alias("i"))
+    ordered = values.agg(F.sort_array(F.collect_list(F.struct("v", "i"))).alias("o"))
+    return ordered.select(F.struct(F.col("o.v").alias("v"), F.col("o.i").alias("i"))).scalar()
+
+
+def values_up_to(values: Column, x: Column) -> Column:
+    """How many of the ordered values are not above ``x``: a binary search over powers of two."""
+    steps = F.array(*[F.lit(1 << n) for n in reversed(range(31))])
+    return F.aggregate(steps, F.lit(0), lambda at, s: F.when(F.get(values, at + s - 1) <= x, at + s).otherwise(at))
+
+
 def lattice_table(grid: DataFrame) -> DataFrame:
     """Lattice in long form from (lat, lon, dist) rows: adds the index on both axes.
 
-    The index follows from position on the regular axis, so no global sort is needed.
+    The index is the position among the axis' distinct values, which may have uneven steps; no global sort is needed.
     """
-    axes = grid.agg(*[f(c).alias(f"{n}_{c}") for c in ("lat", "lon") for n, f in (("lo", F.min), ("hi", F.max))],
-                    F.countDistinct("lat").alias("n_lat"), F.countDistinct("lon").alias("n_lon"))
-    shape = axes.select(F.struct("*")).scalar()
-
-    def index(c):
-        step = (F.col(f"_a.hi_{c}") - F.col(f"_a.lo_{c}")) / F.nullif(F.col(f"_a.n_{c}") - 1, F.lit(0))
-        return F.coalesce(F.round((F.col(c) - F.col(f"_a.lo_{c}")) / step).cast("long"), F.lit(0))
-
-    return grid.withColumn("_a", shape).withColumns({"lat_idx": index("lat"), "lon_idx": index("lon")}).drop("_a")
+    placed = grid.withColumns({f"_{c}": axis_values(grid, c) for c in ("lat", "lon")})
+    index = {f"{c}_idx": F.greatest(F.lit(0), values_up_to(F.col(f"_{c}.v"), F.col(c)) - 1).cast("long") for c in ("lat", "lon")}
+    return placed.withColumns(index).drop("_lat", "_lon")

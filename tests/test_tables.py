@@ -155,3 +155,15 @@ def test_nearest_lattice_takes_the_lower_of_a_tie_and_clamps(spark):
     lats, lons = np.arange(4) * 0.5, 10 + np.arange(5) * 0.25
     for i, lat, lon in points:
         assert got[i] == 100.0 * np.argmin(abs(lats - lat)) + np.argmin(abs(lons - lon))
+
+
+def test_nearest_lattice_takes_the_nearest_on_uneven_axes(spark):
+    lats, lons = np.array([0.0, 0.125, 4.0, 4.5, 64.0]), np.array([-8.0, 1.0, 1.5, 2.0])
+    grid = spark.createDataFrame([(float(a), float(b), float(100 * i + j)) for i, a in enumerate(lats) for j, b in enumerate(lons)],
+                                 "lat double, lon double, dist double")
+    rng = random.Random(4)
+    points = [(n, rng.uniform(-10, 80), rng.uniform(-12, 4)) for n in range(200)] + [(200, 4.25, 1.25), (201, 2.0625, -3.5)]
+    p = spark.createDataFrame(points, "cell_id long, lat double, lon double")
+    got = {r.cell_id: r.dist for r in rs.nearest_lattice(p, ra.lattice_table(grid)).collect()}
+    for i, lat, lon in points:
+        assert got[i] == 100.0 * np.argmin(abs(lats - lat)) + np.argmin(abs(lons - lon))
