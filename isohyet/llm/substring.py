@@ -1,11 +1,11 @@
-"""Substring dedup (4): long word passages that occur more than once, by a compacted de Bruijn graph.
-
-The edges of the graph are the windows of ``window`` words, its nodes the strings of
-one word less.  Edges are bucketed by their anchor; chains of edges without a branch
-inside one bucket are compacted to a path at the source, so that the joins in
-``repeats.py`` meet a row per path and open edges one by one only at branches.
-Repeated paths keep the coordinates of all their occurrences; words are removed by
-them, and a path counts as repeated only if 128 bits of two independent hashes agree.
+"""Substring dedup (4): long word passages that occur more than once, by paths of windows with a shared anchor.
+
+This is not the de Bruijn graph that was dealt: there are no tables of edges and nodes, no degrees and no joins
+that contract chains.  Windows of ``window`` words are bucketed by their anchor, and consecutive windows with one
+anchor position are one path, formed at the source, so that the joins in ``repeats.py`` meet a row per path and
+open windows one by one only where paths differ.  A path ends where the anchor changes, not at a branch.
+Repeated paths keep the coordinates of all their occurrences; words are removed by them.  A path
+counts as repeated by its hashes alone; source texts are not compared.
 
 Null, empty and blank texts have no words.  Texts shorter than a window lose nothing.
 Rows that repeat ``doc_id`` and text are copies like any others: all their windows occur
