@@ -8,10 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from isohyet.llm import (
+    alignment,
     contamination,
     exact,
     language,
+    licenses,
     near,
+    negatives,
     oracles,
     packing,
     quality,
@@ -66,10 +69,23 @@ def op10_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.digest(table(spark, sf, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    return negatives.hard_negatives(table(spark, sf, "embeddings"))
+
+
+def op12_token_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    return alignment.alignment(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                               public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_license_scan(spark: SparkSession, sf: str) -> DataFrame:
+    return licenses.digest(table(spark, sf, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_exact_dedup, op2_quality, op3_sharding, op4_substring_dedup, op5_language_id, op6_near_dedup, op7_token_counts,
-        op8_suffix_dedup, op9_decontamination, op10_packing,
+        op8_suffix_dedup, op9_decontamination, op10_packing, op11_hard_negatives, op12_token_alignment, op13_license_scan,
     )
 }
 ORACLES: dict[str, str] = oracles.SQL
