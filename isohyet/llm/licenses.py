@@ -120,11 +120,21 @@ class Scanner:
             starts = starts[text[starts + n] == word]
         return starts
 
+    def all_of(self, text: np.ndarray, held: np.ndarray, phrases: list[np.ndarray]) -> list[np.ndarray]:
+        """The places of every phrase; nothing if one has none."""
+        out = []
+        for phrase in phrases:
+            if not held[phrase].all() or not len(places := self.phrase(text, phrase)):
+                return []
+            out.append(places)
+        return out
+
     def licence(self, text: np.ndarray, held: np.ndarray, licence: np.ndarray, must: list[np.ndarray]) -> list[tuple[int, int, float]]:
         """Start, stop and share of the words of every place of a licence."""
-        mine = np.intersect1d(held, licence)
-        if not len(mine):
+        # a file that lacks too many of the words, or a mandatory phrase, cannot hold the licence
+        if held[licence].mean() < self.share or not (needed := self.all_of(text, held, must)):
             return []
+        mine = np.unique(licence[held[licence]])
         mine = mine[np.argsort(-self.weights[mine], kind="stable")][: self.rare]
         # a word votes for the strip of distances it has to its places in the licence, and for the strip before
         strips = []
@@ -133,28 +143,33 @@ class Scanner:
             strip = apart.ravel() // self.slack
             strips.append(np.unique(np.concatenate([strip, strip - 1])))
         strip, votes = np.unique(np.concatenate(strips), return_counts=True)
+        strip = strip[votes >= max(2, len(mine) // 2)]
+        for places in needed:  # a mandatory phrase starts between the first distance and the end of the licence
+            low = np.searchsorted(places, strip * self.slack)
+            strip = strip[low < np.searchsorted(places, (strip + 2) * self.slack + len(licence))]
         out = []
-        for s in strip[votes >= max(2, len(mine) // 2)].tolist():
-            low, high = s * self.slack, (s + 2) * self.slack  # distances of this strip and the next
+        for low in (strip * self.slack).tolist():
+            high = low + 2 * self.slack  # distances of this strip and the next
             part = text[max(0, low): high + len(licence)]
-            if all(len(self.phrase(part, p)) for p in must):
-                matched = np.zeros(len(licence), bool)
-                for apart in range(low, high):
-                    a, b = max(0, -apart), min(len(licence), len(text) - apart)
-                    if a < b:
-                        matched[a:b] |= text[a + apart: b + apart] == licence[a:b]
-                found = float(matched.mean())
-                if found >= self.share:
-                    at = np.flatnonzero(np.isin(part, licence)) + max(0, low)
-                    out.append((int(at[0]), int(at[-1]) + 1, found))
+            matched = np.zeros(len(licence), bool)
+            for apart in range(low, high):
+                a, b = max(0, -apart), min(len(licence), len(text) - apart)
+                if a < b:
+                    matched[a:b] |= text[a + apart: b + apart] == licence[a:b]
+            found = float(matched.mean())
+            if found >= self.share:
+                at = np.flatnonzero(np.isin(part, licence)) + max(0, low)
+                out.append((int(at[0]), int(at[-1]) + 1, found))
         return merged(out)
 
     def scan(self, data: bytes | None) -> dict:
         text = self.index.of(data)
-        held = np.unique(text[text >= 0])
+        held = np.zeros(len(self.weights) + 1, bool)
+        held[text] = True  # the last for words of no licence
         places = []
         for phrase, label in self.index.phrases:
-            places += [(label, s, s + len(phrase), 1.0, True) for s in self.phrase(text, phrase).tolist()]
+            for starts in self.all_of(text, held, [phrase]):
+                places += [(label, s, s + len(phrase), 1.0, True) for s in starts.tolist()]
         for label, licence, must in self.index.texts:
             places += [(label, *p, False) for p in self.licence(text, held, licence, must)]
         base = [p for p in places if p[4]]
