@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import DataFrame
@@ -9,12 +10,14 @@ from pyspark.sql import functions as F
 
 from isohyet.functions.geo import haversine, lattice_shape, side_sql, unit_vector
 from isohyet.schemas import GRID_BOX, GRID_STEP, NEIGHBOR_CANDIDATES
-from isohyet.session import spread
+from isohyet.session import cut_lineage, spread
 
 # Cubes around the unit sphere halve in side per level; the deepest is under a metre.
 DEEPEST = 24
 CUBE = ["cx", "cy", "cz"]
 POINT = ["px", "py", "pz"]
+# A cube with more than so many times the wanted stations is looked into.
+CROWD = 4
 
 
 def grid_cells(spark, lat_min=GRID_BOX["lat_min"], lat_max=GRID_BOX["lat_max"], lon_min=GRID_BOX["lon_min"],
@@ -60,10 +63,26 @@ def nearest_stations(targets: DataFrame, stations: DataFrame, k: int = NEIGHBOR_
     around it that holds k stations.  The farthest corner of that cube is then
     no nearer than the k-th station, so every station that can matter lies in a
     ball around the target that the home and its neighbours one level up cover.
-    Joins are by cube, crowded areas get small cubes by themselves, and only
+    ``closest_cubes`` narrows these down; stations join by cube at the end, and only
     the k best rows per target leave a task (window group limit).
     """
     want = k + 1 if exclude_self else k
+    pyramid = _pyramid(stations, want)
+    stored = closest_cubes(targets, pyramid, want, target_id)
+    chord2 = " + ".join(f"({p} - {s}) * ({p} - {s})" for p, s in zip(POINT, ("sx", "sy", "sz")))
+    near = f"{chord2} <= reach2" + (" AND _t <> neighbor_id" if exclude_self else "")
+    return (
+        stored.join(pyramid, ["level", *CUBE]).filter(near)
+        .select(F.col("_t").alias(target_id), "lat", "lon", "neighbor_id",
+                haversine("lat", "lon", "latitude", "longitude").alias("distance_km"), "latitude", "longitude")
+        .withColumn("rank", F.expr(f"row_number() OVER (PARTITION BY {target_id} ORDER BY distance_km, neighbor_id)"))
+        .filter(f"rank <= {k}")
+        .select(target_id, "lat", "lon", "rank", "neighbor_id", "distance_km", "latitude", "longitude")
+    )
+
+
+def _pyramid(stations: DataFrame, want: int) -> DataFrame:
+    """Every station in its cube of every level."""
     # of a pile of stations on one spot only the lowest ids can be chosen
     spots = (
         stations.filter("latitude IS NOT NULL AND longitude IS NOT NULL")
@@ -71,9 +90,42 @@ def nearest_stations(targets: DataFrame, stations: DataFrame, k: int = NEIGHBOR_
                     "row_number() OVER (PARTITION BY latitude, longitude ORDER BY station_id) AS _n")
         .filter(f"_n <= {want}").drop("_n")
     )
-    pyramid = _cubes(spots, "latitude", "longitude").selectExpr(
+    return _cubes(spots, "latitude", "longitude").selectExpr(
         "*", f"explode(sequence(0, {DEEPEST})) AS level"
     ).selectExpr("neighbor_id", "latitude", "longitude", "px AS sx", "py AS sy", "pz AS sz", "level", *_at_level("level"))
+
+
+def _gap2(level: str, far: bool) -> str:
+    """SQL of the squared distance from a target to the nearest or farthest point of a cube."""
+    side = f"pow(2D, 1 - {level})"
+    parts = []
+    for p, c in zip(POINT, CUBE):
+        low = f"({c} * {side} - 1)"
+        parts.append(f"greatest({p} - {low}, {low} + {side} - {p})" if far else f"greatest({low} - {p}, {p} - {low} - {side}, 0D)")
+    return " + ".join(f"pow({x}, 2)" for x in parts)
+
+
+def _tightened(rows: DataFrame, want: int) -> DataFrame:
+    """One row a target: its cubes, without those beyond the bound ``reach2``, and whether one is still ``crowded``.
+
+    The bound is the farthest corner up to which the nearest cubes hold ``want`` stations for certain.
+    """
+    cube = f"struct({_gap2('level', True)} AS far2, {_gap2('level', False)} AS near2, n, level, {', '.join(CUBE)})"
+    found = rows.groupBy("_t", "lat", "lon", *POINT).agg(F.min("reach2").alias("reach2"), F.expr(f"sort_array(collect_list({cube})) AS cubes"))
+    sure = ("aggregate(cubes, struct(0L AS seen, CAST('Infinity' AS DOUBLE) AS bound), (a, c) -> CASE WHEN a.seen >= "
+            f"{want} THEN a ELSE struct(a.seen + c.n AS seen, CASE WHEN a.seen + c.n >= {want} THEN c.far2 ELSE a.bound END AS bound) END).bound")
+    found = found.withColumn("reach2", F.expr(f"least(reach2, {sure} * (1 + 1e-9D) + 1e-15D)"))
+    found = found.withColumn("cubes", F.expr("filter(cubes, c -> c.near2 <= reach2)"))
+    return found.withColumn("crowded", F.expr(f"exists(cubes, c -> c.n > {CROWD * want} AND c.level < {DEEPEST})"))
+
+
+def closest_cubes(targets: DataFrame, pyramid: DataFrame, want: int, target_id: str = "cell_id") -> DataFrame:
+    """Cubes that can hold one of a target's ``want`` nearest stations: _t, lat, lon, the point, reach2, level, cube, n.
+
+    Branch and bound: cubes beyond the bound on the k-th distance are dropped; crowded ones are replaced by their parts
+    two levels down, which tighten the bound, until none is crowded.  Only targets beside a crowd take part in that, and
+    none meets more stations than a few cubes of ``CROWD`` times ``want``, however many the crowd has.
+    """
     # cubes with k stations or more; the root counts whatever it holds
     crowded = pyramid.groupBy("level", *CUBE).agg(F.expr("count(1) AS _n")).filter(f"_n >= {want} OR level = 0").drop("_n")
     deepest = F.coalesce(crowded.agg(F.max("level")).scalar(), F.lit(0))
@@ -85,33 +137,40 @@ def nearest_stations(targets: DataFrame, stations: DataFrame, k: int = NEIGHBOR_
         .join(crowded, ["level", *CUBE], "left_semi")
         .groupBy("_t", "lat", "lon").agg(F.expr("max(level) AS home"))
     )
-    # squared straight-line distance to the farthest corner of the home cube
-    side = "pow(2D, 1 - home)"
-    far = [f"greatest({p} - ({low}), ({low}) + {side} - {p})" for p, low in (
-        (p, f"shiftright({c}, {DEEPEST} - home) * {side} - 1") for p, c in zip(POINT, CUBE))]
-    reach2 = " + ".join(f"pow({x}, 2)" for x in far)
+    home_far = _gap2("home", True).replace("cx", "_cx").replace("cy", "_cy").replace("cz", "_cz")
     steps = "explode(sequence(-1L, 1L))"
     around = (
-        _cubes(spread(home, "_t"), "lat", "lon").selectExpr("*", f"({reach2}) * (1 + 1e-9D) + 1e-15D AS reach2")
-        .selectExpr("_t", "lat", "lon", *POINT, "reach2", "greatest(home - 1, 0) AS level", *_at_level("greatest(home - 1, 0)"))
+        _cubes(spread(home, "_t"), "lat", "lon").selectExpr("_t", "lat", "lon", "home", *POINT, *CUBE)
+        .selectExpr("_t", "lat", "lon", "home", *POINT, *CUBE, *[f"shiftright({c}, {DEEPEST} - home) AS _{c}" for c in CUBE])
+        .selectExpr("_t", "lat", "lon", *POINT, f"({home_far}) * (1 + 1e-9D) + 1e-15D AS reach2",
+                    "greatest(home - 1, 0) AS level", *_at_level("greatest(home - 1, 0)"))
         .selectExpr("*", f"{steps} AS dx").selectExpr("*", f"{steps} AS dy").selectExpr("*", f"{steps} AS dz")
         .selectExpr("_t", "lat", "lon", *POINT, "reach2", "level", "cx + dx AS cx", "cy + dy AS cy", "cz + dz AS cz")
+        .filter(f"{_gap2('level', False)} <= reach2")  # only cubes that the ball touches
     )
-    width = "pow(2D, 1 - level)"
-    gap = [f"greatest(({low}) - {p}, {p} - ({low}) - {width}, 0D)" for p, low in (
-        (p, f"{c} * {width} - 1") for p, c in zip(POINT, CUBE))]
-    around = around.filter(" + ".join(f"pow({x}, 2)" for x in gap) + " <= reach2")  # only cubes that the ball touches
-
-    chord2 = " + ".join(f"({p} - {s}) * ({p} - {s})" for p, s in zip(POINT, ("sx", "sy", "sz")))
-    near = f"{chord2} <= reach2" + (" AND _t <> neighbor_id" if exclude_self else "")
-    return (
-        around.join(pyramid, ["level", *CUBE]).filter(near)
-        .select(F.col("_t").alias(target_id), "lat", "lon", "neighbor_id",
-                haversine("lat", "lon", "latitude", "longitude").alias("distance_km"), "latitude", "longitude")
-        .withColumn("rank", F.expr(f"row_number() OVER (PARTITION BY {target_id} ORDER BY distance_km, neighbor_id)"))
-        .filter(f"rank <= {k}")
-        .select(target_id, "lat", "lon", "rank", "neighbor_id", "distance_km", "latitude", "longitude")
-    )
+    counts = pyramid.groupBy("level", *CUBE).agg(F.count(F.lit(1)).alias("n"))
+    found = cut_lineage(_tightened(around.join(counts, ["level", *CUBE]), want))
+    parts, open_ = [found.filter("NOT crowded")], found.filter("crowded")
+    children = None
+    while not open_.isEmpty():
+        if children is None:  # cubes by the cube one or two levels up
+            up = [f"shiftright({c}, up) AS _{c}" for c in CUBE]
+            children = cut_lineage(cut_lineage(counts).selectExpr("*", "explode(array(1, 2)) AS up").filter("level >= up").selectExpr(
+                "level AS part", "level - up AS level", *[f"{c} AS part_{c}" for c in CUBE], *up, "n AS part_n", "up"))
+            children = children.selectExpr("part", "level", "up", *[f"_{c} AS {c}" for c in CUBE], *[f"part_{c}" for c in CUBE], "part_n")
+        cubes = _each_cube(open_).withColumn("up", F.expr(f"CASE WHEN n > {CROWD * want} AND level < {DEEPEST} THEN least(2, {DEEPEST} - level) ELSE 0 END"))
+        own = ["_t", "lat", "lon", *POINT, "reach2"]
+        split = cubes.filter("up > 0").join(children, ["level", "up", *CUBE]).selectExpr(
+            *own, "part AS level", *[f"part_{c} AS {c}" for c in CUBE], "part_n AS n")
+        found = cut_lineage(_tightened(cubes.filter("up = 0").select(*own, "level", *CUBE, "n").unionByName(split), want))
+        parts.append(found.filter("NOT crowded"))
+        open_ = found.filter("crowded")
+    return _each_cube(reduce(DataFrame.unionByName, parts))
+
+
+def _each_cube(found: DataFrame) -> DataFrame:
+    return found.select("_t", "lat", "lon", *POINT, "reach2", F.explode("cubes").alias("c")).selectExpr(
+        "_t", "lat", "lon", *POINT, "reach2", "c.level", *[f"c.{c}" for c in CUBE], "c.n")
 
 
 def candidate_lists(nearest: DataFrame, target_id: str = "cell_id") -> DataFrame:

@@ -120,3 +120,24 @@ def test_required_and_available(spark):
     hourly = spark.createDataFrame([(10,), (11,), (12,)], "station_id long")
     assert [r.cell_id for r in nb.available_cells(wide, hourly).collect()] == [1]
     assert nb.long_neighbors(wide).filter("cell_id = 2 AND rank = 3").first().station_id == 13
+
+
+def crowd(n, seed):
+    """Nine in ten within a few metres, and targets around them."""
+    rng = random.Random(seed)
+    dense = [(32 + rng.uniform(0, 3e-4), 35 + rng.uniform(0, 3e-4)) for _ in range(n * 9 // 10)]
+    return dense + scatter("even", n - len(dense), seed + 1)
+
+
+@pytest.mark.parametrize("k", [1, 7])
+def test_targets_beside_a_crowd_meet_few_of_it(spark, k):
+    stations, targets = crowd(4000, 3), crowd(60, 4) + scatter("even", 60, 8)
+    t, s = frames(spark, targets, stations)
+    met = nb.closest_cubes(t, nb._pyramid(s, k), k).groupBy("_t").sum("n").collect()
+    assert len(met) == len(targets) and max(r[1] for r in met) <= 60 * k  # of 3,600 in the crowd
+    got = {}
+    for r in nb.nearest_stations(t, s, k).collect():
+        got.setdefault(r.cell_id, []).append((r.distance_km, r.neighbor_id))
+    for i, p in enumerate(targets, 1):
+        near = sorted((dist(p, q), j) for j, q in enumerate(stations, 1))[:k]
+        assert [d for d, _ in sorted(got[i])] == pytest.approx([d for d, _ in near], abs=1e-9)

@@ -221,3 +221,65 @@ def test_progress_log(spark, tmp_path):
 
     st.ProgressLog(spark, str(tmp_path / "log")).onQueryProgress(Event)
     assert spark.read.json(str(tmp_path / "log")).first().rows == 42
+
+
+def rows_written(spark, root, name, batch):
+    return spark.read.parquet(str(root / name)).filter(F.col("batch") == batch).count()
+
+
+def test_a_missing_sensor_does_not_make_a_batch_write_history(spark, tmp_path):  # probe F
+    def at(h, station):
+        v = float((h * 7 + station) % 11)
+        td = None if station == 2 or (station == 3 and h > 30) else 10 + v
+        return (station, START + timedelta(hours=h), v, v / 2, 90.0, td, 50.0, 12 + v, 8 + v)
+
+    first, more = 400, 3
+    parts = [[at(h, s) for h in range(first) for s in (1, 2, 3)]] + [[at(first + n, s) for s in (1, 2, 3)] for n in range(more)]
+    run_batches(spark, tmp_path, parts, START + timedelta(hours=first + more + 2))
+    for n in range(1, more + 1):
+        assert rows_written(spark, tmp_path, "hourly", n) == 3 and rows_written(spark, tmp_path, "grid", n) == 1
+    late = [at(100, 1)[:3] + (1.5, 80.0, 7.0, 40.0, 9.0, 3.0)]  # another reading of a known hour
+    late = [(1, START + timedelta(hours=100, minutes=30), *late[0][2:])]
+    st.hourly_batch(str(tmp_path), spark.createDataFrame(CELLS, CELL_SCHEMA), now=lambda: START + timedelta(hours=first + more + 2))(
+        spark.createDataFrame(late, RAW), more + 1)
+    assert rows_written(spark, tmp_path, "hourly", more + 1) <= 5 and rows_written(spark, tmp_path, "grid", more + 1) <= 5
+    rows = [r for p in parts for r in p] + late
+    assert grid_of(st.current_grid(spark, str(tmp_path))) == batch_grid(spark, rows, START + timedelta(hours=first + more + 2))
+
+
+def series_of(df):
+    return {(r.station_id, r.h): tuple(None if r[c] is None else round(r[c], 9) for c in MEASURES) for r in df.collect()}
+
+
+def test_sensors_with_holes_in_any_order(spark, tmp_path):
+    rng = random.Random(11)
+    rows = []
+    for h in range(500):
+        for s in (1, 2):
+            if rng.random() < 0.35 and not (s == 2 and 60 < h < 420):
+                v = [float(rng.randrange(9)) if rng.random() < 0.5 else None for _ in range(7)]
+                rows.append((s, START + timedelta(hours=h), *v))
+    mixed = rows[:]
+    rng.shuffle(mixed)
+    step = st.hourly_batch(str(tmp_path), now=lambda: START + timedelta(days=30))
+    for i, part in enumerate([mixed[:40], mixed[40:44], mixed[44:150], mixed[150:]]):
+        step(spark.createDataFrame(part, RAW), i)
+    want = series_of(hourly_clean(spark.createDataFrame(rows, RAW)))
+    assert series_of(st.current_hourly(spark, str(tmp_path))) == want
+    assert st.compact(spark, str(tmp_path)) > 0
+    step(spark.createDataFrame([(2, START + timedelta(hours=200), 1.0, 2.0, 3.0, 4.0, 5.0, 6.0, 7.0)], RAW), 4)
+    rows.append((2, START + timedelta(hours=200), 1.0, 2.0, 3.0, 4.0, 5.0, 6.0, 7.0))
+    assert series_of(st.current_hourly(spark, str(tmp_path))) == series_of(hourly_clean(spark.createDataFrame(rows, RAW)))
+
+
+def test_a_reading_years_late_reads_two_dates(spark, tmp_path, monkeypatch):
+    from isohyet.streaming import series
+
+    rows = make_rows(100)
+    old = [(1, START - timedelta(days=730), *rows[0][2:])]
+    step = st.hourly_batch(str(tmp_path), now=lambda: NOW)
+    step(spark.createDataFrame(rows, RAW), 0)
+    asked = []
+    monkeypatch.setattr(st, "dates_in", lambda df: asked.append(series.dates_in(df)) or asked[-1])
+    step(spark.createDataFrame(old + [(2, NOW - timedelta(hours=1), *rows[0][2:])], RAW), 1)
+    assert asked and all(len(days) == 2 for days in asked)
