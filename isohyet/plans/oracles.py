@@ -461,9 +461,9 @@ SELECT station_id, hours, start_hour, end_hour, end_hour = (SELECT max(hour) FRO
     SELECT station_id, count(*) AS hours, min(hour) AS start_hour, max(hour) AS end_hour
     FROM (SELECT station_id, hour, h - row_number() OVER (PARTITION BY station_id ORDER BY hour) AS island FROM clean
           WHERE td IS NOT NULL AND ws IS NOT NULL) GROUP BY station_id, island)) WHERE rn = 1""")
-    q["targets_by_horizon"] = query("SELECT g.cell_id, g.hour, " + num("g.rain", "rain") + ", " + ", ".join(
-        num(f"t{n}.rain", f"target_t{n}") for n in HORIZONS) + " FROM grid g " + " ".join(
-        f"LEFT JOIN grid t{n} ON t{n}.cell_id = g.cell_id AND t{n}.h = g.h + {n}" for n in HORIZONS))
+    ahead = {n: f"max(rain) OVER (PARTITION BY cell_id ORDER BY h RANGE BETWEEN {n} FOLLOWING AND {n} FOLLOWING)" for n in HORIZONS}
+    q["targets_by_horizon"] = query(f"SELECT cell_id, hour, {num('rain')}, " + ", ".join(
+        num(ahead[n], f"target_t{n}") for n in HORIZONS) + " FROM grid")
     q["nearest_cell"] = query(f"""
 SELECT station_id, cell_id, {num('d', 'distance_km')} FROM (
   SELECT *, row_number() OVER (PARTITION BY station_id ORDER BY d, cell_id) AS rn FROM (
@@ -565,5 +565,9 @@ UNION ALL
 SELECT 1, count(*), (SELECT count(*) FROM readings WHERE event_id % 2 = 0) - count(*),
   (SELECT count(*) FROM readings WHERE event_id % 50 = 0), count(*), max(ts)
 FROM (SELECT DISTINCT station_id, ts FROM readings WHERE event_id % 2 = 0
-      EXCEPT SELECT station_id, ts FROM readings WHERE event_id % 3 > 0)""")
+      EXCEPT SELECT station_id, ts FROM readings WHERE event_id % 3 > 0)
+UNION ALL
+SELECT 2, count(*), (SELECT count(*) FROM readings WHERE event_id % 3 = 0) - count(*), 0, count(*), max(ts)
+FROM (SELECT DISTINCT station_id, ts FROM readings WHERE event_id % 3 = 0
+      EXCEPT SELECT station_id, ts FROM readings WHERE event_id % 3 > 0 OR event_id % 2 = 0)""")
     return q

@@ -500,7 +500,7 @@ def _streamed(spark, sf):
 def stream_hourly(spark, sf):
     """The whole event table through the hourly stream; the newest version of every bin."""
     root = f"{checkpoint_root(spark)}/stream-{uuid.uuid4().hex}"
-    run_hourly(_streamed(spark, sf), root, f"{root}/checkpoint").awaitTermination()
+    run_hourly(_streamed(spark, sf), root, f"{root}/checkpoint", series=False).awaitTermination()
     bins = current_bins(spark, root)
     return shown(bins.select("station_id", index_hour("h").alias("hour"), *MEASURES))
 
@@ -551,10 +551,11 @@ def stream_metrics(spark, sf):
     """What the batches of a stream with repeats and readings ahead of time count."""
     root = f"{checkpoint_root(spark)}/stream-{uuid.uuid4().hex}"
     rows = tb.readings(spark, sf)
-    step = hourly_batch(root, now=_stream_now, order="event_id")
+    step = hourly_batch(root, now=_stream_now, order="event_id", series=False)
     step(rows.filter("event_id % 3 > 0"), 0)
     ahead = rows.filter("event_id % 50 = 0").withColumn("ts", F.expr("ts + INTERVAL 40 DAYS"))
     step(rows.filter("event_id % 2 = 0").unionByName(ahead), 1)
+    step(rows.filter("event_id % 3 = 0"), 2)
     counts = spark.read.parquet(f"{root}/metrics")
     return counts.select(F.col("batch").cast("long").alias("batch"), "readings", "repeats", "rejected", "late", "newest")
 

@@ -167,3 +167,40 @@ def test_nearest_lattice_takes_the_nearest_on_uneven_axes(spark):
     got = {r.cell_id: r.dist for r in rs.nearest_lattice(p, ra.lattice_table(grid)).collect()}
     for i, lat, lon in points:
         assert got[i] == 100.0 * np.argmin(abs(lats - lat)) + np.argmin(abs(lons - lon))
+
+
+def test_terrain_from_stored_sums_equals_the_full_pass(spark, tmp_path):
+    rng = random.Random(7)
+    rows = [(t, r, c, None if rng.random() < 0.1 else rng.randrange(-50, 900)) for t in ("A", "B") for r in range(150) for c in range(140)
+            if not (t == "B" and r > 120 and c > 90)]  # a ragged end
+    pixels = spark.createDataFrame(rows, "tile string, row int, col int, elev int")
+    radii = {"local": 3, "regional": 70}
+    full = {(x.tile, x.row, x.col): x for x in rs.focal_stats(pixels.filter("tile = 'A'"), radii).collect()}
+    ragged = np.full((150, 140), np.nan)
+    for t, r, c, e in rows:
+        if t == "B" and e is not None:
+            ragged[r, c] = e
+    rs.store_sums(pixels, str(tmp_path / "sums"))
+    asked = [(i, rng.choice("AB"), rng.randrange(-3, 155), rng.randrange(-3, 145)) for i in range(300)] + [(300, "C", 1, 1), (301, "A", 0, 0)] * 2
+    points = spark.createDataFrame(asked, "id int, tile string, row int, col int")
+    got = rs.terrain_by_sums(points, str(tmp_path / "sums"), radii).collect()
+    assert len(got) == len(asked)
+    for p in got:
+        if p.tile == "B" and 0 <= p.row < 150 and 0 <= p.col < 140 and not np.isnan(ragged[p.row, p.col]):
+            for name, radius in radii.items():
+                mean, std = brute_stats(ragged, radius, p.row, p.col)
+                assert (p[f"tpi_{name}"], p[f"roughness_{name}"]) == pytest.approx((p.elevation - mean, std), abs=1e-9)
+            continue
+        want = full.get((p.tile, p.row, p.col))
+        for c in ("elevation", "tpi_local", "roughness_local", "tpi_regional", "roughness_regional"):
+            assert p[c] == (want[c] if want else None)
+
+
+def test_few_points_read_few_strips(spark, tmp_path, monkeypatch):
+    pixels = spark.range(640 * 130).selectExpr("'A' AS tile", "CAST(id DIV 130 AS INT) AS row", "CAST(id % 130 AS INT) AS col", "CAST(id % 97 AS INT) AS elev")
+    rs.store_sums(pixels, str(tmp_path / "sums"))
+    points = spark.createDataFrame([(1, "A", 300, 50)], "id int, tile string, row int, col int")
+    out = rs.terrain_by_sums(points, str(tmp_path / "sums"), {"local": 2})
+    assert out.first().elevation == (300 * 130 + 50) % 97
+    scans = [line for line in out._jdf.queryExecution().toString().split("\n") if "PartitionFilters" in line and "part" in line]
+    assert any("A/4" in line and "A/9" not in line for line in scans)
