@@ -16,10 +16,12 @@ Rows that repeat score alike; an empty table gives no rows.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,7 +68,26 @@ def features(text: bytes | None, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return columns, SCALE * counts / max(1, counts.sum())
 
 
-def follow_leader(rows: list[tuple[np.ndarray, np.ndarray, int]], bits: int, epochs: int = 4, alpha: float = 0.5,
+def pack(columns: np.ndarray, counts: np.ndarray) -> bytes:
+    """A training row in about two bytes an n-gram: steps between columns and counts, compressed."""
+    return zstandard.compress(np.append(np.diff(columns, prepend=0), counts).astype(np.int32).tobytes(), 3)
+
+
+class Packed(Sequence):
+    """Training rows (columns, values, label), unpacked one at a time."""
+
+    def __init__(self, rows: list[bytes], labels: list[int]):
+        self.rows, self.labels = rows, labels
+
+    def __len__(self) -> int:
+        return len(self.rows)
+
+    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray, int]:
+        steps, counts = np.frombuffer(zstandard.decompress(self.rows[i]), np.int32).reshape(2, -1).astype(np.int64)
+        return np.cumsum(steps), SCALE * counts / max(1, counts.sum()), self.labels[i]
+
+
+def follow_leader(rows: Sequence[tuple[np.ndarray, np.ndarray, int]], bits: int, epochs: int = 4, alpha: float = 0.5,
                   beta: float = 0.1, l1: float = 0.02, l2: float = 0.02) -> Model:
     """FTRL-proximal updates, one example after the other."""
     size = 1 << bits
@@ -103,18 +124,15 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = 4000, bits: int =
     known = known.orderBy(F.xxhash64("labelled"), "labelled", "quality").limit(sample)
     texts = documents.select(F.col("doc_id").alias("labelled"), F.col("text").cast("string").alias("text"))
 
-    @F.arrow_udf("struct<columns:array<int>,grams:array<double>>")
+    @F.arrow_udf("binary")
     def extract(text: pa.Array) -> pa.Array:
-        rows = [features(t, bits) for t in raw_texts(text)]
-        return pa.array([{"columns": c, "grams": v} for c, v in rows],
-                        pa.struct([("columns", pa.list_(pa.int32())), ("grams", pa.list_(pa.float64()))]))
+        return pa.array([pack(*np.unique(ngrams(t, bits), return_counts=True)) for t in raw_texts(text)], pa.binary())
 
     rows = texts.join(F.broadcast(known), "labelled")  # `sample` rows of two numbers
     rows = rows.select("labelled", F.xxhash64("text").alias("th"), "quality", extract("text").alias("f"))
-    rows = rows.orderBy(F.xxhash64("labelled"), "labelled", "th", "quality").limit(sample).select("quality", "f.*")
+    rows = rows.orderBy(F.xxhash64("labelled"), "labelled", "th", "quality").limit(sample).select("quality", "f")
     table = rows.toArrow()
-    data = [(np.asarray(c.values, np.int64), np.asarray(v.values), int(q > 0)) for q, c, v in zip(
-        table.column("quality").to_pylist(), table.column("columns"), table.column("grams"), strict=True)]
+    data = Packed(table.column("f").to_pylist(), [int(q > 0) for q in table.column("quality").to_pylist()])
     return follow_leader(data, bits, **rates)
 
 

@@ -55,3 +55,39 @@ def test_odd_rows(spark, table, messy):
     assert {r.score for r in none} == {0.5}
     assert quality.digest(table([]), labels).count() == 0
     assert quality.keep_good(docs, labels).columns == docs.columns
+
+
+def test_packed_rows_unpack_to_the_features():
+    texts = [b"", b"one", " ".join(f"w{i % 70}" for i in range(500)).encode()]
+    rows = quality.Packed([quality.pack(*np.unique(quality.ngrams(t, 18), return_counts=True)) for t in texts], [0, 1, 1])
+    for text, (columns, values, _) in zip(texts, (rows[i] for i in range(3)), strict=True):
+        want = quality.features(text, 18)
+        assert (columns == want[0]).all() and (values == want[1]).all()
+
+
+def test_training_equals_a_dense_loop():
+    rnd = np.random.default_rng(2)
+    rows = []
+    for i in range(60):
+        columns = np.unique(rnd.integers(0, 32, 6))
+        rows.append((columns, rnd.uniform(0, 4, len(columns)), int(columns[0] % 2)))
+    got = quality.follow_leader(rows, 5, epochs=3)
+    z, n, alpha, beta, l1, l2 = np.zeros(33), np.zeros(33), 0.5, 0.1, 0.02, 0.02
+    order = np.random.default_rng(5)
+
+    def weight(j):
+        if abs(z[j]) <= l1:
+            return 0.0
+        return -(z[j] - np.sign(z[j]) * l1) / ((beta + n[j] ** 0.5) / alpha + l2)
+
+    for _ in range(3):
+        for i in order.permutation(60):
+            x = np.zeros(33)
+            x[rows[i][0]], x[32] = rows[i][1], 1
+            w = [weight(j) for j in range(33)]
+            p = 1 / (1 + np.exp(-sum(a * b for a, b in zip(w, x, strict=True))))
+            for j in np.flatnonzero(x):
+                g = (p - rows[i][2]) * x[j]
+                z[j] += g - ((n[j] + g * g) ** 0.5 - n[j] ** 0.5) / alpha * w[j]
+                n[j] += g * g
+    assert np.allclose(got.weights, [weight(j) for j in range(32)], atol=1e-5) and abs(got.intercept - weight(32)) < 1e-9
