@@ -108,10 +108,11 @@ class SpanHash:
         return mix(out)
 
 
-#: Fixed odd bases and a fixed random number for every byte value; results never depend on their choice.
+#: Fixed odd numbers and a fixed random number for every byte value; results never depend on their choice.
 WORD_BASE = 0xBF58476D1CE4E5B9
 BYTE = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64)
 SPAN_BASE = 0xD6E8FEB86659FD93
+PLACE = np.uint64(0x9E3779B97F4A7C15)
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 
@@ -133,8 +134,23 @@ def _slices(data: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
         start = stop
 
 
+def _words(part: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Hashes of the words [start, stop) of ``part``."""
+    size = stop - start
+    inside = np.flatnonzero(~_BLANK[part])
+    ends = np.cumsum(size)
+    place = np.arange(len(inside)) - np.repeat(ends - size, size)
+    sums = np.zeros(len(inside) + 1, np.uint64)
+    np.cumsum(mix(BYTE[part[inside]] + place.astype(np.uint64) * PLACE), out=sums[1:])
+    return mix(sums[ends] - sums[ends - size] + size.astype(np.uint64) * PLACE)
+
+
 def word_hashes(texts: list[bytes | None], table: bytes | None = None, size: int = 1 << 18) -> list[np.ndarray]:
-    """64-bit hashes of the words of every text; ``table`` translates bytes first. Blanks are those of ``SPACE``."""
+    """64-bit hashes of the words of every text; ``table`` translates bytes first. Blanks are those of ``SPACE``.
+
+    A word is the sum of a mixed number for every byte at its place in the word, mixed with its length.  It is no polynomial: words
+    built to collide in one, such as a Thue-Morse sequence and its complement, differ.
+    """
     joined = b" ".join(t or b"" for t in texts) + b" "
     data = np.frombuffer(joined.translate(table) if table else joined, np.uint8)
     hashes, begins = [], []
@@ -142,7 +158,7 @@ def word_hashes(texts: list[bytes | None], table: bytes | None = None, size: int
         part = data[a:b]
         edge = np.diff(_BLANK[part].view(np.int8), prepend=np.int8(1), append=np.int8(1))
         start, stop = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-        hashes.append(SpanHash(BYTE[part], WORD_BASE).of(start, stop) if len(start) else np.zeros(0, np.uint64))
+        hashes.append(_words(part, start, stop))
         begins.append(start + a)
     hashes, begins = np.concatenate(hashes), np.concatenate(begins)
     ends = np.cumsum([len(t or b"") + 1 for t in texts])

@@ -3,6 +3,7 @@ from itertools import combinations
 import pytest
 
 from isohyet.llm import near
+from isohyet.llm.text import word_hashes
 
 
 def shingles(text, n):
@@ -89,3 +90,18 @@ def test_bits_never_reject_a_pair_within_the_distance(spark):
     zero = df.filter("k = 0").alias("a")
     got = {r.k for r in zero.join(df.alias("b"), near._possible("a", "b", 80)).select("b.k").collect()}
     assert got == set(range(2 * near.CHUNKS))
+
+
+def thue_morse(n):
+    """Two different words of n letters that polynomial hashes modulo a power of two cannot tell apart."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+@pytest.mark.parametrize("size", [512, 4096])
+def test_words_built_to_collide_differ(table, size):
+    x, y = thue_morse(size)
+    a, b = word_hashes([x.encode(), y.encode()])
+    assert a[0] != b[0]
+    got = {r.doc_id: r for r in near.digest(table([(1, f"one {x} two"), (2, f"one {y} two"), (3, f"one {x} two")])).collect()}
+    assert [got[i].component_id for i in (1, 2, 3)] == [1, 2, 1]

@@ -84,3 +84,11 @@ def test_sliding_minimum():
     for width in (1, 2, 7, 64):
         want = [x[i:i + width].min() for i in range(len(x) - width + 1)]
         assert repeats.sliding_min(x, width).tolist() == want
+
+
+def test_words_built_to_collide_are_not_repeats(table):
+    bits = [bin(i).count("1") % 2 for i in range(512)]
+    x, y = ("".join(pair[b] for b in bits) for pair in ("ab", "ba"))
+    before = " ".join(f"w{i}" for i in range(34))
+    rows = substring.digest(table([(1, f"{before} {x}"), (2, f"{before} {y}")])).collect()
+    assert [r.n_removed for r in rows] == [0, 0]
