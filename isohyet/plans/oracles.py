@@ -361,6 +361,7 @@ WHERE NOT EXISTS (SELECT 1 FROM stored t WHERE t.o_custkey = b.o_custkey AND t.o
     q["upsert_latest"] = f"""
 SELECT o_custkey, o_orderdate, o_orderkey, {num('o_totalprice')} FROM orders
 QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate >= TIMESTAMP '2000-01-01' DESC, o_orderkey DESC) = 1"""
+    q["snapshot_upsert"] = q["upsert_latest"]
     q["retention_trim"] = query(f"SELECT station_id, hour, {nums(MEASURES)} FROM clean WHERE hour >= TIMESTAMP '2024-01-31 00:20:00' - INTERVAL 27 HOUR")
     q["backfill_manifest"] = """
 SELECT s_name AS station_name, s_suppkey AS station_id, (SELECT count(*) FROM lineitem WHERE l_suppkey = s_suppkey) AS total_rows
@@ -516,6 +517,23 @@ LEFT JOIN (SELECT lat_idx, lon_idx, dist FROM lattice) USING (lat_idx, lon_idx)"
 SELECT tile, "row", col, point_id, n, {nums(terr)} FROM (
   SELECT l_partkey AS point_id, count(*) AS n, (l_partkey + 25) // 50 // 40 AS tile, ((l_partkey + 25) // 50) % 40 AS "row", (l_partkey + 25) % 50 AS col
   FROM lineitem GROUP BY l_partkey) LEFT JOIN terrain USING (tile, "row", col)""")
+    def square(r):
+        return f"""
+SELECT t.cell_id, any_value(t.elev) - avg(q.elev) AS tpi, stddev_pop(q.elev) AS roughness FROM tr t
+JOIN px q ON q."row" BETWEEN t."row" - {r} AND t."row" + {r} AND q.col BETWEEN t.col - {r} AND t.col + {r} GROUP BY t.cell_id"""
+
+    q["build_cells"] = query(f"""
+SELECT cell_id, {nums(['lat', 'lon'])}, is_boundary, {_IDS}, {nums(_TRI)}, {num('tr.elev', 'elevation')}, {num('b3.tpi', 'tpi_local')},
+  {num('b3.roughness', 'roughness_local')}, {num('b7.tpi', 'tpi_regional')}, {num('b7.roughness', 'roughness_regional')}, {num('dist', 'dist_to_coast')}
+FROM (SELECT cell_id, lat, lon, is_boundary, {_IDS}, {', '.join(_TRI)} FROM neighbors)
+LEFT JOIN tr USING (cell_id) LEFT JOIN b3 USING (cell_id) LEFT JOIN b7 USING (cell_id) JOIN la USING (cell_id) JOIN lo USING (cell_id)
+LEFT JOIN (SELECT lat_idx, lon_idx, dist FROM lattice) USING (lat_idx, lon_idx)""",
+        sz="SELECT greatest(2, CAST(ceil(sqrt(count(*))) AS BIGINT)) AS k FROM part",
+        px="""SELECT p_partkey // k AS "row", p_partkey % k AS col, p_size * 10 AS elev FROM part, sz WHERE p_partkey < k * k AND p_size <> 13""",
+        tr="""SELECT cell_id, "row", col, elev FROM (
+  SELECT cell_id, CAST(floor((floor(lat) + 1 - lat) * (k - 1) + 0.5e0) AS BIGINT) AS "row",
+    CAST(floor((lon - floor(lon)) * (k - 1) + 0.5e0) AS BIGINT) AS col FROM cells, sz) JOIN px USING ("row", col)""",
+        b3=square(3), b7=square(7), la=axis.format(c="lat").replace("points", "cells"), lo=axis.format(c="lon").replace("points", "cells"))
     q["tile_names"] = """
 SELECT c_custkey, printf('%s%02d%s%03d.hgt', CASE WHEN la >= 0 THEN 'N' ELSE 'S' END, abs(la), CASE WHEN lo >= 0 THEN 'E' ELSE 'W' END, abs(lo)) AS tile
 FROM (SELECT c_custkey, CAST(floor(c_custkey % 170 - 85.25e0) AS INTEGER) AS la, CAST(floor(c_custkey % 350 - 175.75e0) AS INTEGER) AS lo FROM customer)"""
@@ -570,4 +588,9 @@ UNION ALL
 SELECT 2, count(*), (SELECT count(*) FROM readings WHERE event_id % 3 = 0) - count(*), 0, count(*), max(ts)
 FROM (SELECT DISTINCT station_id, ts FROM readings WHERE event_id % 3 = 0
       EXCEPT SELECT station_id, ts FROM readings WHERE event_id % 3 > 0 OR event_id % 2 = 0)""")
+    q["stream_unique"] = query("""
+SELECT DISTINCT station_id, ts FROM loads WHERE load < 2 OR ts > (SELECT max(ts) FROM loads WHERE load = 0) - INTERVAL 48 HOUR""",
+        held="""SELECT event_id, station_id, ts, CASE WHEN event_id % 6 = 1 THEN 2 ELSE n END AS load FROM (
+  SELECT *, CASE WHEN ts < TIMESTAMP '2024-01-11' THEN 0 WHEN ts < TIMESTAMP '2024-01-21' THEN 1 ELSE 2 END AS n FROM readings)""",
+        loads="SELECT * FROM held UNION ALL SELECT event_id, station_id, ts, load + 1 FROM held WHERE event_id % 4 = 0 AND load < 2")
     return q

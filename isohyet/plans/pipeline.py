@@ -12,18 +12,21 @@ from isohyet.operators import interpolate as ip
 from isohyet.operators import lags as lg
 from isohyet.operators.layers import time_index
 from isohyet.operators.neighbors import active_stations, station_neighbors, triangle_neighbors
-from isohyet.operators.raster import nearest_lattice, pixel_of, terrain_stats
+from isohyet.operators.raster import nearest_lattice, pixel_of, terrain_by_sums
 from isohyet.plans.models import score_forecast, score_interpolation
 from isohyet.schemas import HOLDOUT_STATION, HORIZONS, RASTER_RADII, STATIONS_LEFT_OUT, WARM_UP_ROWS
 from isohyet.session import cut_lineage
 
 
-def build_cells(cells: DataFrame, stations: DataFrame, hourly: DataFrame, pixels: DataFrame, lattice: DataFrame,
+def build_cells(cells: DataFrame, stations: DataFrame, hourly: DataFrame, sums: str, lattice: DataFrame,
                 left_out=STATIONS_LEFT_OUT, tile_size: int = 3601, radii=RASTER_RADII) -> DataFrame:
-    """Cell table: neighbours, boundary flag, elevation, terrain and distance to the coast."""
+    """Cell table: neighbours, boundary flag, elevation, terrain and distance to the coast.
+
+    ``sums`` is where ``store_sums`` has written the pixels of the elevation tiles.
+    """
     usable = cut_lineage(active_stations(stations, hourly, left_out))
     near = triangle_neighbors(cells, usable).drop("lat", "lon")
-    terrain = terrain_stats(pixel_of(cells, tile_size), pixels, radii).drop("tile", "row", "col", "lat", "lon")
+    terrain = terrain_by_sums(pixel_of(cells, tile_size), sums, radii).drop("tile", "row", "col", "lat", "lon")
     coast = nearest_lattice(cells, lattice).select("cell_id", F.col("dist").alias("dist_to_coast"))
     return cells.join(near, "cell_id").join(terrain, "cell_id").join(coast, "cell_id")
 

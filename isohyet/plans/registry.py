@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 from datetime import datetime
 
@@ -26,7 +27,10 @@ from isohyet.session import checkpoint_root, cut_lineage
 from isohyet.sources import observations as ob
 from isohyet.sources import rasters as ra
 from isohyet.sources import tables as tt
-from isohyet.streaming.hourly import current_bins, current_forecasts, current_grid, hourly_batch, hourly_bins, run_hourly
+from isohyet.sources.snapshots import Snapshots
+from isohyet.streaming.hourly import (
+    current_bins, current_forecasts, current_grid, hourly_batch, hourly_bins, run_hourly, unique_readings, use_rocksdb,
+)
 
 
 def shown(df: DataFrame, drop=("h",)) -> DataFrame:
@@ -128,6 +132,19 @@ def upsert_latest(spark, sf):
     return shown(tt.upsert_latest(target, batch, ["o_custkey"], "o_orderkey"))
 
 
+def snapshot_upsert(spark, sf):
+    """The same as two upserts into a table of snapshots, read back."""
+    o, cut, _ = _orders(spark, sf)
+    target = cl.latest_per_key(o.filter(F.col("o_orderdate") < cut), ["o_custkey"], "o_orderkey")
+    batch = o.filter(F.col("o_orderdate") >= cut)
+    table = Snapshots(spark, f"{checkpoint_root(spark)}/snapshots-{uuid.uuid4().hex}", target.schema)
+    half = F.floor(batch.agg(F.avg("o_orderkey")).scalar())
+    table.replace(target)
+    table.upsert(batch.filter(F.col("o_orderkey") < half), ["o_custkey"], "o_orderkey")
+    table.upsert(batch.filter(F.col("o_orderkey") >= half), ["o_custkey"], "o_orderkey")
+    return shown(table.read())
+
+
 def retention_trim(spark, sf):
     return shown(tt.retention_trim(tb.clean(spark, sf), tb.NOW, WINDOW_HOURS))
 
@@ -431,6 +448,21 @@ def terrain_at_points(spark, sf):
     return shown(rs.terrain_stats(p, tb.pixels(spark, sf), tb.LOCAL_RADII))
 
 
+def build_cells(spark, sf):
+    """The cell table end to end: tile bytes written and decoded, their sums stored, cells placed on pixels, exported in order, read back."""
+    root = f"{checkpoint_root(spark)}/cells-{uuid.uuid4().hex}"
+    parts = tb.table(spark, sf, "part")
+    size = max(2, math.isqrt(max(parts.count() - 1, 0)) + 1)  # the square that holds every part
+    drawn = parts.select(F.lit("N32E035.hgt").alias("tile"), F.floor(F.col("p_partkey") / size).alias("row"), (F.col("p_partkey") % size).alias("col"),
+                         F.when(F.col("p_size") != 13, F.col("p_size") * 10).alias("elev")).filter(F.col("row") < size)
+    ra.tile_files(drawn, size).write.parquet(f"{root}/tiles")
+    rs.store_sums(ra.decode_tiles(spark.read.parquet(f"{root}/tiles")), f"{root}/sums")
+    cells = tb.cells(spark, sf).select("cell_id", "lat", "lon")
+    made = pl.build_cells(cells, tb.stored_stations(spark, sf), tb.clean(spark, sf), f"{root}/sums", tb.lattice(spark, sf), (), size, tb.LOCAL_RADII)
+    ob.export_json(made, f"{root}/cells", ["cell_id"])
+    return shown(spark.read.schema(made.schema).json(f"{root}/cells"))
+
+
 def tile_names(spark, sf):
     """Elevation tile of points spread over both hemispheres."""
     p = tb.table(spark, sf, "customer").select("c_custkey", (F.col("c_custkey") % 170 - 85.25).alias("lat"),
@@ -514,6 +546,33 @@ def stream_closed_bins(spark, sf):
     return shown(spark.read.parquet(f"{root}/bins").withColumn("hour", F.col("hour").cast("timestamp_ntz")))
 
 
+def stream_unique(spark, sf):
+    """Readings without repeats, by state that a watermark bounds (on RocksDB).
+
+    Three loads of ten days.  Repeats come a load later; a sixth of the readings is held back to the last load, where those more than
+    48 hours older than the first load's newest are late and do not count.
+    """
+    root = f"{checkpoint_root(spark)}/stream-{uuid.uuid4().hex}"
+    load = F.when(F.col("ts") < F.lit("2024-01-11"), 0).when(F.col("ts") < F.lit("2024-01-21"), 1).otherwise(2)
+    rows = tb.readings(spark, sf).withColumn("ts", F.col("ts").cast("timestamp")).select("event_id", "station_id", "ts", load.alias("load"))
+    rows = rows.withColumn("load", F.when(F.col("event_id") % 6 == 1, F.lit(2)).otherwise(F.col("load")))
+    rows = rows.unionByName(rows.filter("event_id % 4 = 0 AND load < 2").withColumn("load", F.col("load") + 1))
+    files = 4  # of each load
+    for n in range(3):
+        rows.filter(F.col("load") == n).select("station_id", "ts").repartition(files).write.parquet(f"{root}/in/{n}")
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    use_rocksdb(spark)
+    try:
+        stream = spark.readStream.schema("station_id long, ts timestamp").option("maxFilesPerTrigger", files).option(
+            "recursiveFileLookup", True).parquet(f"{root}/in")
+        unique_readings(stream).writeStream.outputMode("append").option("checkpointLocation", f"{root}/checkpoint").trigger(
+            availableNow=True).format("parquet").start(f"{root}/out").awaitTermination()
+    finally:
+        spark.conf.set(name, before)
+    return spark.read.parquet(f"{root}/out").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
 def _stream_now():
     return datetime.strptime(tb.NOW, "%Y-%m-%d %H:%M:%S")
 
@@ -594,7 +653,7 @@ NAMES = {"cyclic_time_features": "cyclic_time", "horizon_labels": "horizon_times
 QUERIES = {
     NAMES.get(f.__name__, f.__name__): f for f in (
         flatten_observations, normalize_time, station_catalog, range_rules, wind_components, hourly_rollup,
-        hourly_spine, gap_fill, hourly_clean, daily_clean, insert_ignore, upsert_latest, retention_trim,
+        hourly_spine, gap_fill, hourly_clean, daily_clean, insert_ignore, upsert_latest, snapshot_upsert, retention_trim,
         backfill_manifest, incremental_filter, incremental_filter_global, closed_hours, required_stations,
         active_stations, grid_cells, haversine_pairs, knn_join, triangle_neighbors, station_neighbors,
         leave_location_out, available_cells, neighbor_features, static_features, bearing_elevation,
@@ -603,10 +662,10 @@ QUERIES = {
         horizon_labels, text_times, rain_bands, missingness_report, quality_report, longest_segment,
         targets_by_horizon, nearest_cell, verification_pairs, forecast_errors, persistence_forecast,
         persistence_skill, event_scores, rain_class_weights, lag_correlation, temporal_split, bias_correction,
-        sensor_flags, nearest_lattice, lattice_index, terrain_stats, terrain_at_points, tile_names,
+        sensor_flags, nearest_lattice, lattice_index, terrain_stats, terrain_at_points, build_cells, tile_names,
         idw_leave_out_scores, rfsi_train_score, forecast_train_score, importance_shift, tweedie_rain,
         cross_validation, placed_readings, skipped_stations, table_state, replay, noisy_rain, stream_hourly, stream_closed_bins, stream_forecasts,
-        stream_grid, stream_late, stream_metrics,
+        stream_grid, stream_late, stream_metrics, stream_unique,
     )
 }
 

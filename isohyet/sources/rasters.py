@@ -39,8 +39,25 @@ def read_elevation(spark: SparkSession, path: str, nodata: int = RASTER_NODATA)
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.hgt").option(
         "recursiveFileLookup", True
-    ).load(path).select("path", "content")
-    return files.mapInPandas(lambda it: _decode(it, nodata), PIXELS)
+    ).load(path)
+    return decode_tiles(files, nodata)
+
+
+def decode_tiles(files: DataFrame, nodata: int = RASTER_NODATA) -> DataFrame:
+    """Pixels of tiles given as rows (path, content)."""
+    return files.select("path", "content").mapInPandas(lambda it: _decode(it, nodata), PIXELS)
+
+
+def tile_files(pixels: DataFrame, size: int, nodata: int = RASTER_NODATA) -> DataFrame:
+    """Tiles as rows (path, content) in the format that ``decode_tiles`` reads; absent pixels are without data."""
+    whole = pixels.select("tile").distinct().selectExpr("tile", f"explode(sequence(0, {size - 1})) AS row").selectExpr(
+        "tile", "row", f"explode(sequence(0, {size - 1})) AS col")
+    digits = f"lpad(hex(CAST(coalesce(elev, {nodata}) & 65535 AS BIGINT)), 4, '0')"
+    lines = whole.join(pixels.selectExpr("tile", "CAST(row AS INT) AS row", "CAST(col AS INT) AS col", "CAST(elev AS INT) AS elev"),
+                       ["tile", "row", "col"], "left").groupBy("tile", "row").agg(
+        F.expr(f"array_join(sort_array(collect_list(struct(col, {digits} AS x))).x, '') AS line"))
+    return lines.groupBy("tile").agg(F.expr("unhex(array_join(sort_array(collect_list(struct(row, line))).line, '')) AS content")).select(
+        F.col("tile").alias("path"), "content")
 
 
 def read_lattice(spark: SparkSession, path: str) -> DataFrame:

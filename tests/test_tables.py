@@ -11,6 +11,7 @@ from isohyet.schemas import STATION_METADATA
 from isohyet.sources import observations as ob
 from isohyet.sources import rasters as ra
 from isohyet.sources import tables as tt
+from isohyet.sources.snapshots import Conflict, Snapshots
 
 
 def test_payload_rules(spark, tmp_path):
@@ -204,3 +205,50 @@ def test_few_points_read_few_strips(spark, tmp_path, monkeypatch):
     assert out.first().elevation == (300 * 130 + 50) % 97
     scans = [line for line in out._jdf.queryExecution().toString().split("\n") if "PartitionFilters" in line and "part" in line]
     assert any("A/4" in line and "A/9" not in line for line in scans)
+
+
+def test_tile_files_round_trip(spark):
+    rows = [("N01E002.hgt", r, c, None if (r + c) % 5 == 0 else (r * 37 + c) * (-1) ** c) for r in range(9) for c in range(9) if (r, c) != (4, 4)]
+    pixels = spark.createDataFrame(rows, "tile string, row int, col int, elev int")
+    files = ra.tile_files(pixels, 9)
+    assert len(files.first().content) == 2 * 81
+    got = {(r["row"], r.col): r.elev for r in ra.decode_tiles(files).collect()}
+    assert len(got) == 81 and got == {**{(r, c): e for _, r, c, e in rows}, (4, 4): None}
+
+
+def snapshot_rows(table):
+    return {(r.k, r.v) for r in table.read().collect()}
+
+
+def test_a_crash_between_the_steps_leaves_the_old_snapshot(spark, tmp_path):
+    table = Snapshots(spark, str(tmp_path / "t"), "k int, v int")
+    assert snapshot_rows(table) == set() and table.version() == 0
+    frame = lambda rows: spark.createDataFrame(rows, "k int, v int")
+    assert table.replace(frame([(1, 1), (2, 2)])) == 1
+    table.write(frame([(9, 9)]))  # the writer dies before it publishes
+    assert snapshot_rows(table) == {(1, 1), (2, 2)}
+    assert table.upsert(frame([(2, 5), (2, 7), (3, 3)]), ["k"], "v") == 2
+    assert snapshot_rows(table) == {(1, 1), (2, 7), (3, 3)} and table.read(1).count() == 2
+    assert table.clean(1) == 2 and snapshot_rows(table) == {(1, 1), (2, 7), (3, 3)}
+
+
+def test_two_writers_from_one_version(spark, tmp_path, monkeypatch):
+    table, other = (Snapshots(spark, str(tmp_path / "t"), "k int, v int") for _ in range(2))
+    frame = lambda rows: spark.createDataFrame(rows, "k int, v int")
+    table.replace(frame([(1, 1)]))
+    mine, theirs = table.write(frame([(1, 2)])), other.write(frame([(1, 3)]))
+    table.publish(mine, 2)
+    with pytest.raises(Conflict):
+        other.publish(theirs, 2)
+    assert snapshot_rows(other) == {(1, 2)}
+    publish, raced = Snapshots.publish, []
+
+    def late(self, name, version):
+        if not raced:
+            raced.append(1)
+            publish(table, table.write(frame([(1, 2), (4, 4)])), version)
+        publish(self, name, version)
+
+    monkeypatch.setattr(Snapshots, "publish", late)
+    assert other.upsert(frame([(5, 5)]), ["k"], "v") == 4  # starts anew on what the other writer left
+    assert snapshot_rows(table) == {(1, 2), (4, 4), (5, 5)}
