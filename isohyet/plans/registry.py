@@ -523,6 +523,49 @@ def cross_validation(spark, sf):
     return shown(ml.cross_validate(st, hourly, "ws"))
 
 
+def linear_cross_validation(spark, sf):
+    """A linear correction of the distance-weighted wind speed, fitted without each station and scored there, all folds at once."""
+    return shown(ml.linear_cross_validate(tb.stored_stations(spark, sf), tb.stored_clean(spark, sf), "ws"))
+
+
+def hurdle_rain(spark, sf):
+    """Rows, wet hours and share of dry ones at every station, and whether the hurdle model keeps to its rules there.
+
+    Its forecasts are whole and not negative, and over all stations its error in wet hours is no worse than the Tweedie model's.
+    """
+    hourly, st = tb.stored_clean(spark, sf), tb.stored_stations(spark, sf)
+    rows = cut_lineage(ip.training_rows(ml.target_features(nb.station_neighbors(st), hourly, st), hourly, "rain"))
+    columns = [*[f"rain_n{i}" for i in (1, 2, 3)], *[f"dist_n{i}" for i in (1, 2, 3)], "elevation_target"]
+    scored = ml.hurdle(columns, "hurdle").fit(rows).transform(rows)
+    scored = ml.regression(columns, "tweedie", "glm").fit(rows).transform(scored.select(*rows.columns, "hurdle"))
+    scored = cut_lineage(scored.select("cell_id", "label", "hurdle", "glm"))
+    wet = scored.filter("label >= 0.1").agg(F.struct(*[F.sqrt(F.avg((F.col(c) - F.col("label")) ** 2)).alias(c) for c in ("hurdle", "glm")])).scalar()
+    return shown(scored.groupBy(F.col("cell_id").alias("station_id")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("label") >= 0.1).alias("wet"), F.avg((F.col("label") < 0.1).cast("double")).alias("dry_share"),
+        F.coalesce(F.min("hurdle") >= 0, F.lit(False)).alias("not_negative"), (F.count("hurdle") == F.count(F.lit(1))).alias("whole"),
+    ).withColumn("no_worse", wet["hurdle"] <= wet["glm"]))
+
+
+def null_routing(spark, sf):
+    """Nulls of every input of a temperature forest, a fifth of them made, and whether directions learned at the splits do no worse than flags.
+
+    Both forests learn from the earlier hours and are scored on the later ones.
+    """
+    hourly, st = tb.stored_clean(spark, sf), tb.stored_stations(spark, sf)
+    columns = [*[f"td_n{i}" for i in (1, 2, 3)], *[f"dist_n{i}" for i in (1, 2, 3)]]
+    rows = ip.training_rows(ml.target_features(nb.station_neighbors(st), hourly, st), hourly, "td").select("cell_id", "h", "hour", "label", *columns)
+    rows = cut_lineage(rows.withColumns({c: F.when((F.col("h") * 7 + F.col("cell_id") * 13 + n) % 5 != 0, F.col(c)) for n, c in enumerate(columns)}))
+    early, late = vf.temporal_split(rows)
+    either = ml.nullable_columns(early, columns)
+    error = {}
+    for name, more in (("either", {"either": either}), ("flags", {"flags": either})):
+        model = ml.regression(columns, "forest", "guess", **more).fit(early)
+        error[name] = model.transform(late).agg(F.sqrt(F.avg((F.col("guess") - F.col("label")) ** 2))).first()[0]
+    counts = rows.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col(c).isNull()).alias(c) for c in columns])
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("input"), F.col(c).alias("nulls")) for c in columns]))
+    return counts.select("n", each.alias("e")).select("e.input", "e.nulls", "n", F.lit(error["either"] <= 1.02 * error["flags"]).alias("no_worse"))
+
+
 def _streamed(spark, sf):
     events = spark.readStream.schema(tb.table(spark, sf, "events").schema).option(
         "pathGlobFilter", "events.parquet").parquet(sf)
@@ -664,7 +707,8 @@ QUERIES = {
         persistence_skill, event_scores, rain_class_weights, lag_correlation, temporal_split, bias_correction,
         sensor_flags, nearest_lattice, lattice_index, terrain_stats, terrain_at_points, build_cells, tile_names,
         idw_leave_out_scores, rfsi_train_score, forecast_train_score, importance_shift, tweedie_rain,
-        cross_validation, placed_readings, skipped_stations, table_state, replay, noisy_rain, stream_hourly, stream_closed_bins, stream_forecasts,
+        cross_validation, linear_cross_validation, hurdle_rain, null_routing,
+        placed_readings, skipped_stations, table_state, replay, noisy_rain, stream_hourly, stream_closed_bins, stream_forecasts,
         stream_grid, stream_late, stream_metrics, stream_unique,
     )
 }

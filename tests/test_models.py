@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -139,3 +140,49 @@ def test_noise_is_a_function_of_the_key(spark, network):
     moved = a.select("station_id", "h", F.col("td").alias("x")).join(hourly, ["station_id", "h"]).agg(
         F.stddev(F.col("x") - F.col("td")).alias("s"), F.avg(F.col("x") - F.col("td")).alias("m")).first()
     assert moved.s == pytest.approx(2.0, rel=0.15) and abs(moved.m) < 0.4
+
+
+def test_linear_folds_in_one_pass_equal_separate_fits(spark, network):
+    st, hourly = network
+    inputs = {"near": "td_n1", "rise": "elevation_target - elevation_n1"}
+    got = {r.fold: r for r in ml.linear_cross_validate(st, hourly, "td", inputs).collect()}
+    table = ml.fold_features(st, hourly, "td")
+    assert sorted(got) == list(range(1, 9))
+    for fold in (1, 4, 8):
+        train, test = (df.selectExpr("label", *inputs.values()).dropna().toPandas().to_numpy() for df in ml.fold_rows(table, fold))
+        x = np.column_stack([np.ones(len(train)), train[:, 1:]])
+        w = np.linalg.lstsq(x, train[:, 0], rcond=None)[0]
+        r = got[fold]
+        assert (r.n, r.train_rows) == (len(test), len(train))
+        assert [r.intercept, r.near, r.rise] == pytest.approx(list(w), abs=1e-6)
+        error = test[:, 0] - np.column_stack([np.ones(len(test)), test[:, 1:]]) @ w
+        assert r.rmse == pytest.approx(float(np.sqrt((error ** 2).mean())), abs=1e-6)
+
+
+def test_linear_folds_keep_a_station_without_rows(spark, network):
+    st, hourly = network
+    silent = hourly.withColumn("td", F.when(F.col("station_id") != 5, F.col("td")))
+    rows = {r.fold: r for r in ml.linear_cross_validate(st, silent, "td").collect()}
+    assert sorted(rows) == list(range(1, 9)) and (rows[5].n, rows[5].rmse) == (0, None)
+
+
+def test_hurdle_forecasts_are_whole_and_not_negative(spark, network):
+    _, hourly = network
+    rows = hourly.withColumn("label", F.col("rain"))
+    out = ml.hurdle(["td", "rh"], "out", maxIter=3).fit(rows).transform(rows)
+    assert out.filter("out < 0 OR out IS NULL").count() == 0
+    r = out.agg(F.avg(F.when(F.col("label") == 0, F.col("out"))).alias("dry"), F.avg(F.when(F.col("label") > 1, F.col("out"))).alias("wet")).first()
+    assert r.dry < r.wet
+
+
+def test_nulls_go_to_the_side_that_the_rows_ask_for(spark):
+    # half of the nulls behave like large values, which one value below all others cannot say in one split
+    rows = [(float(i % 10) if i % 3 else None, 1.0 if (i % 10 >= 5 or i % 3 == 0) else 0.0) for i in range(600)]
+    df = spark.createDataFrame(rows, "x double, label double")
+    assert ml.nullable_columns(df, ["x"]) == ["x"]
+    stump = dict(numTrees=1, maxDepth=1, subsamplingRate=1.0, featureSubsetStrategy="all", bootstrap=False)
+    error = {}
+    for name, either in (("low", []), ("either", ["x"])):
+        out = ml.regression(["x"], "forest", "out", either=either, **stump).fit(df).transform(df)
+        error[name] = out.agg(F.avg((F.col("out") - F.col("label")) ** 2)).first()[0]
+    assert error["either"] < 1e-9 < error["low"]
