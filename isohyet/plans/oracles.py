@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from isohyet.schemas import (
-    HORIZONS, LAG_HOURS, LAG_MEASURES, MEASURES, RAIN_CLASSES, RAIN_LEVELS, STATIC, TERRAIN,
+    HORIZONS, LAG_HOURS, LAG_MEASURES, MEASURES, RAIN_CLASSES, RAIN_LEVELS, STATIC, STATION_METADATA, TERRAIN,
     UPSTREAM_LAG_HOURS, UPSTREAM_MEASURES,
 )
 
@@ -629,4 +629,8 @@ SELECT DISTINCT station_id, ts FROM loads WHERE load < 2 OR ts > (SELECT max(ts)
         held="""SELECT event_id, station_id, ts, CASE WHEN event_id % 6 = 1 THEN 2 ELSE n END AS load FROM (
   SELECT *, CASE WHEN ts < TIMESTAMP '2024-01-11' THEN 0 WHEN ts < TIMESTAMP '2024-01-21' THEN 1 ELSE 2 END AS n FROM readings)""",
         loads="SELECT * FROM held UNION ALL SELECT event_id, station_id, ts, load + 1 FROM held WHERE event_id % 4 = 0 AND load < 2")
+    q["archive_run"] = q["normalize_time"]
+    q["bootstrap_stations"] = query(f"SELECT station_id, {nums(STATION_METADATA.names[1:])} FROM stations")
+    q["replaced_table"] = f"SELECT o_orderkey, o_custkey, {num('o_totalprice')} FROM orders WHERE o_orderkey % 3 = 0"
+    q["ordered_export"] = "SELECT count(*) AS n, 0 AS wrong FROM orders"
     return q

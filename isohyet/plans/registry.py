@@ -6,7 +6,7 @@ import math
 import uuid
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,7 +22,9 @@ from isohyet.operators import verify as vf
 from isohyet.plans import models as ml
 from isohyet.plans import pipeline as pl
 from isohyet.plans import testbed as tb
-from isohyet.schemas import HORIZONS, LOCAL_ZONE, MAX_MISSING_SHARE, MAX_TEMPERATURE, MEASURES, WINDOW_HOURS
+from isohyet.schemas import (
+    HORIZONS, LOCAL_ZONE, MAX_MISSING_SHARE, MAX_TEMPERATURE, MEASURES, STATION_METADATA, WINDOW_HOURS,
+)
 from isohyet.session import checkpoint_root, cut_lineage
 from isohyet.sources import observations as ob
 from isohyet.sources import rasters as ra
@@ -159,6 +161,50 @@ def backfill_manifest(spark, sf):
     return tt.manifest_rows(rows.join(todo.select("station_id"), "station_id", "left_semi"), todo)
 
 
+def archive_run(spark, sf):
+    """Readings through the CSV archive: a backfill of half the stations, one of all, read back and normalised."""
+    root = f"{checkpoint_root(spark)}/archive-{uuid.uuid4().hex}"
+    rows = cut_lineage(ob.flatten_observations(tb.payloads(spark, sf)))
+    st = tb.stored_stations(spark, sf)
+    catalog = st.select("station_id", F.concat(F.lit("Post "), F.col("station_id")).alias("name"), "latitude", "longitude")
+    for some in (catalog.filter("station_id % 2 = 0"), catalog):  # the second run leaves out what the first has done
+        tt.backfill(spark, some, rows, f"{root}/rows", f"{root}/manifest")
+    return shown(cl.normalize_readings(ob.read_archive(spark, f"{root}/rows")))
+
+
+def bootstrap_stations(spark, sf):
+    """The station table filled from its JSON document; a second document finds it filled."""
+    root = f"{checkpoint_root(spark)}/bootstrap-{uuid.uuid4().hex}"
+    st = tb.stations(spark, sf).select(*STATION_METADATA.names)
+    for n, rows in enumerate((st, st.filter("station_id = 1"))):  # a document is one array, one row a station
+        rows.agg(F.to_json(F.sort_array(F.collect_list(F.struct(*rows.columns)))).alias("value")).write.text(f"{root}/{n}")
+        ob.bootstrap(spark, f"{root}/{n}", f"{root}/table", STATION_METADATA)
+    return shown(spark.read.schema(STATION_METADATA).parquet(f"{root}/table"))
+
+
+def replaced_table(spark, sf):
+    """A table replaced as a whole, read back."""
+    path = f"{checkpoint_root(spark)}/replaced-{uuid.uuid4().hex}"
+    df = tb.table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    tt.replace_table(df, path)
+    tt.replace_table(df.filter("o_orderkey % 3 = 0"), path)
+    return shown(spark.read.schema(df.schema).parquet(path))
+
+
+def ordered_export(spark, sf):
+    """Rows of a JSON export in order of two columns, and whether files and the lines in them keep it."""
+    path = f"{checkpoint_root(spark)}/export-{uuid.uuid4().hex}"
+    df = tb.table(spark, sf, "orders").select("o_custkey", "o_orderkey")
+    ob.export_json(df, path, ["o_custkey", "o_orderkey"])
+    back = spark.read.schema(df.schema).json(path).select("*", F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("line"))
+    at = F.struct("o_custkey", "o_orderkey")
+    lines = back.withColumn("before", F.lag(at).over(Window.partitionBy("file").orderBy("line"))).withColumn("at", at)
+    files = lines.groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"), F.max("at").alias("last"),
+                                      F.count_if(F.col("before") > F.col("at")).alias("wrong"))
+    files = files.withColumn("wrong", F.col("wrong") + F.coalesce(F.lag("last").over(Window.orderBy("file")) > F.col("first"), F.lit(False)).cast("long"))
+    return files.agg(F.sum("n").alias("n"), F.sum("wrong").alias("wrong"))  # a row a file
+
+
 def incremental_filter(spark, sf):
     """Readings newer than the clean table of the station; that table stops at a different day each."""
     r = tb.readings(spark, sf)
@@ -697,7 +743,7 @@ QUERIES = {
     NAMES.get(f.__name__, f.__name__): f for f in (
         flatten_observations, normalize_time, station_catalog, range_rules, wind_components, hourly_rollup,
         hourly_spine, gap_fill, hourly_clean, daily_clean, insert_ignore, upsert_latest, snapshot_upsert, retention_trim,
-        backfill_manifest, incremental_filter, incremental_filter_global, closed_hours, required_stations,
+        backfill_manifest, archive_run, bootstrap_stations, replaced_table, ordered_export, incremental_filter, incremental_filter_global, closed_hours, required_stations,
         active_stations, grid_cells, haversine_pairs, knn_join, triangle_neighbors, station_neighbors,
         leave_location_out, available_cells, neighbor_features, static_features, bearing_elevation,
         interpolation_features, idw_grid, cyclic_time_features, local_lags, upstream_features, forecast_features,
