@@ -9,6 +9,7 @@ from isohyet.functions.calendar import cyclic_time, index_hour
 from isohyet.schemas import (
     HORIZONS, LAG_HOURS, LAG_MEASURES, UPSTREAM_LAG_HOURS, UPSTREAM_MEASURES, WARM_UP_ROWS,
 )
+from isohyet.session import small
 
 
 def _at(column: str, offset: int, key: str) -> str:
@@ -57,13 +58,14 @@ def upstream_features(cells: DataFrame, hourly: DataFrame, upstream: dict[str, i
 
     Lags of the upstream columns are taken once per station.  Convergence is
     relative to the cell, and its lag is the difference of the two lags, so no
-    second window over the cells is needed when the local wind lags exist.
+    second window over the cells is needed when the local wind lags exist.  The series, a row an hour, is stored and
+    counted: up to ``SMALL_ROWS`` hours it is broadcast and the wide cells stay where they are, beyond it joins by sort.
     """
     out = cells
     missing = [n for n in hours for c in ("u_vec", "v_vec") if f"{c}_t-{n}h" not in cells.columns]
     if missing:
         out = local_lags(out, key, ["u_vec", "v_vec"], sorted(set(missing)))
-    out = out.join(upstream_series(hourly, upstream, hours), "h", "left").selectExpr("*", *[
+    out = out.join(small(upstream_series(hourly, upstream, hours)), "h", "left").selectExpr("*", *[
         f"`{axis}_vec_{name}{_lag(n)}` - `{axis}_vec{_lag(n)}` AS `{axis}_convergence_{name}{_lag(n)}`"
         for name in upstream for axis in ("u", "v") for n in [0, *hours]
     ])

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from isohyet.functions.geo import tile_name
 from isohyet.schemas import RASTER_RADII
 from isohyet.session import cut_lineage
-from isohyet.sources.rasters import axis_values, values_up_to
+from isohyet.sources.rasters import Axis
 
 
 def focal_stats(pixels: DataFrame, radii: dict[str, int] = RASTER_RADII) -> DataFrame:
@@ -152,25 +152,17 @@ def terrain_by_sums(points: DataFrame, path: str, radii: dict[str, int] = RASTER
     return points.alias("p").join(out.select("tile", "row", "col", *stats).alias("t"), same, "left").select("p.*", *[f"t.{c}" for c in stats])
 
 
-def _axis_index(c: str):
-    """Index of the axis value nearest to column ``c``; the lower index on a tie.
-
-    ``_{c}_axis`` comes from ``axis_values``.  The nearest is the last value up to the point or the next.
-    """
-    v, i = F.col(f"_{c}_axis.v"), F.col(f"_{c}_axis.i")
-    below = values_up_to(v, F.col(c))
-    near = F.struct(F.abs(F.get(v, below - 1) - F.col(c)).alias("d"), F.get(i, below - 1).alias("i"))
-    far = F.struct(F.abs(F.get(v, below) - F.col(c)).alias("d"), F.get(i, below).alias("i"))
-    return F.when(near["i"].isNull(), far["i"]).when(far["i"].isNull(), near["i"]).otherwise(F.least(near, far)["i"])
-
-
 def nearest_lattice(points: DataFrame, lattice: DataFrame, value: str = "dist") -> DataFrame:
-    """Value of the lattice point nearest on each axis by itself; steps may be uneven.
+    """Value of the lattice point nearest on each axis by itself; steps may be uneven, the lower index counts on a tie.
 
-    ``lattice`` has lat_idx, lon_idx, lat, lon and the value.  An axis is one
-    array of its distinct values, searched within the row; the look-up is an
-    equi-join, so no point meets more than one lattice row.
+    ``lattice`` has lat_idx, lon_idx, lat, lon and the value.  A point meets one block of an axis' values and is searched
+    within it; the nearest is the last value up to the point or the next.  The look-up is an equi-join, so no point meets more
+    than one lattice row.
     """
-    placed = points.withColumns({f"_{c}_axis": axis_values(lattice, c, f"{c}_idx") for c in ("lat", "lon")})
-    placed = placed.withColumns({f"{c}_idx": _axis_index(c) for c in ("lat", "lon")}).drop("_lat_axis", "_lon_axis")
+    placed = points
+    for c in ("lat", "lon"):
+        placed = Axis(lattice, c, f"{c}_idx").attach(placed, c)
+        near, far = F.get("_axis.o", F.col("_below") - 1), F.coalesce(F.get("_axis.o", "_below"), F.col("_axis.next"))
+        near, far = (F.when(x.isNotNull(), F.struct(F.abs(x["v"] - F.col(c)).alias("d"), x["i"].alias("i"))) for x in (near, far))
+        placed = placed.withColumn(f"{c}_idx", F.least(near, far)["i"]).drop("_axis", "_below")
     return placed.join(lattice.select("lat_idx", "lon_idx", value), ["lat_idx", "lon_idx"], "left")

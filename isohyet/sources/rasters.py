@@ -6,10 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from isohyet.schemas import RASTER_NODATA
+from isohyet.session import cut_lineage
 
 PIXELS = "tile string, row int, col int, elev int"
 
@@ -65,25 +66,55 @@ def read_lattice(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("lat_idx bigint, lon_idx bigint, lat double, lon double, dist double").parquet(path)
 
 
-def axis_values(grid: DataFrame, c: str, index: str | None = None) -> Column:
-    """The distinct values ``v`` of an axis in order, and the lowest ``index`` of each as ``i``: arrays in one row."""
-    least = F.min(index) if index else F.lit(None)
-    values = grid.filter(F.col(c).isNotNull()).groupBy(F.col(c).alias("v")).agg(least.alias("i"))
-    ordered = values.agg(F.sort_array(F.collect_list(F.struct("v", "i"))).alias("o"))
-    return ordered.select(F.struct(F.col("o.v").alias("v"), F.col("o.i").alias("i"))).scalar()
+#: Values of an axis in one row, and rows that are broadcast (4 MB of values and indexes at most).
+AXIS_BLOCK, AXIS_ROWS = 4096, 64
 
 
-def values_up_to(values: Column, x: Column) -> Column:
-    """How many of the ordered values are not above ``x``: a binary search over powers of two."""
-    steps = F.array(*[F.lit(1 << n) for n in reversed(range(31))])
+def values_up_to(values: Column, x: Column, bits: int) -> Column:
+    """How many of the ordered values, fewer than 2**bits, are not above ``x``: a binary search over powers of two."""
+    steps = F.array(*[F.lit(1 << n) for n in reversed(range(bits))])
     return F.aggregate(steps, F.lit(0), lambda at, s: F.when(F.get(values, at + s - 1) <= x, at + s).otherwise(at))
 
 
+class Axis:
+    """The distinct values of a lattice axis in order, in blocks of about ``AXIS_BLOCK``, each with the value that follows it."""
+
+    def __init__(self, grid: DataFrame, c: str, index: str | None = None):
+        least = F.min(index) if index else F.lit(None)
+        values = cut_lineage(grid.filter(F.col(c).isNotNull()).groupBy(F.col(c).alias("v")).agg(least.alias("i")))
+        blocks = max(1, -(-values.count() // AXIS_BLOCK))
+        placed = values.withColumn("block", F.lit(0)) if blocks == 1 else values.repartitionByRange(blocks, "v").withColumn(
+            "block", F.spark_partition_id())
+        placed = cut_lineage(placed)
+        at = Window.orderBy("block")  # a row a block
+        heads = placed.groupBy("block").agg(F.min(F.struct("v", "i")).alias("first"), F.count(F.lit(1)).alias("n"))
+        heads = cut_lineage(heads.select("block", "first", "n", F.lead("first").over(at).alias("next"), (F.sum("n").over(at) - F.col("n")).alias("before")))
+        rows = placed.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("v", "i"))).alias("o"))
+        rows = cut_lineage(rows.join(heads.select("block", "next", "before"), "block"))
+        found = heads.agg(F.count(F.lit(1)), F.max("n")).first()
+        self.table = F.broadcast(rows) if found[0] <= AXIS_ROWS else rows
+        self.block_bits, self.value_bits = found[0].bit_length(), (found[1] or 0).bit_length()
+        self.heads = heads.agg(F.sort_array(F.collect_list(F.struct("first.v", "block"))).alias("o")).scalar()
+
+    def attach(self, df: DataFrame, c: str) -> DataFrame:
+        """``df`` with the block of its column ``c`` as struct ``_axis`` (ordered values ``o``, ``next``, ``before``) and ``_below``, how many of
+        the block's values are not above it.  Rows with a null value get nulls."""
+        df = df.withColumn("_heads", self.heads)  # the first value of every block
+        at = F.greatest(F.lit(0), values_up_to(F.col("_heads.v"), F.col(c), self.block_bits) - 1)
+        axis = self.table.select(F.col("block").alias("_block"), F.struct("o", "next", "before").alias("_axis"))
+        placed = df.withColumn("_block", F.when(F.col(c).isNotNull(), F.get("_heads.block", at))).drop("_heads")
+        placed = placed.join(axis, "_block", "left").drop("_block")
+        return placed.withColumn("_below", values_up_to(F.col("_axis.o.v"), F.col(c), self.value_bits))
+
+
 def lattice_table(grid: DataFrame) -> DataFrame:
     """Lattice in long form from (lat, lon, dist) rows: adds the index on both axes.
 
     The index is the position among the axis' distinct values, which may have uneven steps; no global sort is needed.
     """
-    placed = grid.withColumns({f"_{c}": axis_values(grid, c) for c in ("lat", "lon")})
-    index = {f"{c}_idx": F.greatest(F.lit(0), values_up_to(F.col(f"_{c}.v"), F.col(c)) - 1).cast("long") for c in ("lat", "lon")}
-    return placed.withColumns(index).drop("_lat", "_lon")
+    placed = grid
+    for c in ("lat", "lon"):
+        placed = Axis(grid, c).attach(placed, c)
+        index = F.greatest(F.lit(0), F.col("_below") - 1).cast("long") + F.col("_axis.before")
+        placed = placed.withColumn(f"{c}_idx", index).drop("_axis", "_below")
+    return placed

@@ -55,6 +55,17 @@ def test_all_lags_share_one_sort(spark):
     assert text.count("Exchange hashpartitioning") == 1 and text.count("Sort [") == 1 and text.count("Window [") == 1
 
 
+def test_upstream_columns_do_not_move_the_cells(spark):
+    hourly, grid = tb.stored_clean(spark, SF), tb.stored_grid(spark, SF)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(lg.forecast_features(grid, hourly, tb.UPSTREAM))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert text.count("Exchange hashpartitioning") == 1 and "BroadcastHashJoin" in text and "SortMergeJoin" not in text  # the lags' own
+
+
 def test_time_filters_reach_the_scan(spark):
     o = tb.table(spark, SF, "orders")
     text = plan(o.filter(F.col("o_orderdate") >= F.lit("2000-01-01").cast("timestamp_ntz")).select("o_custkey"))

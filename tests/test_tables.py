@@ -252,3 +252,20 @@ def test_two_writers_from_one_version(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(Snapshots, "publish", late)
     assert other.upsert(frame([(5, 5)]), ["k"], "v") == 4  # starts anew on what the other writer left
     assert snapshot_rows(table) == {(1, 2), (4, 4), (5, 5)}
+
+
+def test_axes_in_many_blocks_give_the_nearest(spark, monkeypatch):
+    monkeypatch.setattr(ra, "AXIS_BLOCK", 7)
+    rng = random.Random(2)
+    lats = sorted({round(rng.expovariate(1), 3) for _ in range(60)})  # crowded at one end
+    grid = spark.createDataFrame([(i, j, lat, 0.5 * j, float(100 * i + j)) for i, lat in enumerate(lats) for j in range(4)],
+                                 "lat_idx long, lon_idx long, lat double, lon double, dist double")
+    asked = [(n, rng.uniform(-1, 6), rng.uniform(-1, 3)) for n in range(200)] + [(200 + n, lat, 0.25) for n, lat in enumerate(lats)] + [(999, None, 1.0)]
+    got = {r.cell_id: r for r in rs.nearest_lattice(spark.createDataFrame(asked, "cell_id long, lat double, lon double"), grid).collect()}
+    assert len(got) == len(asked) and got[999].dist is None
+    for n, lat, lon in asked[:-1]:
+        i = min(range(len(lats)), key=lambda k: (abs(lats[k] - lat), k))
+        j = min(range(4), key=lambda k: (abs(0.5 * k - lon), k))
+        assert got[n].dist == 100 * i + j
+    back = {(r.lat, r.lon): (r.lat_idx, r.lon_idx) for r in ra.lattice_table(grid.select("lat", "lon", "dist")).collect()}
+    assert back == {(lat, 0.5 * j): (i, j) for i, lat in enumerate(lats) for j in range(4)}
