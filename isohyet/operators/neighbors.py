@@ -17,7 +17,7 @@ DEEPEST = 24
 CUBE = ["cx", "cy", "cz"]
 POINT = ["px", "py", "pz"]
 # A cube with more than so many times the wanted stations is looked into.
-CROWD = 4
+CROWD = 16
 
 
 def grid_cells(spark, lat_min=GRID_BOX["lat_min"], lat_max=GRID_BOX["lat_max"], lon_min=GRID_BOX["lon_min"],

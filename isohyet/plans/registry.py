@@ -402,7 +402,8 @@ def _pairs(spark, sf, hourly):
     assigned = cut_lineage(nb.nearest_target(tb.cells(spark, sf), st))
     # only cells that a station is compared with are interpolated
     cells = cut_lineage(tb.cells(spark, sf).join(assigned.select("cell_id").distinct(), "cell_id", "left_semi").select("cell_id", "lat", "lon"))
-    grid = cut_lineage(ip.idw_grid(nb.triangle_neighbors(cells, st), hourly).select("cell_id", "h", F.col("rain").alias("forecast")))
+    near = cut_lineage(nb.triangle_neighbors(cells, st))
+    grid = cut_lineage(ip.idw_grid(near, hourly).select("cell_id", "h", F.col("rain").alias("forecast")))
     made = grid.withColumn("horizon", F.explode(F.array(*[F.lit(n) for n in HORIZONS])))
     return vf.verification_pairs(made, hourly, assigned)
 

@@ -134,7 +134,7 @@ def test_targets_beside_a_crowd_meet_few_of_it(spark, k):
     stations, targets = crowd(4000, 3), crowd(60, 4) + scatter("even", 60, 8)
     t, s = frames(spark, targets, stations)
     met = nb.closest_cubes(t, nb._pyramid(s, k), k).groupBy("_t").sum("n").collect()
-    assert len(met) == len(targets) and max(r[1] for r in met) <= 60 * k  # of 3,600 in the crowd
+    assert len(met) == len(targets) and max(r[1] for r in met) <= 200 * k  # of 3,600 in the crowd
     got = {}
     for r in nb.nearest_stations(t, s, k).collect():
         got.setdefault(r.cell_id, []).append((r.distance_km, r.neighbor_id))
