@@ -4,7 +4,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from isohyet.llm import repeats, substring, suffixes
+from isohyet.llm import repeats, substring, suffixes, text
 from isohyet.llm.text import word_hashes
 
 
@@ -92,3 +92,22 @@ def test_words_built_to_collide_are_not_repeats(table):
     before = " ".join(f"w{i}" for i in range(34))
     rows = substring.digest(table([(1, f"{before} {x}"), (2, f"{before} {y}")])).collect()
     assert [r.n_removed for r in rows] == [0, 0]
+
+
+def test_bytes_built_to_collide_are_not_repeats(table):
+    letters = "".join("':"[bin(i).count("1") % 2] for i in range(256))  # a Thue-Morse sequence, far right its complement
+    swapped = letters.translate(str.maketrans("':", ":'"))
+    between = ("hsreltpuscta pirhgwpr rpmuehueqmxavycfysbjya iptxmwznmxzsoeldbepgivnyujnq "
+               "mslrsnshkvaitvwfwkrssdwugu sijdcpupclzcneajnyndbttybmw")  # has the anchor of all windows
+    rows = suffixes.digest(table([(1, letters + between + swapped), (2, swapped + between + letters)])).collect()
+    assert [(r.n_bytes, r.n_removed) for r in rows] == [(640, 0)] * 2
+
+
+def test_prime_hashes_are_polynomials_modulo_a_prime():
+    symbols = np.random.default_rng(4).integers(0, 1 << 64, 9000, dtype=np.uint64)
+    symbols[:3] = [0, text.PRIME, (1 << 64) - 1]
+    base = text.drawn_base()
+    hashes = text.PrimeHash(symbols, base)
+    start = np.array([0, 1, 4090, 8000])
+    want = [sum(int(x) * pow(base, i, text.PRIME) for i, x in enumerate(symbols[a:a + 400])) % text.PRIME for a in start]
+    assert hashes.rolling(400)[start].tolist() == hashes.of(start, start + 400).tolist() == text.mix(np.array(want, np.uint64)).tolist()
