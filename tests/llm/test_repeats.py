@@ -3,6 +3,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from isohyet.llm import repeats, substring, suffixes, text
 from isohyet.llm.text import word_hashes
@@ -111,3 +112,27 @@ def test_prime_hashes_are_polynomials_modulo_a_prime():
     start = np.array([0, 1, 4090, 8000])
     want = [sum(int(x) * pow(base, i, text.PRIME) for i, x in enumerate(symbols[a:a + 400])) % text.PRIME for a in start]
     assert hashes.rolling(400)[start].tolist() == hashes.of(start, start + 400).tolist() == text.mix(np.array(want, np.uint64)).tolist()
+
+
+def test_rows_of_a_frequent_path_are_dealt_out(table, monkeypatch):
+    spark = table([]).sparkSession
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    paths = spark.range(20_500).selectExpr("id AS doc_id", "id AS th", "id AS place", "1L AS ak", "least(greatest(id, 19999), 20100) AS path")
+    repeated = spark.sql("SELECT 1L AS ak, * FROM VALUES (19999L, 20000L), (20100L, 400L) AS t(path, n)")
+
+    def largest():
+        found = repeats.of_repeated(paths, repeated).groupBy(F.spark_partition_id().alias("task")).agg(F.count(F.lit(1)).alias("n"))
+        sizes = [r.n for r in found.collect()]
+        assert sum(sizes) == 20_400
+        return max(sizes)
+
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        assert largest() <= 10_000
+        monkeypatch.setattr(repeats, "FREQUENT", 1 << 40)
+        assert largest() >= 20_000  # as it was
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
