@@ -155,14 +155,17 @@ def terrain_by_sums(points: DataFrame, path: str, radii: dict[str, int] = RASTER
 def nearest_lattice(points: DataFrame, lattice: DataFrame, value: str = "dist") -> DataFrame:
     """Value of the lattice point nearest on each axis by itself; steps may be uneven, the lower index counts on a tie.
 
-    ``lattice`` has lat_idx, lon_idx, lat, lon and the value.  A point meets one block of an axis' values and is searched
+    ``lattice`` has lat_idx, lon_idx, lat, lon and the value.  A point meets one part of a block of an axis' values and is searched
     within it; the nearest is the last value up to the point or the next.  The look-up is an equi-join, so no point meets more
     than one lattice row.
     """
     placed = points
     for c in ("lat", "lon"):
         placed = Axis(lattice, c, f"{c}_idx").attach(placed, c)
-        near, far = F.get("_axis.o", F.col("_below") - 1), F.coalesce(F.get("_axis.o", "_below"), F.col("_axis.next"))
+        def at(n):
+            return F.when(F.get("_axis.v", n).isNotNull(), F.struct(F.get("_axis.v", n).alias("v"), F.get("_axis.i", n).alias("i")))
+
+        near, far = at(F.col("_below") - 1), F.coalesce(at(F.col("_below")), F.col("_axis.next"))
         near, far = (F.when(x.isNotNull(), F.struct(F.abs(x["v"] - F.col(c)).alias("d"), x["i"].alias("i"))) for x in (near, far))
         placed = placed.withColumn(f"{c}_idx", F.least(near, far)["i"]).drop("_axis", "_below")
     return placed.join(lattice.select("lat_idx", "lon_idx", value), ["lat_idx", "lon_idx"], "left")

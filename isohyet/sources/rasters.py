@@ -66,8 +66,8 @@ def read_lattice(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("lat_idx bigint, lon_idx bigint, lat double, lon double, dist double").parquet(path)
 
 
-#: Values of an axis in one row, and rows that are broadcast (4 MB of values and indexes at most).
-AXIS_BLOCK, AXIS_ROWS = 4096, 64
+#: Values of an axis in a block, blocks that are broadcast (4 MB of values and indexes at most), and values in a part of a block, which is one row.
+AXIS_BLOCK, AXIS_ROWS, AXIS_PART = 4096, 64, 64
 
 
 def values_up_to(values: Column, x: Column, bits: int) -> Column:
@@ -77,7 +77,9 @@ def values_up_to(values: Column, x: Column, bits: int) -> Column:
 
 
 class Axis:
-    """The distinct values of a lattice axis in order, in blocks of about ``AXIS_BLOCK``, each with the value that follows it."""
+    """The distinct values of a lattice axis in order, in blocks of about ``AXIS_BLOCK`` that are cut in parts of ``AXIS_PART``, each with the
+    value that follows it.  A row that is placed meets the first values of the blocks, then those of one block's parts, then one part: it
+    never carries a whole block."""
 
     def __init__(self, grid: DataFrame, c: str, index: str | None = None):
         least = F.min(index) if index else F.lit(None)
@@ -89,22 +91,30 @@ class Axis:
         at = Window.orderBy("block")  # a row a block
         heads = placed.groupBy("block").agg(F.min(F.struct("v", "i")).alias("first"), F.count(F.lit(1)).alias("n"))
         heads = cut_lineage(heads.select("block", "first", "n", F.lead("first").over(at).alias("next"), (F.sum("n").over(at) - F.col("n")).alias("before")))
-        rows = placed.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("v", "i"))).alias("o"))
-        rows = cut_lineage(rows.join(heads.select("block", "next", "before"), "block"))
+        inside = F.row_number().over(Window.partitionBy("block").orderBy("v")) - 1  # a block's values
+        parts = placed.withColumn("part", F.floor(inside / AXIS_PART).cast("int")).groupBy("block", "part").agg(
+            F.sort_array(F.collect_list(F.struct("v", "i"))).alias("o"))
+        after = F.coalesce(F.lead(F.get("o", F.lit(0))).over(Window.partitionBy("block").orderBy("part")), F.col("next"))
+        parts = cut_lineage(parts.join(heads.select("block", "next", "before"), "block").select(
+            "block", "part", F.col("o.v").alias("v"), F.col("o.i").alias("i"), after.alias("next"), (F.col("before") + F.col("part") * AXIS_PART).alias("before")))
+        firsts = cut_lineage(parts.groupBy("block").agg(F.sort_array(F.collect_list(F.get("v", F.lit(0)))).alias("firsts")))
         found = heads.agg(F.count(F.lit(1)), F.max("n")).first()
-        self.table = F.broadcast(rows) if found[0] <= AXIS_ROWS else rows
-        self.block_bits, self.value_bits = found[0].bit_length(), (found[1] or 0).bit_length()
-        self.heads = heads.agg(F.sort_array(F.collect_list(F.struct("first.v", "block"))).alias("o")).scalar()
+        self.parts, self.firsts = (F.broadcast(t) if found[0] <= AXIS_ROWS else t for t in (parts, firsts))
+        self.block_bits, self.part_bits = found[0].bit_length(), (-(-(found[1] or 0) // AXIS_PART)).bit_length()
+        self.heads = heads.agg(F.sort_array(F.collect_list(F.struct("first.v", "block"))).alias("o")).select(F.struct(F.col("o.v").alias("v"), F.col("o.block").alias("block"))).scalar()
 
     def attach(self, df: DataFrame, c: str) -> DataFrame:
-        """``df`` with the block of its column ``c`` as struct ``_axis`` (ordered values ``o``, ``next``, ``before``) and ``_below``, how many of
-        the block's values are not above it.  Rows with a null value get nulls."""
+        """``df`` with the part of a block that its column ``c`` falls in as struct ``_axis`` (ordered values ``v``, their indexes ``i``, ``next``, ``before``)
+        and ``_below``, how many of its values are not above it.  Rows with a null value get nulls."""
         df = df.withColumn("_heads", self.heads)  # the first value of every block
         at = F.greatest(F.lit(0), values_up_to(F.col("_heads.v"), F.col(c), self.block_bits) - 1)
-        axis = self.table.select(F.col("block").alias("_block"), F.struct("o", "next", "before").alias("_axis"))
         placed = df.withColumn("_block", F.when(F.col(c).isNotNull(), F.get("_heads.block", at))).drop("_heads")
-        placed = placed.join(axis, "_block", "left").drop("_block")
-        return placed.withColumn("_below", values_up_to(F.col("_axis.o.v"), F.col(c), self.value_bits))
+        placed = placed.join(self.firsts.withColumnRenamed("block", "_block"), "_block", "left")
+        at = F.greatest(F.lit(0), values_up_to(F.col("firsts"), F.col(c), self.part_bits) - 1)
+        placed = placed.withColumn("_part", F.when(F.col("_block").isNotNull(), at)).drop("firsts")
+        axis = self.parts.select(F.col("block").alias("_block"), F.col("part").alias("_part"), F.struct("v", "i", "next", "before").alias("_axis"))
+        placed = placed.join(axis, ["_block", "_part"], "left").drop("_block", "_part")
+        return placed.withColumn("_below", values_up_to(F.col("_axis.v"), F.col(c), AXIS_PART.bit_length()))
 
 
 def lattice_table(grid: DataFrame) -> DataFrame:
